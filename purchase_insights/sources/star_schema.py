@@ -17,6 +17,16 @@ SEASON_MONTHS = {"Winter": (12, 1, 2), "Spring": (3, 4, 5), "Summer": (6, 7, 8)}
 OTHER_SEASON = "Fall"
 FREQUENCIES = ("Weekly", "Bi-Weekly", "Fortnightly", "Monthly", "Quarterly", "Every 3 Months", "Annually", "Daily")
 
+# The columns read, with their types: no job to infer them.
+TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, l_discount double,"
+    " l_tax double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint, p_name string, p_type string",
+}
+
 
 def _yes_no(condition: Column) -> Column:
     return F.when(condition, "Yes").otherwise("No")
@@ -41,11 +51,8 @@ def raw_purchases(spark: SparkSession, directory: str) -> DataFrame:
     """One raw purchase record per line item."""
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{directory}/{name}.parquet")
+        return spark.read.schema(TABLES[name]).parquet(f"{directory}/{name}.parquet")
 
-    lines = table("lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
-    )
     # Orders meet their customers before the line items do, so the largest table
     # is shuffled once for both. Line items and orders grow together: neither may
     # be broadcast, and adaptive execution splits skewed keys of a merge join.
@@ -55,7 +62,7 @@ def raw_purchases(spark: SparkSession, directory: str) -> DataFrame:
         .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     )
-    joined = lines.hint("merge").join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(
+    joined = table("lineitem").hint("merge").join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(
         table("part"), F.col("l_partkey") == F.col("p_partkey")
     )
     customer = F.col("c_custkey")
