@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from purchase_insights.functions.columns import age_group, frequency_days
 from purchase_insights.operators.median import grouped_median
 from purchase_insights.schema import require_columns
-from purchase_insights.sources.scratch import materialize
 
 
 def normalize_headers(df: DataFrame) -> DataFrame:
@@ -28,18 +27,15 @@ def impute_rating(df: DataFrame, group: str = "category", rating: str = "review_
     """Fill missing ratings with the median of their group.
 
     A group without any rating stays NULL, and so does every row without a
-    group. The medians (one row per group) are written out first: the purchases
-    are then joined to a table of known size, which Spark broadcasts while it is
-    below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles beyond it.
+    group. The medians are a written table of known size, one row per group:
+    Spark broadcasts it while it is below ``spark.sql.autoBroadcastJoinThreshold``
+    and shuffles beyond that.
     """
     require_columns(df, group, rating)
-    medians = materialize(grouped_median(df, group, rating), "rating-medians")
-    filled = F.coalesce(F.col(rating).cast("double"), F.col("median"))
-    return (
-        df.join(medians, group, "left")
-        .withColumn(rating, F.when(F.col(group).isNotNull(), filled))
-        .select(*df.columns)
-    )
+    medians = grouped_median(df, group, rating).withColumnRenamed("median", "_median")
+    given = F.nullif(F.col(rating).cast("double"), F.lit(float("nan")))
+    filled = F.when(F.col(group).isNotNull(), F.coalesce(given, F.col("_median")))
+    return df.join(medians, group, "left").withColumn(rating, filled).select(*df.columns)
 
 
 def add_age_group(df: DataFrame) -> DataFrame:

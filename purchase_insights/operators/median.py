@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from purchase_insights.sources.scratch import materialize
+
 # Width of the value bands. A rating scale has at most a few thousand of them.
 BAND_WIDTH = 0.001
 
 
 def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, value, n) of the rows where neither is NULL.
+    """(key, value, n) of the rows where neither is NULL or NaN.
 
     Counts are combined before the shuffle and the shuffle hashes key and value
     together, so a key that holds most of the rows is still spread out.
     """
-    return df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    known = F.col(key).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    return df.where(known).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
 
 
 def median_of_counts(counts: DataFrame, key: str, value: str, n: str = "n") -> DataFrame:
@@ -59,5 +62,10 @@ def median_of_counts(counts: DataFrame, key: str, value: str, n: str = "n") -> D
 
 
 def grouped_median(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, median) over the rows where neither is NULL."""
-    return median_of_counts(value_counts(df, key, value), key, value)
+    """(key, median) over the rows where neither is NULL or NaN, written out.
+
+    The counts are read twice, so they are written out as well: the rows
+    themselves are read once.
+    """
+    counts = materialize(value_counts(df, key, value), "value-counts")
+    return materialize(median_of_counts(counts, key, value), "medians")

@@ -58,8 +58,10 @@ def _listed_groups(purchases: DataFrame) -> DataFrame:
     prepared = purchases.withColumns(
         {
             "customer_segment": loyalty_segment(F.col("previous_purchases")),
-            # Without a category a rating is not used, see impute_rating.
-            "review_rating": F.when(F.col("category").isNotNull(), F.col("review_rating")),
+            # NaN is missing, and without a category a rating is not used: see impute_rating.
+            "review_rating": F.when(
+                F.col("category").isNotNull() & ~F.isnan(F.col("review_rating").cast("double")), F.col("review_rating")
+            ),
         }
     )
     key_sets = list(BOOK_SEGMENTS)
