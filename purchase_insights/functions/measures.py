@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 RATING = "decimal(18,9)"
 
-# Decimals up to this many digits are summed as two longs (see exact_sum).
-_SHORT_DIGITS = 12
+# Decimals of at most this size are summed as two longs (see exact_sum).
+_SHORT_DIGITS, _SHORT_SCALE = 12, 6
 
 
 def exact_sum(df: DataFrame, name: str) -> Column:
@@ -24,9 +24,9 @@ def exact_sum(df: DataFrame, name: str) -> Column:
     at a million: exact up to nine trillion rows in a group.
     """
     kind = df.schema[name].dataType
-    if not isinstance(kind, T.DecimalType) or kind.precision > _SHORT_DIGITS:
+    if not isinstance(kind, T.DecimalType) or kind.precision > _SHORT_DIGITS or kind.scale > _SHORT_SCALE:
         return F.sum(name)
-    units = f"CAST({name} * 1{'0' * kind.scale}BD AS BIGINT)"
+    units = f"CAST(`{name}` * 1{'0' * kind.scale}BD AS BIGINT)"
     total = f"CAST(SUM({units} DIV 1000000) AS DECIMAL(20,0)) * 1000000BD + SUM({units} % 1000000)"
     return F.expr(f"CAST(({total}) / 1{'0' * kind.scale}BD AS DECIMAL(28,{kind.scale}))")
 

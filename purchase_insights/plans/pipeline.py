@@ -4,15 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from purchase_insights.operators.cleaning import clean_purchases, normalize_headers
 from purchase_insights.operators.report_book import report_book
 from purchase_insights.plans.from_book import charts_from_book, report_from_book, reports_from_book
 from purchase_insights.plans.summary import insight_from_report, recommendations_from_book, summary_from_book
 from purchase_insights.schema import PURCHASE_COLUMNS, require_columns
+from purchase_insights.sources.csv_files import read_purchases_csv
 from purchase_insights.sources.scratch import materialize
 
 
+def load_purchases(spark: SparkSession, csv_path: str | list[str], target: str, **csv_options) -> DataFrame:
+    """Clean raw CSV purchases, store them as parquet in ``target`` and return them.
+
+    Cleaning passes over the records twice (ratings, then all columns), so the
+    text is parsed once into a columnar table first.
+    """
+    raw = read_purchases_csv(spark, csv_path, **csv_options).transform(normalize_headers)
+    clean = clean_purchases(materialize(raw, "raw-purchases"))
+    clean.write.mode("overwrite").parquet(target)
+    return spark.read.schema(clean.schema).parquet(target)
+
+
 def build_reports(purchases: DataFrame) -> dict[str, DataFrame]:
     """All reports, chart datasets, summary, insight and recommendations by name.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,18 +75,17 @@ def with_loyalty(purchases: DataFrame) -> DataFrame:
     return purchases.withColumn("customer_segment", loyalty_segment(F.col("previous_purchases")))
 
 
-def report(purchases: DataFrame, name: str) -> DataFrame:
-    """One of the reports by name, computed on its own."""
+def report(purchases: DataFrame, name: str, **changes) -> DataFrame:
+    """One of the reports by name, computed on its own.
+
+    ``changes`` replace fields of its ``Segment``, e.g. ``limit`` or ``min_rows``.
+    """
     if name == "overall":
         return overall(purchases)
-    segment = SEGMENTS[name]
+    segment = replace(SEGMENTS[name], **changes)
     if "customer_segment" in segment.keys:
         purchases = with_loyalty(purchases)
     return segment_report(require_columns(purchases, *segment.keys, "purchase_amount"), segment)
 
 
 REPORT_NAMES: tuple[str, ...] = ("overall", *SEGMENTS)
-
-REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    name: (lambda purchases, name=name: report(purchases, name)) for name in REPORT_NAMES
-}

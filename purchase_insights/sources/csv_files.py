@@ -55,13 +55,10 @@ class ExportStats:
     size_kb: float
 
 
-def _written_size(spark: SparkSession, path: str) -> tuple[int, int]:
-    """Number and total bytes of the CSV files below a folder, on any file system."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    listing = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    sizes = [f.getLen() for f in listing if f.getPath().getName().endswith(".csv")]
-    return len(sizes), sum(sizes)
+def _written_files(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number and total bytes of the CSV files in a folder; no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    return tuple(files.agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first())
 
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "error") -> ExportStats:
@@ -88,7 +85,7 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False, mode: str =
         ignoreTrailingWhiteSpace=False,
         encoding="UTF-8",
     )
-    files, size = _written_size(df.sparkSession, path)
+    files, size = _written_files(df.sparkSession, path)
     return ExportStats(rows=written.get["rows"], columns=len(df.columns), files=files, size_kb=size / 1024)
 
 

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, which every executor can reach.
+    """A new path below the checkpoint folder, which every executor can reach.
 
-    A local session without that setting uses a temporary folder; a cluster
-    without it is refused, since a machine-local folder would lose data.
+    That is ``spark.checkpoint.dir`` or the folder set on the Spark context. A
+    local session without either uses a temporary folder; a cluster without is
+    refused, since files in a machine-local folder are lost with the machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")

@@ -170,10 +170,22 @@ def test_exact_sum_of_extreme_amounts(spark):
     assert many.agg(exact_sum(many, "a").alias("s")).first()["s"] == Decimal("9999999999990000.00")
     wide = df.select(F.col("a").cast("decimal(20,4)"))
     assert wide.agg(exact_sum(wide, "a").alias("s")).first()["s"] == Decimal("10000000123.4400")
+    fine = spark.createDataFrame([(Decimal("999999.999999"),), (Decimal("0.000003"),)], "a decimal(12,6)")
+    assert fine.agg(exact_sum(fine, "a").alias("s")).first()["s"] == Decimal("1000000.000002")
+    finer = spark.createDataFrame([(Decimal("0.123456789012"),), (Decimal("-0.1"),)], "a decimal(12,12)")
+    assert finer.agg(exact_sum(finer, "a").alias("s")).first()["s"] == Decimal("0.023456789012")
     whole = spark.createDataFrame([(Decimal(7),), (Decimal(-9),)], "a decimal(9,0)")
     assert whole.agg(exact_sum(whole, "a").alias("s")).first()["s"] == Decimal(-2)
 
 
+def test_report_options(spark):
+    df = mixed(spark)
+    assert len(rows(report(df, "rating", limit=3))) == 3
+    assert rows(report(df, "rating", limit=3)) == rows(report(df, "rating"))[:3]
+    every = report(df, "high_value_locations", min_rows=1, limit=None)
+    assert len(rows(every)) == df.select("location").distinct().count()
+
+
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="season"):
         report(mixed(spark).drop("season"), "season")
