@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import chain, pairwise
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,8 +41,11 @@ def null_if_missing(text: Column) -> Column:
 
 def age_group(age: Column) -> Column:
     """Band of an age; NULL for a missing age or one outside all bands."""
-    bands = zip(pairwise(AGE_EDGES), AGE_LABELS, strict=True)
-    return F.coalesce(*(F.when((age > low) & (age <= high), F.lit(label)) for (low, high), label in bands))
+    lowest, *upper = AGE_EDGES
+    band = F.when(age <= lowest, None)
+    for edge, label in zip(upper, AGE_LABELS, strict=True):
+        band = band.when(age <= edge, label)
+    return band
 
 
 def frequency_days(frequency: Column) -> Column:

@@ -9,6 +9,10 @@ from purchase_insights.functions.columns import age_group, frequency_days
 from purchase_insights.operators.median import grouped_median
 from purchase_insights.schema import require_columns
 
+# Medians of at most this size are broadcast.
+BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
+SALTS = 64
+
 
 def normalize_headers(df: DataFrame) -> DataFrame:
     """Lower-case the column names and replace spaces by underscores."""
@@ -23,19 +27,33 @@ def rename_amount(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("purchase_amount_(usd)", "purchase_amount")
 
 
+def _join_medians(df: DataFrame, medians: DataFrame, group: str) -> DataFrame:
+    """Left join of the purchases with one small row per group.
+
+    The medians are broadcast when their measured size allows it. Otherwise both
+    sides are shuffled, each group spread over ``SALTS`` partitions: one group may
+    hold a large part of the purchases, and a following aggregate must not take
+    over a partitioning by group alone.
+    """
+    row_bytes = F.octet_length(F.col(group).cast("string")) + 64
+    if medians.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0] <= BROADCAST_LIMIT_BYTES:
+        return df.join(F.broadcast(medians), group, "left")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    spread = medians.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return salted.join(spread, [group, "_salt"], "left")
+
+
 def impute_rating(df: DataFrame, group: str = "category", rating: str = "review_rating") -> DataFrame:
     """Fill missing ratings with the median of their group.
 
     A group without any rating stays NULL, and so does every row without a
-    group. The medians are a written table of known size, one row per group:
-    Spark broadcasts it while it is below ``spark.sql.autoBroadcastJoinThreshold``
-    and shuffles beyond that.
+    group. The medians are computed when this is called, the join is lazy.
     """
     require_columns(df, group, rating)
     medians = grouped_median(df, group, rating).withColumnRenamed("median", "_median")
     given = F.nullif(F.col(rating).cast("double"), F.lit(float("nan")))
     filled = F.when(F.col(group).isNotNull(), F.coalesce(given, F.col("_median")))
-    return df.join(medians, group, "left").withColumn(rating, filled).select(*df.columns)
+    return _join_medians(df, medians, group).withColumn(rating, filled).select(*df.columns)
 
 
 def add_age_group(df: DataFrame) -> DataFrame:

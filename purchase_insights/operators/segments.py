@@ -43,28 +43,29 @@ def _measure(name: str) -> Column:
     if name == "average_rating":
         return average_rating()
     if name == "revenue_percentage":
-        # One row per group is left here, so the unpartitioned window is small.
-        return share_percent(F.col("revenue"), F.sum("revenue").over(Window.partitionBy()))
+        return share_percent(F.col("revenue"), F.col("all_revenue"))
     raise ValueError(f"unknown measure {name!r}")
 
 
 def _rank(name: str, ascending: bool) -> Column:
     """Order of a measure; missing values count as the largest."""
-    column = F.col("revenue") if name == "total_revenue" else F.col(name)
-    return column.asc_nulls_last() if ascending else column.desc_nulls_first()
+    value = F.col("revenue") if name == "total_revenue" else _measure(name)
+    return value.asc_nulls_last() if ascending else value.desc_nulls_first()
 
 
 def finish_report(groups: DataFrame, segment: Segment) -> DataFrame:
-    """Filter, derive, sort and limit rows that are already aggregated by key."""
+    """Filter, sort, limit and derive from rows that are already aggregated by key."""
     if segment.min_rows is not None:
         groups = groups.where(F.col("n_rows") >= segment.min_rows)
-    report = groups.select(*segment.keys, "revenue", *(_measure(m).alias(m) for m in segment.measures))
+    if "revenue_percentage" in segment.measures:
+        # One row per group is left here, so the unpartitioned window is small.
+        groups = groups.withColumn("all_revenue", F.sum("revenue").over(Window.partitionBy()))
     if segment.order_by:
         # The keys break ties, which makes a limited report repeatable.
-        report = report.orderBy(_rank(segment.order_by, segment.ascending), *segment.keys)
+        groups = groups.orderBy(_rank(segment.order_by, segment.ascending), *segment.keys)
     if segment.limit is not None:
-        report = report.limit(segment.limit)
-    return report.select(*segment.keys, *segment.measures)
+        groups = groups.limit(segment.limit)
+    return groups.select(*segment.keys, *(_measure(name).alias(name) for name in segment.measures))
 
 
 def segment_report(purchases: DataFrame, segment: Segment) -> DataFrame:

@@ -27,15 +27,21 @@ def read_purchases_csv(
 
     Only the header is read up front; no pass over the data infers types. Known
     columns (matched by their normalised header) get the types of ``RAW_TYPES``,
-    overridden by ``types``; others stay text. Texts that mark a missing value
-    become NULL.
+    overridden by ``types`` (amounts with more than two decimals need a wider one);
+    others stay text. Texts that mark a missing value become NULL.
 
     Files are split across tasks unless ``multi_line`` is set, which is needed
     when quoted fields hold line breaks. A record of the wrong length is an
     error; ``mode="PERMISSIVE"`` fills a short one with NULL instead.
     """
-    # Column pruning would let broken records pass in columns nobody reads.
-    reader = spark.read.options(header=True, multiLine=multi_line, mode=mode, quote='"', escape='"', columnPruning=False)
+    reader = spark.read.options(
+        header=True,
+        enforceSchema=False,  # every file must have the header of the first
+        multiLine=multi_line,
+        mode=mode,
+        escape='"',
+        columnPruning=False,  # a broken record is an error whichever columns are read
+    )
     text = reader.csv(path)
     known = {**RAW_TYPES, "purchase_amount_(usd)": RAW_TYPES["purchase_amount"], **(types or {})}
 

@@ -5,17 +5,7 @@ The only module that knows those tables; everything else sees purchases.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from purchase_insights.schema import MONEY
-
-# Rating offset of a part type, season of a month, frequency of a customer.
-RATING_OFFSETS = {"ECONOMY": "0.0", "LARGE": "0.1", "MEDIUM": "0.2", "PROMO": "0.3", "SMALL": "0.4"}
-OTHER_RATING_OFFSET = "0.5"
-SEASON_MONTHS = {"Winter": (12, 1, 2), "Spring": (3, 4, 5), "Summer": (6, 7, 8)}
-OTHER_SEASON = "Fall"
-FREQUENCIES = ("Weekly", "Bi-Weekly", "Fortnightly", "Monthly", "Quarterly", "Every 3 Months", "Annually", "Daily")
+from pyspark.sql import DataFrame, SparkSession
 
 # The columns read, with their types: no job to infer them.
 TABLES = {
@@ -27,63 +17,45 @@ TABLES = {
     "part": "p_partkey bigint, p_name string, p_type string",
 }
 
-
-def _yes_no(condition: Column) -> Column:
-    return F.when(condition, "Yes").otherwise("No")
-
-
-def _season(date: Column) -> Column:
-    month = F.month(date)
-    return F.coalesce(
-        *(F.when(month.isin(*months), F.lit(season)) for season, months in SEASON_MONTHS.items()), F.lit(OTHER_SEASON)
-    )
-
-
-def _rating(tax: Column, part_type: Column) -> Column:
-    offset = F.coalesce(
-        *(F.when(part_type == kind, F.expr(f"{value}BD")) for kind, value in RATING_OFFSETS.items()),
-        F.expr(f"{OTHER_RATING_OFFSET}BD"),
-    )
-    return F.when(tax != 0, (1 + tax * 40 + offset).cast("decimal(3,1)"))
+# How a purchase column follows from the tables.
+RAW_COLUMNS = {
+    "customer_id": "c_custkey",
+    "age": "int(15 + c_custkey % 58)",
+    "gender": "if(c_custkey % 3 = 0, 'Female', 'Male')",
+    "item_purchased": "p_name",
+    "category": "p_type",
+    "purchase_amount": "cast(l_extendedprice AS decimal(12,2))",
+    "location": "if(l_orderkey % 1000 = 0, n_name || ' REMOTE', n_name)",
+    "season": "CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 'Winter' WHEN month(o_orderdate) IN (3, 4, 5) THEN 'Spring'"
+    " WHEN month(o_orderdate) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END",
+    "review_rating": "CASE WHEN l_tax <> 0 THEN cast(1 + l_tax * 40 + CASE p_type WHEN 'ECONOMY' THEN 0.0"
+    " WHEN 'LARGE' THEN 0.1 WHEN 'MEDIUM' THEN 0.2 WHEN 'PROMO' THEN 0.3 WHEN 'SMALL' THEN 0.4 ELSE 0.5 END"
+    " AS decimal(3,1)) END",
+    "subscription_status": "if(c_acctbal >= 4500, 'Yes', 'No')",
+    "shipping_type": "o_orderpriority",
+    "discount_applied": "if(l_discount > 0, 'Yes', 'No')",
+    "promo_code_used": "if(l_discount > 0.05, 'Yes', 'No')",
+    "previous_purchases": "int(l_quantity)",
+    "frequency_of_purchases": "element_at(array('Weekly', 'Bi-Weekly', 'Fortnightly', 'Monthly', 'Quarterly',"
+    " 'Every 3 Months', 'Annually', 'Daily'), int(c_custkey % 8 + 1))",
+}
 
 
 def raw_purchases(spark: SparkSession, directory: str) -> DataFrame:
     """One raw purchase record per line item."""
-
-    def table(name: str) -> DataFrame:
-        return spark.read.schema(TABLES[name]).parquet(f"{directory}/{name}.parquet")
-
+    lines, orders, customers, nations, parts = (
+        spark.read.schema(columns).parquet(f"{directory}/{name}.parquet") for name, columns in TABLES.items()
+    )
     # Orders meet their customers before the line items do, so the largest table
     # is shuffled once for both. Line items and orders grow together: neither may
     # be broadcast, and adaptive execution splits skewed keys of a merge join.
     # The other joins are left to Spark's size check.
-    buyers = (
-        table("orders")
-        .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    )
-    joined = table("lineitem").hint("merge").join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        table("part"), F.col("l_partkey") == F.col("p_partkey")
+    buyers = orders.join(customers, orders.o_custkey == customers.c_custkey).join(
+        nations, customers.c_nationkey == nations.n_nationkey
     )
-    customer = F.col("c_custkey")
-    return joined.select(
-        customer.alias("customer_id"),
-        (15 + customer % 58).cast("int").alias("age"),
-        F.when(customer % 3 == 0, "Female").otherwise("Male").alias("gender"),
-        F.col("p_name").alias("item_purchased"),
-        F.col("p_type").alias("category"),
-        F.col("l_extendedprice").cast(MONEY).alias("purchase_amount"),
-        F.when(F.col("l_orderkey") % 1000 == 0, F.concat("n_name", F.lit(" REMOTE")))
-        .otherwise(F.col("n_name"))
-        .alias("location"),
-        _season(F.col("o_orderdate")).alias("season"),
-        _rating(F.col("l_tax"), F.col("p_type")).alias("review_rating"),
-        _yes_no(F.col("c_acctbal") >= 4500).alias("subscription_status"),
-        F.col("o_orderpriority").alias("shipping_type"),
-        _yes_no(F.col("l_discount") > 0).alias("discount_applied"),
-        _yes_no(F.col("l_discount") > 0.05).alias("promo_code_used"),
-        F.col("l_quantity").cast("int").alias("previous_purchases"),
-        F.element_at(F.array(*(F.lit(f) for f in FREQUENCIES)), (customer % 8 + 1).cast("int")).alias(
-            "frequency_of_purchases"
-        ),
+    purchases = (
+        lines.hint("merge")
+        .join(buyers, lines.l_orderkey == buyers.o_orderkey)
+        .join(parts, lines.l_partkey == parts.p_partkey)
     )
+    return purchases.selectExpr(*(f"{expression} AS {name}" for name, expression in RAW_COLUMNS.items()))

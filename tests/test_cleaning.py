@@ -57,15 +57,22 @@ def test_imputation_is_the_same_for_decimal_ratings(spark):
     assert sorted(column(cleaning.impute_rating(df), "review_rating")) == [2.1, 2.25, 2.4]
 
 
-def test_imputation_joins_by_shuffle_beyond_the_broadcast_threshold(spark):
-    rows = [(i, f"c{i % 50}", None if i % 3 else float(i)) for i in range(600)]
+def test_imputation_joins_by_shuffle_beyond_the_broadcast_limit(spark, monkeypatch):
+    rows = [(i, "hot" if i % 3 else f"c{i % 50}", None if i % 4 else float(i)) for i in range(3000)]
+    rows += [(5, None, 1.0), (6, "unrated", None)]
     df = spark.createDataFrame(rows, "id int, category string, review_rating double")
-    broadcast = {r["id"]: r["review_rating"] for r in cleaning.impute_rating(df).collect()}
+    broadcast = cleaning.impute_rating(df)
+    assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().toString()
+    monkeypatch.setattr(cleaning, "BROADCAST_LIMIT_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         shuffled = cleaning.impute_rating(df)
         assert "BroadcastHashJoin" not in shuffled._jdf.queryExecution().toString()
-        assert {r["id"]: r["review_rating"] for r in shuffled.collect()} == broadcast
+        assert sorted(map(str, shuffled.collect())) == sorted(map(str, broadcast.collect()))
+        # The group is spread by a salt, and grouping by it combines before a new shuffle.
+        plan = shuffled.groupBy("category").count()._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [category" in plan and "_salt" in plan
+        assert "partial_count" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 

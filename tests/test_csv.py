@@ -128,8 +128,18 @@ def test_quoted_line_breaks_need_multi_line(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(30, "a\nb", "red")]
 
 
-def test_a_folder_of_files_is_read_in_parallel(spark, tmp_path):
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig"])
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_a_folder_of_files(spark, tmp_path, encoding, multi_line):
     for i in range(4):
-        write(tmp_path / f"part{i}.csv", f"Age,Category\n{20 + i},c{i}\n")
-    raw = read_purchases_csv(spark, str(tmp_path))
+        write(tmp_path / f"part{i}.csv", f"Age,Category\n{20 + i},c{i}\n", encoding)
+    raw = read_purchases_csv(spark, str(tmp_path), multi_line=multi_line)
+    assert raw.columns == ["Age", "Category"]
     assert raw.agg(F.sum("Age").alias("s")).first()["s"] == 86
+
+
+def test_files_must_share_their_header(spark, tmp_path):
+    write(tmp_path / "part0.csv", "Age,Category\n20,a\n")
+    write(tmp_path / "part1.csv", "Category,Age\nb,30\n")
+    with pytest.raises(Exception, match="CSV header does not conform|HEADER"):
+        read_purchases_csv(spark, str(tmp_path)).collect()
