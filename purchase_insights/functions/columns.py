@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from purchase_insights.functions.formats import literal
+
 # Age bands, open on the left and closed on the right.
 AGE_EDGES = (17, 29, 44, 59, 70)
 AGE_LABELS = ("Young Adult", "Adult", "Middle-aged", "Senior")
@@ -50,8 +50,8 @@ def age_group(age: Column) -> Column:
 
 def frequency_days(frequency: Column) -> Column:
     """Days between purchases for a frequency label; NULL for other labels."""
-    pairs = chain.from_iterable(FREQUENCY_DAYS.items())
-    return F.create_map(*(F.lit(x) for x in pairs))[frequency]
+    pairs = ", ".join(f"{literal(label)}, {days}" for label, days in FREQUENCY_DAYS.items())
+    return F.expr(f"map({pairs})")[frequency]
 
 
 def loyalty_segment(previous_purchases: Column) -> Column:
@@ -61,23 +61,3 @@ def loyalty_segment(previous_purchases: Column) -> Column:
         .when(previous_purchases <= REGULAR_CUSTOMER_MAX, F.lit("Regular Customer"))
         .otherwise(F.lit("Loyal Customer"))
     )
-
-
-def money_text(value: Column) -> Column:
-    """``1234.5`` as ``$1,234.50``."""
-    return F.concat(F.lit("$"), F.format_number(value, 2))
-
-
-def plain_money_text(value: Column) -> Column:
-    """``1234.5`` as ``$1234.50``."""
-    return F.concat(F.lit("$"), F.replace(F.format_number(value, 2), F.lit(","), F.lit("")))
-
-
-def percent_text(value: Column) -> Column:
-    """``12.5`` as ``12.50%``."""
-    return F.concat(F.replace(F.format_number(value, 2), F.lit(","), F.lit("")), F.lit("%"))
-
-
-def count_text(value: Column) -> Column:
-    """``1234`` as ``1,234``."""
-    return F.format_number(value, 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from purchase_insights.functions.columns import loyalty_segment
@@ -42,15 +42,22 @@ BOOK_SEGMENTS: dict[tuple[str, ...], dict[str, tuple[str, ...]]] = {
 KEY_COLUMNS = ("key_1", "key_2", "key_3")
 
 
-def _entries(segments: dict[str, tuple[str, ...]]) -> Column:
-    """The segments a group belongs to, as an array of (segment, keys)."""
+def _entries() -> str:
+    """SQL for the segments a group belongs to, as an array of (segment, keys).
 
-    def entry(segment: str, keys: tuple[str, ...]) -> Column:
-        texts = [F.col(k).cast("string") for k in keys]
-        texts += [F.lit(None).cast("string")] * (len(KEY_COLUMNS) - len(keys))
-        return F.struct(F.lit(segment).alias("segment"), *(t.alias(k) for t, k in zip(texts, KEY_COLUMNS, strict=True)))
+    The first key of a key set tells whether a group is one of that set.
+    """
+
+    def entry(segment: str, keys: tuple[str, ...]) -> str:
+        texts = [f"string({k})" for k in keys] + ["string(NULL)"] * (len(KEY_COLUMNS) - len(keys))
+        columns = ", ".join(f"{text} AS {name}" for text, name in zip(texts, KEY_COLUMNS, strict=True))
+        return f"struct('{segment}' AS segment, {columns})"
 
-    return F.array(*(entry(segment, keys) for segment, keys in segments.items()))
+    cases = (
+        f"WHEN _outside_{keys[0]} = 0 THEN array({', '.join(entry(*item) for item in segments.items())})"
+        for keys, segments in BOOK_SEGMENTS.items()
+    )
+    return f"CASE {' '.join(cases)} END"
 
 
 def _listed_groups(purchases: DataFrame) -> DataFrame:
@@ -68,17 +75,15 @@ def _listed_groups(purchases: DataFrame) -> DataFrame:
     groups = prepared.groupingSets(key_sets, *(k for keys in key_sets for k in keys)).agg(
         *base_aggregates(prepared), *(F.grouping(keys[0]).alias(f"_outside_{keys[0]}") for keys in key_sets)
     )
-    entries = F.coalesce(*(F.when(F.col(f"_outside_{keys[0]}") == 0, _entries(s)) for keys, s in BOOK_SEGMENTS.items()))
-    rating = F.col("review_rating")
-    return groups.select(
-        F.inline(entries),
+    return groups.selectExpr(
+        f"inline({_entries()})",
         "n_rows",
         "n_priced",
         "revenue",
         "lowest",
         "highest",
-        F.when(rating.isNotNull(), F.col("n_rows")).otherwise(0).alias("n_rated"),
-        (rating.cast(RATING) * F.col("n_rows")).alias("rating_total"),
+        "if(review_rating IS NOT NULL, n_rows, 0) AS n_rated",
+        f"cast(review_rating AS {RATING}) * n_rows AS rating_total",
     )
 
 

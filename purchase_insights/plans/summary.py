@@ -5,13 +5,15 @@ Each is read from one row of facts: the best group of every report it quotes.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from purchase_insights.functions.columns import count_text, money_text, percent_text, plain_money_text
-from purchase_insights.functions.measures import average_purchase, share_percent
+from purchase_insights.functions.formats import count, literal, money, percent, plain_money
+from purchase_insights.functions.measures import average_purchase
 from purchase_insights.operators.report_book import KEY_COLUMNS, report_book, report_groups
 from purchase_insights.plans.reports import MIN_ROWS, report
 
@@ -134,18 +136,22 @@ PICKS: dict[str, Pick] = {
 }
 
 
-def _best(pick: Pick) -> Column:
-    """Aggregate giving the group a pick names, NULL if there is none."""
-    eligible = (F.col("segment") == pick.segment) & (F.col("n_rows") >= pick.min_rows)
+def _best(pick: Pick) -> str:
+    """SQL aggregate giving the group a pick names, NULL if there is none."""
+    eligible = f"segment = {literal(pick.segment)} AND n_rows >= {pick.min_rows}"
     if pick.key is not None:
-        eligible &= F.col("key_1") == pick.key
-    measure = F.col(pick.measure)
+        eligible += f" AND key_1 = {literal(pick.key)}"
     # Same order as the report: a missing measure counts as the largest, the
     # keys break ties.
-    missing_first = measure.isNotNull() if not pick.ascending else measure.isNull()
-    order = F.struct(missing_first, measure if pick.ascending else -measure, *KEY_COLUMNS)
-    group = F.struct(*KEY_COLUMNS, F.col("revenue").cast("double").alias("revenue"), "average")
-    return F.min_by(group, F.when(eligible, order))
+    if pick.ascending:
+        order = f"{pick.measure} IS NULL, {pick.measure}"
+    else:
+        order = f"{pick.measure} IS NOT NULL, -{pick.measure}"
+    keys = ", ".join(KEY_COLUMNS)
+    return (
+        f"min_by(struct({keys}, double(revenue) AS revenue, average),"
+        f" CASE WHEN {eligible} THEN struct({order}, {keys}) END)"
+    )
 
 
 def _facts(book: DataFrame) -> DataFrame:
@@ -153,82 +159,87 @@ def _facts(book: DataFrame) -> DataFrame:
 
     Plain aggregates over the small book: every task keeps one group per pick.
     """
-    totals = F.col("segment") == "overall"
-    measured = book.withColumn("average", average_purchase())
-    revenue = F.sum(F.when(totals, F.col("revenue")))
-    aggregates = [
-        *(_best(pick).alias(name) for name, pick in PICKS.items()),
-        revenue.cast("double").alias("total_revenue"),
-        F.max(F.when(totals, F.col("average"))).alias("average_purchase"),
-        F.min(F.when(totals, F.col("lowest"))).cast("double").alias("minimum_purchase"),
-        F.max(F.when(totals, F.col("highest"))).cast("double").alias("maximum_purchase"),
-        F.coalesce(F.sum(F.when(totals, F.col("n_rows"))), F.lit(0)).alias("total_transactions"),
-    ]
+    total = "CASE WHEN segment = 'overall' THEN {} END"
+    aggregates = {
+        **{name: _best(pick) for name, pick in PICKS.items()},
+        "total_revenue": f"double(sum({total.format('revenue')}))",
+        "average_purchase": f"max({total.format('average')})",
+        "minimum_purchase": f"double(min({total.format('lowest')}))",
+        "maximum_purchase": f"double(max({total.format('highest')}))",
+        "total_transactions": f"coalesce(sum({total.format('n_rows')}), 0)",
+    }
     if "n_customers" in book.columns:
-        aggregates.append(F.coalesce(F.sum("n_customers"), F.lit(0)).alias("total_customers"))
-    return measured.agg(*aggregates)
+        aggregates["total_customers"] = "coalesce(sum(n_customers), 0)"
+    measured = book.withColumn("average", average_purchase())
+    return measured.agg(*(F.expr(sql).alias(name) for name, sql in aggregates.items()))
 
 
-def _summary_rows() -> list[tuple[int, str, Column | None, Column | None, Column | None]]:
-    """(section, metric, label, value, display) of every summary line."""
+def _summary_lines() -> list[tuple[int, str, str, str, str]]:
+    """(section, metric, label, value, display) of every line, the last three as SQL."""
 
-    def total(metric: str, text) -> tuple:
-        return 1, metric, None, F.col(metric).cast("double"), text(F.col(metric))
+    def total(metric: str, text: Callable[[str], str]) -> tuple:
+        return 1, metric, "NULL", metric, text(metric)
 
-    def best(section: int, metric: str, pick: str, measure: str = "revenue", text=money_text, key: str = "key_1") -> tuple:
-        value = F.col(pick)[measure]
-        return section, metric, F.col(pick)[key], value, text(value)
+    def best(section: int, metric: str, pick: str, measure: str = "revenue", text=money) -> tuple:
+        return section, metric, f"{pick}.key_1", f"{pick}.{measure}", text(f"{pick}.{measure}")
 
     def buyer(metric: str, key: str) -> tuple:
-        return 3, metric, F.col("buyer")[key], None, F.col("buyer")[key]
+        return 3, metric, f"buyer.{key}", "NULL", f"buyer.{key}"
+
+    def discount(metric: str, flag: str, pick: str) -> tuple:
+        value = f"CASE WHEN discount_yes IS NOT NULL AND discount_no IS NOT NULL THEN {pick}.average END"
+        return 7, metric, literal(flag), value, plain_money(value)
 
-    share = share_percent(F.col("category")["revenue"], F.col("total_revenue"))
-    both = F.col("discount_yes").isNotNull() & F.col("discount_no").isNotNull()
-    with_discount = F.when(both, F.col("discount_yes")["average"])
-    without_discount = F.when(both, F.col("discount_no")["average"])
+    share = "round(category.revenue * 100.0D / total_revenue, 2)"
     return [
-        total("total_revenue", money_text),
-        total("total_transactions", count_text),
-        total("total_customers", count_text),
-        total("average_purchase", plain_money_text),
-        total("minimum_purchase", plain_money_text),
-        total("maximum_purchase", plain_money_text),
+        total("total_revenue", money),
+        total("total_transactions", count),
+        total("total_customers", count),
+        total("average_purchase", plain_money),
+        total("minimum_purchase", plain_money),
+        total("maximum_purchase", plain_money),
         best(2, "top_category", "category"),
-        (2, "top_category_share", F.col("category")["key_1"], share, percent_text(share)),
+        (2, "top_category_share", "category.key_1", share, percent(share)),
         best(2, "top_product", "top_product"),
         best(2, "bottom_product", "bottom_product"),
         best(3, "top_age_group", "age_group"),
         buyer("top_segment_age_group", "key_1"),
         buyer("top_segment_subscription", "key_2"),
         buyer("top_segment_frequency", "key_3"),
-        (3, "top_segment_revenue", None, F.col("buyer")["revenue"], money_text(F.col("buyer")["revenue"])),
+        (3, "top_segment_revenue", "NULL", "buyer.revenue", money("buyer.revenue")),
         best(4, "top_season", "season"),
         best(4, "top_location", "location"),
-        best(4, "top_average_location", "value_location", "average", plain_money_text),
+        best(4, "top_average_location", "value_location", "average", plain_money),
         best(5, "top_loyalty_segment", "loyalty"),
-        best(6, "top_shipping", "shipping", "average", plain_money_text),
-        (7, "average_with_discount", F.lit("Yes"), with_discount, plain_money_text(with_discount)),
-        (7, "average_without_discount", F.lit("No"), without_discount, plain_money_text(without_discount)),
+        best(6, "top_shipping", "shipping", "average", plain_money),
+        discount("average_with_discount", "Yes", "discount_yes"),
+        discount("average_without_discount", "No", "discount_no"),
     ]
 
 
+def _rows(facts: DataFrame, lines: Iterable[dict[str, str]]) -> DataFrame:
+    """One row per line; a line maps column names to SQL over the facts."""
+    structs = ("struct(" + ", ".join(f"{sql} AS {name}" for name, sql in line.items()) + ")" for line in lines)
+    return facts.selectExpr(f"inline(array({', '.join(structs)}))")
+
+
 def summary_from_book(book: DataFrame) -> DataFrame:
     """(section, section_title, metric, label, value, display), one row per fact.
 
     A fact without data has a NULL value; the row itself stays.
     """
-
-    def line(section: int, metric: str, label: Column | None, value: Column | None, display: Column) -> Column:
-        return F.struct(
-            F.lit(section).alias("section"),
-            F.lit(SECTION_TITLES[section]).alias("section_title"),
-            F.lit(metric).alias("metric"),
-            (F.lit(None) if label is None else label).cast("string").alias("label"),
-            (F.lit(None) if value is None else value).cast("double").alias("value"),
-            display.alias("display"),
-        )
-
-    return _facts(book).select(F.inline(F.array(*(line(*row) for row in _summary_rows()))))
+    lines = (
+        {
+            "section": str(section),
+            "section_title": literal(SECTION_TITLES[section]),
+            "metric": literal(metric),
+            "label": f"string({label})",
+            "value": f"double({value})",
+            "display": display,
+        }
+        for section, metric, label, value, display in _summary_lines()
+    )
+    return _rows(_facts(book), lines)
 
 
 def executive_summary(purchases: DataFrame) -> DataFrame:
@@ -239,25 +250,25 @@ def executive_summary(purchases: DataFrame) -> DataFrame:
 def recommendations_from_book(book: DataFrame) -> DataFrame:
     """(rec_no, title, evidence_1, evidence_2, evidence_3, actions)."""
     evidence = {
-        1: (F.col("category")["key_1"],),
-        2: (F.col("top_product")["key_1"],),
-        3: tuple(F.col("buyer")[key] for key in KEY_COLUMNS),
-        6: (F.col("location")["key_1"], F.col("value_location")["key_1"]),
-        7: (F.col("season")["key_1"],),
+        1: ("category.key_1",),
+        2: ("top_product.key_1",),
+        3: ("buyer.key_1", "buyer.key_2", "buyer.key_3"),
+        6: ("location.key_1", "value_location.key_1"),
+        7: ("season.key_1",),
     }
-
-    def line(number: int, title: str, actions: tuple[str, ...]) -> Column:
-        known = evidence.get(number, ())
-        columns = [*known, *[F.lit(None).cast("string")] * (3 - len(known))]
-        return F.struct(
-            F.lit(number).alias("rec_no"),
-            F.lit(title).alias("title"),
-            *(column.alias(f"evidence_{i}") for i, column in enumerate(columns, 1)),
-            F.lit("; ".join(actions)).alias("actions"),
-        )
-
-    lines = (line(number, title, actions) for number, (title, actions) in RECOMMENDATIONS.items())
-    return _facts(book).select(F.inline(F.array(*lines)))
+    lines = (
+        {
+            "rec_no": str(number),
+            "title": literal(title),
+            **{
+                f"evidence_{i}": f"string({sql})"
+                for i, sql in zip_longest((1, 2, 3), evidence.get(number, ()), fillvalue="NULL")
+            },
+            "actions": literal("; ".join(actions)),
+        }
+        for number, (title, actions) in RECOMMENDATIONS.items()
+    )
+    return _rows(_facts(book), lines)
 
 
 def recommendations(purchases: DataFrame) -> DataFrame:
