@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ BUYER_KEYS = ("age_group", "subscription_status", "frequency_of_purchases", "pur
 PROFILE_KEYS = ("gender", "season", "discount_applied", "shipping_type", "customer_segment")
 LOCATION_KEYS = ("location",)
 
-# Segment name and keys, by the key set it is merged from.
+# Segment names and keys, by the key set they are merged from.
 BOOK_SEGMENTS: dict[tuple[str, ...], dict[str, tuple[str, ...]]] = {
     PRODUCT_KEYS: {
         "product": ("item_purchased", "category"),
@@ -42,7 +44,21 @@ BOOK_SEGMENTS: dict[tuple[str, ...], dict[str, tuple[str, ...]]] = {
 KEY_COLUMNS = ("key_1", "key_2", "key_3")
 
 
-def _entries() -> str:
+SEGMENT_NAMES = frozenset(name for segments in BOOK_SEGMENTS.values() for name in segments)
+
+
+def _needed(names: Collection[str]) -> dict[tuple[str, ...], dict[str, tuple[str, ...]]]:
+    """``BOOK_SEGMENTS`` reduced to the named segments and the keys they use."""
+    needed = {}
+    for key_set, segments in BOOK_SEGMENTS.items():
+        wanted = {name: keys for name, keys in segments.items() if name in names}
+        if wanted:
+            used = tuple(key for key in key_set if any(key in keys for keys in wanted.values()))
+            needed[used or key_set] = wanted
+    return needed
+
+
+def _entries(needed: dict[tuple[str, ...], dict[str, tuple[str, ...]]]) -> str:
     """SQL for the segments a group belongs to, as an array of (segment, keys).
 
     The first key of a key set tells whether a group is one of that set.
@@ -55,52 +71,40 @@ def _entries() -> str:
 
     cases = (
         f"WHEN _outside_{keys[0]} = 0 THEN array({', '.join(entry(*item) for item in segments.items())})"
-        for keys, segments in BOOK_SEGMENTS.items()
+        for keys, segments in needed.items()
     )
     return f"CASE {' '.join(cases)} END"
 
 
-def _listed_groups(purchases: DataFrame) -> DataFrame:
-    """The groups of every key set, listed under each segment they belong to."""
+def report_groups(purchases: DataFrame, segments: Collection[str] = SEGMENT_NAMES) -> DataFrame:
+    """One row per (segment, keys) with the merged measures.
+
+    Takes purchases before or after rating imputation. With the segment
+    ``rating``, ``n_rated`` and ``rating_total`` cover the ratings that are present.
+    """
+    needed = _needed(segments)
     prepared = purchases.withColumns(
         {
             "customer_segment": loyalty_segment(F.col("previous_purchases")),
             # NaN is missing, and without a category a rating is not used: see impute_rating.
-            "review_rating": F.when(
-                F.col("category").isNotNull() & ~F.isnan(F.col("review_rating").cast("double")), F.col("review_rating")
-            ),
+            "review_rating": F.expr("if(category IS NOT NULL AND NOT isnan(double(review_rating)), review_rating, NULL)"),
         }
     )
-    key_sets = list(BOOK_SEGMENTS)
-    groups = prepared.groupingSets(key_sets, *(k for keys in key_sets for k in keys)).agg(
-        *base_aggregates(prepared), *(F.grouping(keys[0]).alias(f"_outside_{keys[0]}") for keys in key_sets)
-    )
-    return groups.selectExpr(
-        f"inline({_entries()})",
-        "n_rows",
-        "n_priced",
-        "revenue",
-        "lowest",
-        "highest",
-        "if(review_rating IS NOT NULL, n_rows, 0) AS n_rated",
-        f"cast(review_rating AS {RATING}) * n_rows AS rating_total",
+    groups = prepared.groupingSets(list(needed), *(k for keys in needed for k in keys)).agg(
+        *base_aggregates(prepared), *(F.grouping(keys[0]).alias(f"_outside_{keys[0]}") for keys in needed)
     )
-
-
-def report_groups(purchases: DataFrame) -> DataFrame:
-    """One row per (segment, keys) with the merged measures.
-
-    Takes purchases before or after rating imputation: ``n_rated`` and
-    ``rating_total`` cover the ratings that are present.
-    """
-    return (
-        _listed_groups(purchases)
-        .groupBy("segment", *KEY_COLUMNS)
-        .agg(*merged_aggregates(), F.sum("n_rated").alias("n_rated"), F.sum("rating_total").alias("rating_total"))
-    )
-
-
-def report_book(purchases: DataFrame) -> DataFrame:
+    columns = ["n_rows", "n_priced", "revenue", "lowest", "highest"]
+    merged = merged_aggregates()
+    if "rating" in segments:
+        columns += [
+            "if(review_rating IS NOT NULL, n_rows, 0) AS n_rated",
+            f"cast(review_rating AS {RATING}) * n_rows AS rating_total",
+        ]
+        merged += [F.sum("n_rated").alias("n_rated"), F.sum("rating_total").alias("rating_total")]
+    return groups.selectExpr(f"inline({_entries(needed)})", *columns).groupBy("segment", *KEY_COLUMNS).agg(*merged)
+
+
+def report_book(purchases: DataFrame, segments: Collection[str] = SEGMENT_NAMES) -> DataFrame:
     """``report_groups`` plus the number of distinct customers.
 
     ``n_customers`` is set in one extra row of segment ``customers``. It comes
@@ -110,4 +114,4 @@ def report_book(purchases: DataFrame) -> DataFrame:
     customers = purchases.agg(F.count_distinct("customer_id").alias("n_customers")).select(
         F.lit("customers").alias("segment"), "n_customers"
     )
-    return report_groups(purchases).unionByName(customers, allowMissingColumns=True)
+    return report_groups(purchases, segments).unionByName(customers, allowMissingColumns=True)

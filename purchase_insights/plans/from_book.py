@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from purchase_insights.functions.measures import RATING, merged_aggregates
 from purchase_insights.operators.median import median_of_counts
-from purchase_insights.operators.report_book import BOOK_SEGMENTS, KEY_COLUMNS
+from purchase_insights.operators.report_book import BOOK_SEGMENTS, KEY_COLUMNS, report_groups
 from purchase_insights.operators.segments import Segment, finish_report
 from purchase_insights.plans.charts import CHARTS
 from purchase_insights.plans.reports import REPORT_NAMES, SEGMENTS, finish_overall
+from purchase_insights.sources.scratch import materialize
 
 _BOOK_SEGMENT = {keys: name for segments in BOOK_SEGMENTS.values() for name, keys in segments.items()}
 
@@ -38,12 +39,11 @@ def _with_imputed_ratings(products: DataFrame, book: DataFrame) -> DataFrame:
 
 def _segment_from_book(book: DataFrame, segment: Segment) -> DataFrame:
     keys = [_key(name, column) for name, column in zip(segment.keys, KEY_COLUMNS, strict=False)]
+    rated = ["n_rated", "rating_total"] if "average_rating" in segment.measures else []
     groups = book.where(F.col("segment") == _BOOK_SEGMENT[segment.keys]).select(
-        *keys, "n_rows", "n_priced", "revenue", "n_rated", "rating_total"
+        *keys, "n_rows", "n_priced", "revenue", *rated
     )
-    if "average_rating" in segment.measures:
-        groups = _with_imputed_ratings(groups, book)
-    return finish_report(groups, segment)
+    return finish_report(_with_imputed_ratings(groups, book) if rated else groups, segment)
 
 
 def report_from_book(book: DataFrame, name: str) -> DataFrame:
@@ -57,6 +57,16 @@ def report_from_book(book: DataFrame, name: str) -> DataFrame:
     return finish_overall(totals.fillna(0, ["n_rows", "n_customers"]))
 
 
+def rating_report(purchases: DataFrame) -> DataFrame:
+    """The report ``rating`` from purchases whose ratings are not imputed yet.
+
+    One pass: the purchases are counted by product and rating, and the medians
+    and the imputation need only those counts.
+    """
+    counts = materialize(report_groups(purchases, ("product", "rating")), "rating-counts")
+    return report_from_book(counts, "rating")
+
+
 def reports_from_book(book: DataFrame) -> dict[str, DataFrame]:
     return {name: report_from_book(book, name) for name in REPORT_NAMES}
 

@@ -136,6 +136,10 @@ PICKS: dict[str, Pick] = {
 }
 
 
+SUMMARY_SEGMENTS = frozenset({"overall", *(pick.segment for pick in PICKS.values())})
+RECOMMENDATION_SEGMENTS = frozenset({"category", "product", "buyer", "location", "season"})
+
+
 def _best(pick: Pick) -> str:
     """SQL aggregate giving the group a pick names, NULL if there is none."""
     eligible = f"segment = {literal(pick.segment)} AND n_rows >= {pick.min_rows}"
@@ -244,7 +248,7 @@ def summary_from_book(book: DataFrame) -> DataFrame:
 
 def executive_summary(purchases: DataFrame) -> DataFrame:
     """The summary straight from purchases."""
-    return summary_from_book(report_book(purchases))
+    return summary_from_book(report_book(purchases, SUMMARY_SEGMENTS))
 
 
 def recommendations_from_book(book: DataFrame) -> DataFrame:
@@ -273,7 +277,7 @@ def recommendations_from_book(book: DataFrame) -> DataFrame:
 
 def recommendations(purchases: DataFrame) -> DataFrame:
     """The recommendations straight from purchases."""
-    return recommendations_from_book(report_groups(purchases))
+    return recommendations_from_book(report_groups(purchases, RECOMMENDATION_SEGMENTS))
 
 
 def insight_from_report(discount: DataFrame) -> DataFrame:

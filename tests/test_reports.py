@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from purchase_insights.functions.measures import exact_sum
 from purchase_insights.operators.cleaning import impute_rating
-from purchase_insights.operators.report_book import report_book
+from purchase_insights.operators.report_book import report_book, report_groups
 from purchase_insights.plans.charts import CHARTS, chart_data
-from purchase_insights.plans.from_book import charts_from_book, report_from_book, reports_from_book
+from purchase_insights.plans.from_book import charts_from_book, rating_report, report_from_book, reports_from_book
 from purchase_insights.plans.pipeline import build_reports, write_reports
 from purchase_insights.plans.reports import REPORT_NAMES, SEGMENTS, report
 from purchase_insights.schema import PURCHASE_COLUMNS
@@ -149,6 +149,21 @@ def test_book_reads_the_purchases_once(spark, tmp_path):
     assert sum("ReadSchema: struct<customer_id:bigint>" in line for line in scans) == 1
 
 
+def test_rating_report_needs_no_imputed_rows(spark):
+    raw = mixed(spark)
+    assert rows(rating_report(raw)) == rows(report(impute_rating(raw), "rating"))
+
+
+def test_only_the_needed_keys_are_grouped(spark):
+    raw = mixed(spark)
+    every = {tuple(r) for r in report_groups(raw).drop("n_rated", "rating_total").collect()}
+    some = report_groups(raw, ("category", "season", "overall"))
+    assert {tuple(r) for r in some.collect()} == {r for r in every if r[0] in ("category", "season", "overall")}
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    for unused in ("review_rating", "item_purchased", "age_group", "gender"):
+        assert f"{unused}#" not in plan.split("Expand")[0]
+
+
 def test_rating_of_an_imputed_product(spark):
     df = purchases(
         spark,
