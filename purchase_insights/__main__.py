@@ -31,7 +31,9 @@ def read_source(spark: SparkSession, source: str) -> DataFrame:
 
 
 def main(arguments: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(prog="purchase_insights", description=__doc__, formatter_class=argparse.RawTextHelpFormatter)
+    parser = argparse.ArgumentParser(
+        prog="purchase_insights", description=__doc__, formatter_class=argparse.RawTextHelpFormatter
+    )
     parser.add_argument("command", choices=("load", "reports", "charts", "export"))
     parser.add_argument("source")
     parser.add_argument("target", help="folder to write to")

@@ -135,7 +135,10 @@ def test_headers_are_normalized_and_may_not_collide(spark):
 
 
 def test_cleaning_keeps_other_columns_and_drops_the_promo_code(spark):
-    schema = "`Age` int, `Category` string, `Review Rating` double, `Frequency of Purchases` string, `Promo Code Used` string, `Color` string"
+    schema = (
+        "`Age` int, `Category` string, `Review Rating` double, `Frequency of Purchases` string,"
+        " `Promo Code Used` string, `Color` string"
+    )
     df = spark.createDataFrame([(30, "a", None, "Weekly", "No", "red"), (71, "a", 3.5, "Daily", "Yes", "blue")], schema)
     rows = cleaning.clean_purchases(df)
     assert rows.columns == [
