@@ -1,7 +1,7 @@
 """Command line: ``python -m purchase_insights`` or via ``spark-submit``.
 
     load     raw CSV file(s) or folder -> cleaned purchases (parquet)
-    reports  all reports, summary and recommendations; prints the summary
+    reports  all reports, summary, insight and recommendations; prints them too
     charts   the six chart datasets
     export   all purchases as CSV for a BI tool
 
@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from purchase_insights.plans.charts import CHARTS
 from purchase_insights.plans.pipeline import build_reports, load_purchases, write_reports
+from purchase_insights.plans.reports import REPORT_NAMES
 from purchase_insights.sources import tables
 from purchase_insights.sources.csv_files import export_csv
 
+DISPLAY_ROWS = 25
+
 
 def read_source(spark: SparkSession, source: str) -> DataFrame:
     kind, _, name = source.partition(":")
@@ -55,7 +58,9 @@ def main(arguments: list[str] | None = None) -> None:
         reports = {name: reports[name] for name in CHARTS}
     write_reports(reports, options.target, options.format)
     if options.command == "reports":
-        reports["executive_summary"].show(50, truncate=False)
+        for name in (*REPORT_NAMES, "executive_summary", "discount_insight", "recommendations"):
+            print(name)
+            reports[name].show(DISPLAY_ROWS, truncate=False)
 
 
 if __name__ == "__main__":

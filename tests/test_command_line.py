@@ -39,7 +39,10 @@ def test_load(spark, loaded):
 
 def test_reports(spark, loaded, tmp_path, capsys):
     main(["reports", loaded, str(tmp_path)])
-    assert "OVERALL BUSINESS PERFORMANCE" in capsys.readouterr().out
+    printed = capsys.readouterr().out
+    assert all(name in printed for name in REPORT_NAMES)
+    assert "OVERALL BUSINESS PERFORMANCE" in printed
+    assert "PROTECT CUSTOMER RETENTION" in printed
     assert spark.read.parquet(str(tmp_path / "overall")).first()["total_transactions"] == 150
     written = {folder.name for folder in tmp_path.iterdir()}
     assert written == {*REPORT_NAMES, *CHARTS, "executive_summary", "discount_insight", "recommendations"}
