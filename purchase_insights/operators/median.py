@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from purchase_insights.sources.scratch import materialize
 
-# Width of the value bands. A rating scale has at most a few thousand of them.
-BAND_WIDTH = 0.001
+# Values are cut into bands, this many between a number and its double. A scale
+# from 1 to 5 has about 2,400 bands; all numbers a double can hold have 4.3 million.
+BANDS_PER_DOUBLING = 1024
+_SMALLEST_EXPONENT = -1075
+
+
+def _band(value: Column) -> Column:
+    """Number of a value's band; grows with the value."""
+    magnitude = F.floor((F.log2(F.abs(value)) - _SMALLEST_EXPONENT) * BANDS_PER_DOUBLING)
+    return F.when(value == 0, F.lit(0).cast("bigint")).otherwise(F.signum(value).cast("bigint") * magnitude)
 
 
 def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -28,11 +36,9 @@ def median_of_counts(counts: DataFrame, key: str, value: str, n: str = "n") -> D
     middle ranks (at most two per key) are then looked at value by value, so
     no task orders all the distinct values of a key.
     """
+    number = F.col(value).cast("double")
     banded = counts.select(
-        F.col(key).alias("_key"),
-        F.col(value).cast("double").alias("_value"),
-        F.floor(F.col(value).cast("double") / BAND_WIDTH).alias("_band"),
-        F.col(n).alias("_n"),
+        F.col(key).alias("_key"), number.alias("_value"), _band(number).alias("_band"), F.col(n).alias("_n")
     )
     by_key = Window.partitionBy("_key")
     upto = by_key.orderBy("_band").rowsBetween(Window.unboundedPreceding, Window.currentRow)

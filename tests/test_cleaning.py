@@ -82,13 +82,15 @@ def test_median_of_many_random_groups(spark):
     groups = {}
     for key in range(120):
         size = int(rng.integers(1, 60))
-        kind = key % 4
+        kind = key % 5
         if kind == 0:
             values = np.round(rng.uniform(1, 5, size), 1)
         elif kind == 1:
             values = rng.normal(0, 1e-4, size)  # many values within one band, both signs
         elif kind == 2:
             values = rng.normal(0, 1e6, size)
+        elif kind == 3:
+            values = rng.choice([0.0, 5e-324, -5e-324, 1e-300, 1e307, -1e307, 3.0, np.nextafter(3.0, 4.0)], size)
         else:
             values = rng.choice([1.0, 1.0005, 4.9995, 5.0], size)
         groups[key] = values
