@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from purchase_insights.llm import chat_format
+from purchase_insights.llm import bpe, chat_format, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +27,24 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns.unionByName(planted)))
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    encoded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=True)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_chat_format": _op3}
+    return {"op2_best_fit_packing": _op2, "op3_chat_format": _op3, "op6_bpe": _op6}
 
 
 def oracle_sql() -> dict[str, str]:
