@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purchase_insights.llm import bpe, chat_format, packing
+from purchase_insights.llm import bpe, chat_format, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,8 +43,17 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, radius=3)
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_best_fit_packing": _op2, "op3_chat_format": _op3, "op6_bpe": _op6}
+    return {
+        "op2_best_fit_packing": _op2,
+        "op3_chat_format": _op3,
+        "op6_bpe": _op6,
+        "op7_simhash": _op7,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
