@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purchase_insights.llm import bpe, chat_format, packing, simhash
+from purchase_insights.llm import bpe, chat_format, packing, quality, simhash, toxicity
+from purchase_insights.llm.sampling import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,18 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns.unionByName(planted)))
 
 
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs.where(fold("doc_id", 5) != 0), labels.where(fold("doc_id", 5) != 0))
+    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(fold("doc_id", 3) != 1))
+    return quality.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
@@ -49,10 +62,12 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": _op1,
         "op2_best_fit_packing": _op2,
         "op3_chat_format": _op3,
         "op6_bpe": _op6,
         "op7_simhash": _op7,
+        "op8_quality": _op8,
     }
 
 
