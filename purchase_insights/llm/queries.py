@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purchase_insights.llm import bpe, chat_format, packing, quality, simhash, toxicity
+from purchase_insights.llm import bpe, chat_format, packing, pii, quality, simhash, toxicity
 from purchase_insights.llm.sampling import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,12 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = (f"n_{kind}" for kind in pii.KINDS)
+    return found.select("doc_id", *counts, "base_sha256", pii.span_text("spans").alias("spans"))
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     encoded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=True)
@@ -65,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": _op1,
         "op2_best_fit_packing": _op2,
         "op3_chat_format": _op3,
+        "op5_pii": _op5,
         "op6_bpe": _op6,
         "op7_simhash": _op7,
         "op8_quality": _op8,
