@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from purchase_insights.sources.scratch import materialize
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 LONGEST_CACHED = 64
+ENCODED_AT_ONCE = 2000
+DOCUMENTS_AT_ONCE = 200
 
 
 class Run(NamedTuple):
@@ -89,14 +91,38 @@ class _WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def learn(self, words: set[str]) -> None:
+        """Look up the new words that consist of letters, many in a call.
+
+        Such a word is one token sequence that ends with a token that ends words; a
+        call whose words don't come out one by one so is left to single look-ups.
+        """
+        stems = {word.rstrip(".,") for word in words if word not in self}
+        words = {stem.lower() if stem.isascii() else stem for stem in stems if stem.isalpha()}
+        new = [word for word in words if word not in self and len(word) <= LONGEST_CACHED]
+        if len(self) + len(new) > CACHED_WORDS:
+            self.clear()
+        for start in range(0, len(new), ENCODED_AT_ONCE):
+            some = new[start : start + ENCODED_AT_ONCE]
+            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                content, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.update((word, content[bounds[i] : bounds[i + 1]]) for i, word in enumerate(some))
 
     def __missing__(self, word: str) -> bytes:
         stem = word[:-1]
         if word[-1:] in (".", ",") and stem[-1:].isalpha():  # a mark after a letter is a token of its own
-            return self[stem] + self[word[-1]]
-        if word.isalpha() and word.isascii() and not word.islower():
-            return self[word.lower()]
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self[stem] + self[word[-1]]
+        elif word.isalpha() and word.isascii() and not word.islower():
+            ids = self[word.lower()]
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= LONGEST_CACHED:
             if len(self) >= CACHED_WORDS:
                 self.clear()
@@ -120,8 +146,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, kee
         known = _WordIds(tokenizer_path)
         for batch in batches:
             out: dict[str, list] = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
-            for row, text in enumerate(batch["text"]):
-                words = (text.as_py() or "").replace("\n", " ").split(" ")
+            for row, words in enumerate(_words(batch, known)):
                 ids = b"".join(map(known.__getitem__, words)) + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
@@ -147,6 +172,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, kee
     )
 
 
+def _words(batch: pa.RecordBatch, known: _WordIds) -> Iterator[list[str]]:
+    """What stands between blanks and line breaks in each text; the words are made known first."""
+    for start in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
+        texts = batch["text"].slice(start, DOCUMENTS_AT_ONCE).to_pylist()
+        split = [(text or "").replace("\n", " ").split(" ") for text in texts]
+        known.learn(set().union(*split))
+        yield from split
+
+
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False
 ) -> DataFrame:
