@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purchase_insights.llm import bpe, chat_format, packing, pii, quality, simhash, toxicity
+from purchase_insights.llm import bpe, chat_format, html_text, packing, pii, quality, simhash, toxicity
 from purchase_insights.llm.sampling import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, radius=3)
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": _op1,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Query]:
         "op6_bpe": _op6,
         "op7_simhash": _op7,
         "op8_quality": _op8,
+        "op9_html_text": _op9,
     }
 
 
