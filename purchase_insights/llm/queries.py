@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purchase_insights.llm import bpe, chat_format, html_text, packing, pii, quality, simhash, toxicity
+from purchase_insights.llm import bpe, chat_format, embedding_dups, html_text, packing, pii, quality, simhash, toxicity
 from purchase_insights.llm.sampling import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     counts = (f"n_{kind}" for kind in pii.KINDS)
@@ -75,6 +79,7 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": _op1,
         "op2_best_fit_packing": _op2,
         "op3_chat_format": _op3,
+        "op4_embedding_dups": _op4,
         "op5_pii": _op5,
         "op6_bpe": _op6,
         "op7_simhash": _op7,
