@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purchase_insights.llm import bpe, chat_format, embedding_dups, html_text, packing, pii, quality, simhash, toxicity
+from purchase_insights.llm import ann, bpe, chat_format, embedding_dups, html_text, packing, pii, quality, simhash, toxicity
 from purchase_insights.llm.sampling import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,11 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": _op1,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op7_simhash": _op7,
         "op8_quality": _op8,
         "op9_html_text": _op9,
+        "op10_ann": _op10,
     }
 
 
