@@ -123,20 +123,32 @@ def _lasso(holds: np.ndarray, y: np.ndarray, penalty: float = 5e-4, steps: int =
     return theta[:-1], theta[-1]
 
 
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` and the column ``quality_score``; the statistics that rules use are computed once."""
+    used = {name for rule, _ in model.rules for name, _, _ in rule}
+    columns = {f"quality_{name}": c for name, c in statistics(F.col("text")).items() if name in used}
+    kept = docs.columns
+
+    def compiled(rule: Rule, weight: float) -> Column:
+        stats = ((F.col(f"quality_{name}"), above, threshold) for name, above, threshold in rule)
+        conditions = (stat > threshold if above else stat <= threshold for stat, above, threshold in stats)
+        return F.when(reduce(Column.__and__, conditions), weight).otherwise(0.0)
+
+    z = reduce(Column.__add__, (compiled(rule, weight) for rule, weight in model.rules), F.lit(model.bias))
+    return docs.withColumns(columns).select(*kept, (1 / (1 + F.exp(-z))).alias("quality_score"))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from 0.5) of each whole text.
 
     Everything is computed in Spark expressions. A missing text is scored as an empty
     one; repeated rows are repeated; other columns are ignored.
     """
-    used = {name for rule, _ in model.rules for name, _, _ in rule}
-    columns = {name: c for name, c in statistics(F.col("text")).items() if name in used}
-    measured = docs.select(F.col("doc_id").cast("bigint"), *(c.alias(f"stat_{name}") for name, c in columns.items()))
+    scored = _scored(docs.select(F.col("doc_id").cast("bigint"), "text"), model)
+    scored = scored.select("doc_id", F.col("quality_score").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-    def compiled(rule: Rule, weight: float) -> Column:
-        conditions = (F.col(f"stat_{n}") > t if above else F.col(f"stat_{n}") <= t for n, above, t in rule)
-        return F.when(reduce(Column.__and__, conditions), weight).otherwise(0.0)
 
-    z = reduce(Column.__add__, (compiled(rule, weight) for rule, weight in model.rules), F.lit(model.bias))
-    scored = measured.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+def good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score 0.5 or more."""
+    return _scored(docs, model).where("quality_score >= 0.5").select(*docs.columns)

@@ -28,15 +28,25 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns.unionByName(planted)))
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model | None:
+    """Trained on the rows outside the held-out fifth."""
+    return toxicity.train(docs.where(fold("doc_id", 5) != 0), labels.where(fold("doc_id", 5) != 0))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Trained on the rows outside the held-out third."""
+    return quality.train(docs, labels.where(fold("doc_id", 3) != 1))
+
+
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.train(docs.where(fold("doc_id", 5) != 0), labels.where(fold("doc_id", 5) != 0))
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.train(docs, labels.where(fold("doc_id", 3) != 1))
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
@@ -67,7 +77,8 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, radius=3)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, radius=3)
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:

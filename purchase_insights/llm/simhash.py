@@ -44,15 +44,17 @@ def fingerprint(text: str, shingle_words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """doc_id and fingerprint (its 64 bits as a signed long) of each document."""
+    """doc_id, text_hash and fingerprint (its 64 bits as a signed long) of each document."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(text.as_py() or "", shingle_words) for text in batch["text"]]
             column = pa.array(np.array(found, "<u8").view("<i8"))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], column], ["doc_id", "fingerprint"])
+            names = ["doc_id", "text_hash", "fingerprint"]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], column], names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(compute, "doc_id bigint, fingerprint bigint")
+    source = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash"))
+    return source.mapInArrow(compute, "doc_id bigint, text_hash bigint, fingerprint bigint")
 
 
 class BKTree:
@@ -171,7 +173,7 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of each row of ``docs``.
+    """doc_id, text_hash, fingerprint (16 hex digits) and component_id of each row of ``docs``.
 
     component_id is the smallest doc_id that can be reached over links, the row's own
     included. A missing or blank text has fingerprint zero and is linked like any
@@ -190,6 +192,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 3) ->
     )
     return prints.join(materialize(ids, "component-ids"), "fingerprint").select(
         "doc_id",
+        "text_hash",
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def deduplicate(docs: DataFrame, shingle_words: int = 3, radius: int = 3) -> DataFrame:
+    """One row of each component of near duplicates, with all its columns: that of the smallest doc_id.
+
+    Of rows that repeat this doc_id and text one stays. Components without any doc_id
+    keep one row per fingerprint.
+    """
+    found = materialize(near_duplicates(docs, shingle_words, radius), "near-duplicates")
+    named = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "text_hash")
+    unnamed = found.where("doc_id IS NULL AND component_id IS NULL").groupBy("doc_id", "fingerprint")
+    n = F.count(F.lit(1)).alias("n")
+    # a doc_id may come with several texts of one component: the smallest hash stays
+    named = named.agg(n).groupBy("doc_id").agg(F.min(F.struct("text_hash", "n")).alias("first")).select("doc_id", "first.*")
+    unnamed = unnamed.agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash", F.lit(2).cast("bigint").alias("n"))
+    kept = materialize(named.unionByName(unnamed).toDF("kept_id", "kept_hash", "n"), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash"))
+    single = docs.join(kept.where("n = 1"), same, "left_semi")
+    if kept.where("n > 1").isEmpty():
+        return single
+    repeated = docs.join(kept.where("n > 1"), same, "left_semi")
+    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))

@@ -144,6 +144,21 @@ def _descend(rows, columns, is_toxic, n_features, prior, steps, rng, rate=0.1, d
     return theta[:-1], theta[-1]
 
 
+class _Scorer:
+    """Scores of texts under a model."""
+
+    def __init__(self, model: Model):
+        self.weights, self.bias = model
+        self.known = _Words(lambda word: [b for b in word_bins(word) if b in self.weights])
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        z = np.empty(len(texts))
+        for i, text in enumerate(texts):
+            words = set(WORD.findall((text.as_py() or "").lower()))
+            z[i] = self.bias + sum(self.weights[b] for b in sorted({b for w in words for b in self.known[w]}))
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from 0.5) of each whole text.
 
@@ -154,16 +169,25 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         scored = docs.select(F.col("doc_id").cast("bigint"), F.lit(0.0).alias("score"))
         return scored.withColumn("predicted", F.lit(0))
-    weights, bias = model
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words(lambda word: [b for b in word_bins(word) if b in weights])
+        scorer = _Scorer(model)
         for batch in batches:
-            z = np.array([
-                bias + sum(weights[b] for b in {b for w in set(WORD.findall((t.as_py() or "").lower())) for b in known[w]})
-                for t in batch["text"]
-            ])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["doc_id", "score"])
+            scores = pa.array(scorer.scores(batch["text"]))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], scores], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(apply, "doc_id bigint, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below 0.5; all without a model."""
+    if model is None:
+        return docs
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.scores(batch["text"]) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
