@@ -15,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from purchase_insights.llm.sampling import unused_name
 from purchase_insights.sources.scratch import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -237,21 +238,20 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     spans = personal_data(docs, **thresholds).where(F.size("spans") > 0)
     spans = spans.select(F.col("doc_id").alias("span_doc"), F.col("text_hash").alias("span_hash"), "spans")
     spans = materialize(spans.dropDuplicates(["span_doc", "span_hash"]), "spans")
-    same = F.col("doc_id").eqNullSafe(F.col("span_doc")) & (F.xxhash64("text") == F.col("span_hash"))
-    columns = docs.columns
-    schema = docs.schema
+    same = docs["doc_id"].eqNullSafe(spans["span_doc"]) & (F.xxhash64(docs["text"]) == spans["span_hash"])
+    columns, schema = docs.columns, docs.schema
+    name = unused_name("spans", docs)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                text if not found else _rewrite(text, found)
-                for text, found in zip(batch["text"].to_pylist(), batch["spans"].to_pylist())
-            ]
-            columns_out = {c: batch[c] for c in columns} | {"text": pa.array(texts, batch["text"].type)}
-            if "n_chars" in columns_out:
-                counted = pa.array([None if t is None else len(t) for t in texts], batch["n_chars"].type)
-                had_spans = batch["spans"].is_valid()
-                columns_out["n_chars"] = pa.compute.if_else(had_spans, counted, batch["n_chars"])
-            yield pa.RecordBatch.from_pydict(columns_out)
-
-    return docs.join(spans, same, "left").select(*columns, "spans").mapInArrow(rewrite, schema)
+            found = batch[name].to_pylist()
+            texts = [t if not s else _rewrite(t, s) for t, s in zip(batch["text"].to_pylist(), found)]
+            out = {column: batch[column] for column in columns}
+            out["text"] = pa.array(texts, batch["text"].type)
+            if "n_chars" in out:
+                counted = pa.array([len(t) if s else None for t, s in zip(texts, found)], batch["n_chars"].type)
+                out["n_chars"] = pc.coalesce(counted, batch["n_chars"])
+            yield pa.RecordBatch.from_pydict(out)
+
+    joined = docs.join(spans, same, "left").select(*(docs[c] for c in columns), spans["spans"].alias(name))
+    return joined.mapInArrow(rewrite, schema)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from purchase_insights.llm.sampling import sample_ids
+from purchase_insights.llm.sampling import sample_ids, unused_name
 
 #: A rule: conditions (statistic, above, threshold), all of which hold.
 Rule = tuple[tuple[str, bool, float], ...]
@@ -123,19 +123,20 @@ def _lasso(holds: np.ndarray, y: np.ndarray, penalty: float = 5e-4, steps: int =
     return theta[:-1], theta[-1]
 
 
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` and the column ``quality_score``; the statistics that rules use are computed once."""
+def _scored(docs: DataFrame, model: Model, score_name: str) -> DataFrame:
+    """``docs`` and a column with the score; the statistics that rules use are computed once."""
     used = {name for rule, _ in model.rules for name, _, _ in rule}
-    columns = {f"quality_{name}": c for name, c in statistics(F.col("text")).items() if name in used}
+    prefix = unused_name("stat_", docs)
+    columns = {prefix + name: column for name, column in statistics(F.col("text")).items() if name in used}
     kept = docs.columns
 
     def compiled(rule: Rule, weight: float) -> Column:
-        stats = ((F.col(f"quality_{name}"), above, threshold) for name, above, threshold in rule)
+        stats = ((F.col(prefix + name), above, threshold) for name, above, threshold in rule)
         conditions = (stat > threshold if above else stat <= threshold for stat, above, threshold in stats)
         return F.when(reduce(Column.__and__, conditions), weight).otherwise(0.0)
 
     z = reduce(Column.__add__, (compiled(rule, weight) for rule, weight in model.rules), F.lit(model.bias))
-    return docs.withColumns(columns).select(*kept, (1 / (1 + F.exp(-z))).alias("quality_score"))
+    return docs.withColumns(columns).select(*kept, (1 / (1 + F.exp(-z))).alias(score_name))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -144,11 +145,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Everything is computed in Spark expressions. A missing text is scored as an empty
     one; repeated rows are repeated; other columns are ignored.
     """
-    scored = _scored(docs.select(F.col("doc_id").cast("bigint"), "text"), model)
-    scored = scored.select("doc_id", F.col("quality_score").alias("score"))
+    scored = _scored(docs.select(F.col("doc_id").cast("bigint"), "text"), model, "score").select("doc_id", "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score 0.5 or more."""
-    return _scored(docs, model).where("quality_score >= 0.5").select(*docs.columns)
+    name = unused_name("score", docs)
+    return _scored(docs, model, name).where(F.col(name) >= 0.5).select(*docs.columns)

@@ -1,4 +1,4 @@
-"""Bounded, repeatable samples for training, and the folds of the labelled rows."""
+"""Bounded, repeatable samples for training, folds of the labelled rows, and free column names."""
 
 from __future__ import annotations
 
@@ -17,3 +17,11 @@ def sample_ids(ids: DataFrame, size: int) -> DataFrame:
     others = [F.max(c).alias(c) for c in ids.columns if c != "doc_id"]
     ids = ids.groupBy("doc_id").agg(*others) if others else ids.distinct()
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+
+
+def unused_name(name: str, df: DataFrame) -> str:
+    """``name``, with underscores added until no column of ``df`` begins with it."""
+    taken = [column.lower() for column in df.columns]
+    while any(column.startswith(name) for column in taken):
+        name = f"_{name}"
+    return name

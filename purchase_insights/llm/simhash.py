@@ -212,9 +212,13 @@ def deduplicate(docs: DataFrame, shingle_words: int = 3, radius: int = 3) -> Dat
     named = named.agg(n).groupBy("doc_id").agg(F.min(F.struct("text_hash", "n")).alias("first")).select("doc_id", "first.*")
     unnamed = unnamed.agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash", F.lit(2).cast("bigint").alias("n"))
     kept = materialize(named.unionByName(unnamed).toDF("kept_id", "kept_hash", "n"), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash"))
-    single = docs.join(kept.where("n = 1"), same, "left_semi")
+
+    def rows_of(keys: DataFrame) -> DataFrame:
+        same = docs["doc_id"].eqNullSafe(keys["kept_id"]) & (F.xxhash64(docs["text"]) == keys["kept_hash"])
+        return docs.join(keys, same, "left_semi")
+
+    single = rows_of(kept.where("n = 1"))
     if kept.where("n > 1").isEmpty():
         return single
-    repeated = docs.join(kept.where("n > 1"), same, "left_semi")
+    repeated = rows_of(kept.where("n > 1"))
     return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))

@@ -1,0 +1,73 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from purchase_insights.llm import bpe
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.Encoder(PATH)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+TEXTS = [
+    "", " ", "  ", "\n", " a", "a ", "a\n b", "a\n \nb", "a  b", "it's we'll I'D", "<|endoftext|>", "a<|endoftext|> b<|endoft",
+    "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "    " * 30 + "x", "日本語 ŁŁŁ 😀‍😀 ͸ ǅ ١٢٣ \x1c\x85　",
+    "hetionathe ndthoner " * 400, "x" * 5000, "ՙẞ\U00010940    x",
+]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_like_the_library(encoder, library, text):
+    ids = np.frombuffer(encoder.encode(text), np.int32).tolist()
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert encoder.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
+
+
+def test_random_texts(encoder, library):
+    rng = random.Random(4)
+    letters = "abcdefghij thein  \n\t.,!'sT0129éßñ日😀́"
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+        ids = np.frombuffer(encoder.encode(text), np.int32).tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids
+
+
+def test_every_token_is_found(encoder, library):
+    for token in random.Random(5).sample(sorted(encoder.vocabulary.parts), 2000):
+        text = encoder.vocabulary.bytes_of[token].decode("utf-8", "ignore")
+        assert encoder.vocabulary.encode_word(text) == [t for w in [text] for t in _merge(encoder.vocabulary, w)]
+
+
+def _merge(vocabulary, word):
+    """Plain byte-pair merging."""
+    of_byte = {b: i for i, b in vocabulary.bytes_of.items() if len(b) == 1}
+    ids = [of_byte[bytes([b])] for b in word.encode()]
+    while True:
+        ranked = [(vocabulary.merged[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in vocabulary.merged]
+        if not ranked:
+            return ids
+        _, k = min(ranked)
+        ids[k : k + 2] = [vocabulary.merged[ids[k], ids[k + 1]][1]]
+
+
+def test_documents(spark, library):
+    schema = "doc_id long, text string, ids string, decoded int"
+    rows = [(k, text, "x", 1) for k, text in enumerate([*TEXTS, None])] + [(0, "twice", "x", 1), (None, "no id", "x", 1)]
+    docs = spark.createDataFrame([*rows, rows[-1]], schema).repartition(3)
+    found = bpe.encode_documents(docs, PATH, decode=True).collect()
+    want = [(i, library.encode(t or "", add_special_tokens=False).ids, t or "") for i, t, *_ in [*rows, rows[-1]]]
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
+    assert bpe.encode_documents(spark.createDataFrame([], schema), PATH).count() == 0
