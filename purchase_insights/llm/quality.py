@@ -60,7 +60,8 @@ def train(docs: DataFrame, labels: DataFrame, n_rows: int = 20_000, trees: int =
     picked = F.broadcast(sample_ids(labels.where("quality IS NOT NULL").select("doc_id", "quality"), n_rows))
     columns = statistics(F.col("text"))
     sample = docs.select("doc_id", "text").join(picked, "doc_id")
-    rows = sample.select("quality", *(column.alias(name) for name, column in columns.items())).toArrow()
+    measured = sample.select("doc_id", "quality", *(column.alias(name) for name, column in columns.items()))
+    rows = measured.toArrow().sort_by("doc_id")  # the same model however rows are split
     y = rows["quality"].to_numpy().astype(float)
     if len(y) == 0 or y.min() == y.max():
         return Model([], 0.0 if len(y) == 0 else 6.0 * (2 * y[0] - 1))

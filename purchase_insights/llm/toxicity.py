@@ -62,9 +62,11 @@ def _bins_of_documents(docs: DataFrame) -> DataFrame:
                 np.array(sorted({b for w in set(WORD.findall((t.as_py() or "").lower())) for b in known[w]}), np.int32)
                 for t in batch["text"]
             ]
-            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(found, pa.list_(pa.int32()))], ["toxic", "bins"])
+            columns = [batch["doc_id"], batch["toxic"], pa.array(found, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "bins"])
 
-    return docs.select("toxic", "text").mapInArrow(extract, "toxic int, bins array<int>")
+    source = docs.select(F.col("doc_id").cast("bigint"), "toxic", "text")
+    return source.mapInArrow(extract, "doc_id bigint, toxic int, bins array<int>")
 
 
 def train(
@@ -87,6 +89,7 @@ def train(
     unlabelled = sample_ids(docs.select("doc_id"), n_unlabelled).withColumn("toxic", F.lit(0))
     picked = F.broadcast(toxic.union(unlabelled))  # n_toxic + n_unlabelled ids at most
     rows = _bins_of_documents(docs.select("doc_id", "text").join(picked, "doc_id")).toArrow()
+    rows = rows.sort_by([("toxic", "ascending"), ("doc_id", "ascending")])  # the same model however rows are split
     is_toxic = rows["toxic"].to_numpy() == 1
     if not is_toxic.any() or is_toxic.all():
         return None

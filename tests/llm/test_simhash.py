@@ -1,0 +1,120 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+import xxhash
+
+from purchase_insights.llm import simhash
+from purchase_insights.llm.components import connected_components
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(nodes, linked):
+    """Smallest node reachable, by repeated sweeps."""
+    component = {node: node for node in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in linked:
+            low = min(component[a], component[b])
+            changed |= component[a] != low or component[b] != low
+            component[a] = component[b] = low
+    return component
+
+
+@pytest.mark.parametrize("text", ["", " \n\t", "One", "one TWO", "a b c", "A b c a b c a b c", "É é x\x1cy z\x85", "w " * 9000])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
+def test_hash_is_the_engines(spark):
+    row = spark.sql("SELECT xxhash64('a b c') AS h").first()
+    assert row.h % 2**64 == xxhash.xxh64_intdigest("a b c", 42)
+
+
+def test_tree():
+    rng = random.Random(1)
+    values = [rng.getrandbits(12) for _ in range(300)]
+    tree = simhash.BKTree()
+    for value in values:
+        tree.add(value)
+    for value in values[:50]:
+        assert sorted(tree.within(value, 3)) == sorted(v for v in values if (v ^ value).bit_count() <= 3)
+
+
+@pytest.mark.parametrize("large", [1000, 3])
+def test_links_lose_nothing(spark, monkeypatch, large):
+    """Also where shards are split again, twice."""
+    monkeypatch.setattr(simhash, "LARGE_SHARD", large)
+    rng = random.Random(large)
+    values = {0, 2**64 - 1}
+    for _ in range(30):
+        value = rng.getrandbits(64)
+        for _ in range(8):
+            values.add(value)
+            for bit in rng.sample(range(64), rng.randint(1, 4)):
+                value ^= 1 << bit
+    signed = {v - 2**64 if v >= 2**63 else v: v for v in values}
+    distinct = spark.createDataFrame([(s,) for s in signed], "fingerprint long")
+    found = connected_components(simhash.fingerprint_links(distinct)).collect()
+    component = dict.fromkeys(signed) | {r.node: r.component for r in found}
+    pairs = [(a, b) for a in signed for b in signed if a < b and (signed[a] ^ signed[b]).bit_count() <= 3]
+    want = plain_components(signed, pairs)
+    assert {s: s if c is None else c for s, c in component.items()} == want
+
+
+def test_long_chains_and_stars(spark):
+    chain = list(range(200))
+    random.Random(2).shuffle(chain)
+    edges = [*zip(chain, chain[1:]), *((1000, k) for k in range(1001, 1100)), (7, 7), (2000, 2001), (2001, 2000)]
+    found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    want = {**dict.fromkeys(range(200), 0), **dict.fromkeys(range(1000, 1100), 1000), 2000: 2000, 2001: 2000}
+    assert {r.node: r.component for r in found} == want and len(found) == len(want)
+
+
+SCHEMA = "doc_id long, text string, fingerprint string, n int, component_id string"
+
+
+def rows():
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    base = [rng.choice(words) for _ in range(300)]
+    texts = [" ".join(base)] * 3 + [" ".join(base[:k] + ["new"] + base[k + 1 :]) for k in (9, 99, 199, 299)]
+    texts += [" ".join(rng.choice(words) for _ in range(60)) for _ in range(20)]
+    listed = [(50 - k, text) for k, text in enumerate(texts)]
+    return [*listed, (60, None), (61, ""), (62, " \n"), (listed[0][0], texts[0]), (None, texts[0]), (None, "alone now"), (None, "alone now")]
+
+
+def test_documents(spark):
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows()], SCHEMA).repartition(3)
+    found = simhash.near_duplicates(docs).collect()
+    prints = [(i, plain_fingerprint(t or "")) for i, t in rows()]
+    linked = [(a, b) for a, (_, p) in enumerate(prints) for b, (_, q) in enumerate(prints) if a < b and (p ^ q).bit_count() <= 3]
+    classes = plain_components(range(len(prints)), linked)
+    smallest = {}
+    for k, (doc_id, _) in enumerate(prints):
+        if doc_id is not None:
+            smallest[classes[k]] = min(doc_id, smallest.get(classes[k], doc_id))
+    want = [(i, f"{p:016x}", smallest.get(classes[k])) for k, (i, p) in enumerate(prints)]
+    assert sorted(map(repr, ((r.doc_id, r.fingerprint, r.component_id) for r in found))) == sorted(map(repr, want))
+
+
+def test_one_of_each_group_stays(spark):
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows()], SCHEMA).repartition(3)
+    component = {(r.doc_id, r.text_hash): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == sorted({c for c in component.values() if c is not None})
+    assert ids.count(None) == 1  # of "alone now"
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
