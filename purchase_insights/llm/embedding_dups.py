@@ -205,7 +205,7 @@ def near_links(vectors: DataFrame, threshold: float, filters_per_vector: float)
     return _bucket_links(dealt, threshold).distinct()
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, filters_per_vector: float = 24) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, filters_per_vector: float = 32) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of ``embeddings`` (vec_id, embedding, label).
 
     Rows are linked if their labels are equal and not null and their vectors' cosine is
