@@ -15,6 +15,8 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td "
     "tfoot th thead tr ul caption".split()
 )
+#: Elements that don't say what they hold.
+BARE = frozenset("# html body center div p section ul ol li h1 h2 h3 h4 h5 h6 table tbody tr td th blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a start tag closes when it is open, and what such closing does not reach beyond.
 CLOSES = {
@@ -44,11 +46,12 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Node:
     """A block element (``tag``) or a run of text without blocks in it (tag '#')."""
 
-    __slots__ = ("attributes", "linked", "parent", "size", "tag", "text")
+    __slots__ = ("attributes", "bare", "linked", "parent", "size", "tag", "text")
 
     def __init__(self, tag: str, parent: int, attributes: str = "", text: str = "", linked: int = 0):
         self.tag, self.parent, self.attributes, self.text, self.linked = tag, parent, attributes, text, linked
         self.size = len(text)
+        self.bare = False  # no tag or name above it says what it is
 
     def names(self) -> set[str]:
         """Lower-cased words of its class, id and role without plural s, and "hidden"."""
@@ -144,6 +147,8 @@ def parse(page: str) -> list[Node]:
         n_open[name] = n_open.get(name, 0) + 1
         unseen += name in UNSEEN
     flush()
+    for node in nodes:
+        node.bare = node.parent < 0 or nodes[node.parent].bare and (node.tag in BARE and not node.names())
     for node in reversed(nodes):  # sizes of texts and links below
         if node.parent >= 0 and (node.size or node.linked):
             nodes[node.parent].size += node.size

@@ -24,7 +24,7 @@ from purchase_insights.llm.labelled_pages import labelled_pages
 WRAPPER, CONTENT, OTHER = range(3)
 #: Tags that say little by themselves. Siblings of one kind look alike, so that their
 #: number counts for less than independent evidence would.
-PLAIN = frozenset(("#", *(f"<{tag}>" for tag in "p div section ul ol li h td tr table tbody blockquote hr".split())))
+PLAIN = frozenset(("#", *(f"<{tag}>" for tag in "p div section ul ol li h1 h td tr table tbody blockquote hr".split())))
 PLAIN_WEIGHT = 0.3
 PART = re.compile(r'data-part="(\w+)"')
 
@@ -39,8 +39,8 @@ def features(node: Node, parent_tag: str) -> tuple[str, ...]:
     size, linked = min(node.size.bit_length(), 6), node.linked * 4 // max(node.size, 1)
     if node.tag == "#":
         kind = "heading" if parent_tag in HEADINGS else "li" if parent_tag == "li" else "text"
-        return ("#", f"# size {size}", f"# links {linked}", f"# in {kind}")
-    tag = "h" if node.tag in HEADINGS else node.tag
+        return ("#", f"# size {size}", f"# links {linked}", f"# in {kind}", *(["# bare"] if node.bare else []))
+    tag = "h" if node.tag in HEADINGS and node.tag != "h1" else node.tag
     look = (f"size {size}", f"links {linked}") if tag in ("div", "section", "ul", "ol", "li", "p") else ()
     return (f"<{tag}>", *(f"{'s' if tag == 'p' else ''}{x}" for x in look), *sorted(f"name {n}" for n in node.names()))
 
@@ -85,6 +85,7 @@ def train(pages: list[str], steps: int = 400, rate: float = 0.05) -> Model:
         # a rare name learns as fast as a common tag
         weights -= rate * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
     prior = (share * y).sum(axis=0)
+    passed_on = np.sqrt(passed_on / passed_on.sum(axis=1, keepdims=True))  # siblings are alike here too
     return Model(
         {f: tuple(map(float, weights[k])) for f, k in column.items()},
         tuple(map(float, prior)),

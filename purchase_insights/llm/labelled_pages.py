@@ -59,6 +59,9 @@ def _other(rng: random.Random) -> str:
         item = "li" if tag in ("ol", "ul") else rng.choice(["p", "p", "div"])
         texts = [_text(rng, 1, 60) for _ in range(rng.randint(1, 4))]
         inner = "".join(f"<{item}>{t}</{item}>" for t in texts) if tag != "p" and rng.random() < 0.7 else texts[0]
+        if tag not in ("p", "ol", "ul") and rng.random() < 0.4:
+            level = rng.randint(2, 5)
+            inner = f"<h{level}>{_text(rng, 1, 5)}</h{level}>{inner}"
     return f"{_open(tag, names, rng, 'other')}{inner}</{tag}>"
 
 
@@ -67,18 +70,18 @@ def _content(rng: random.Random) -> str:
     parts = [f"<h1>{_text(rng, 1, 10)}</h1>"] if rng.random() < 0.8 else []
     for _ in range(rng.randint(1, 12)):
         kind = rng.random()
-        if kind < 0.75:
+        if kind < 0.66:
             inner = _text(rng, 1, 90)
             parts.append(f"<p>{inner}</p>" if rng.random() < 0.9 else f'<p>{inner} <a href="/y">{_text(rng, 1, 5)}</a></p>')
-        elif kind < 0.82:
+        elif kind < 0.73:
             parts.append(f"<h2>{_text(rng, 1, 6)}</h2>")
-        elif kind < 0.87:
+        elif kind < 0.78:
             parts.append("<ul>" + "".join(f"<li>{_text(rng, 1, 20)}</li>" for _ in range(3)) + "</ul>")
-        elif kind < 0.90:
+        elif kind < 0.81:
             parts.append(f"<blockquote><p>{_text(rng, 3, 40)}</p></blockquote>")
-        elif kind < 0.92:
+        elif kind < 0.83:
             parts.append(f"<table><tr><td>{_text(rng, 1, 5)}</td><td>{_text(rng, 1, 5)}</td></tr></table>")
-        elif kind < 0.94:
+        elif kind < 0.85:
             inner = rng.choice(["div", "section"])
             parts.append(f"<{inner}><p>{_text(rng, 5, 60)}</p></{inner}>")
         else:

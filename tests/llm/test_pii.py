@@ -1,0 +1,115 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from purchase_insights.llm import pii
+
+
+def luhn(digits):
+    total = 0
+    for k, digit in enumerate(reversed(digits)):
+        value = int(digit) * (1 + k % 2)
+        total += value - 9 * (value > 9)
+    return total % 10 == 0
+
+
+def plain_spans(text):
+    """The patterns as they are written in the contract."""
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    email = re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)
+    ip = re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+    card = re.finditer(r"[0-9]([\x20-]?[0-9])+", text)
+    phone = re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text)
+    return [
+        *(("email", *m.span()) for m in email),
+        *(("ip", *m.span()) for m in ip if all(int(x) <= 255 for x in m[0].split("."))),
+        *(("card", *m.span()) for m in card if 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        *(("phone", *m.span()) for m in phone if 9 <= len(digits(m)) <= 15),
+    ]
+
+
+TEXTS = [
+    "", "no data", "mail a.b+c@x-y.example.org, or a@b or @b.c or a@b.c@d.e", "a@b.c.@d", "é@b.cd xé.y@z.w",
+    "1.2.3.4 1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255 1.2.3", "card 4111 1111 1111 1111, 4111-1111-1111-1112",
+    "4111 1111 1111 1111 2", "+1 (212) 555-0100 and +49 30 123456-7)) ++1 212 555 0100", "+1.2.3.4 5 6 7 8 9",
+]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_patterns(text):
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_patterns_on_random_texts():
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choice("0123456789+ ().-@aB.é\n1234") for _ in range(rng.randint(0, 80)))
+        assert pii.base_spans(text) == plain_spans(text)
+
+
+@pytest.mark.parametrize("unit", ["a", "1", "1.", "+1 ", "1 ", "a@", "@", "a@b.", "(", "1-"])
+def test_long_runs_take_linear_time(unit):
+    start = time.perf_counter()
+    pii.base_spans(unit * 100_000)
+    assert time.perf_counter() - start < 5
+
+
+SCHEMA = "doc_id long, text string, spans string, n_chars long, row int, term string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, f"the text number {k} speaks of common things and the weather") for k in range(40)]
+    rows += [(100 + k, f"write to bob@example.org the zanzibar fisherman and the weather {k}") for k in range(4)]
+    rows += [(200, "call +1 212 555 0100 at once"), (201, None), (202, ""), (203, "zanzibar alone"), (203, "zanzibar alone")]
+    rows += [(None, "id of nobody 10.0.0.1"), (300, "x " * 50_000 + "eve@example.org")]
+    rows = [(i, t, "s", None if t is None else len(t), 1, "t") for i, t in rows]
+    return spark.createDataFrame(rows, SCHEMA).repartition(4)
+
+
+def test_documents(docs):
+    found = pii.personal_data(docs).withColumn("listed", pii.span_text("spans")).collect()
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    assert len(found) == len(texts)
+    want = {}
+    for doc_id, text in texts:
+        spans = plain_spans(text or "")
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        want[doc_id] = (*(sum(s[0] == k for s in spans) for k in pii.KINDS), hashlib.sha256(joined.encode()).hexdigest())
+    assert {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in found} == want
+
+
+def test_disclosing_terms(docs):
+    """A word that occurs with the address alone goes, one with other uses is generalised, common ones stay."""
+    found = {r.doc_id: r for r in pii.personal_data(docs, generalise_from=0.7).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}[100]
+    terms = {(s.kind, text[s.start : s.end]) for s in found[100].spans if s.kind in pii.TERM_KINDS}
+    # write and fisherman: 4 of 4 documents; zanzibar: 4 of 6, strength 0.83
+    assert terms == {("remove", "write"), ("remove", "fisherman"), ("generalise", "zanzibar")}
+    assert [s.kind for s in found[203].spans] == [] and [s.kind for s in found[200].spans] == ["phone"]
+
+
+def test_sanitise(docs):
+    clean = pii.sanitise(docs, generalise_from=0.7)
+    assert clean.columns == docs.columns
+    rows = {r.doc_id: r for r in clean.collect()}
+    assert rows[100].text == " to [EMAIL] the zan*  and the weather 0"
+    assert rows[200].text == "call [PHONE] at once" and rows[None].text == "id of nobody [IP]"
+    assert rows[300].text == "x " * 50_000 + "[EMAIL]"
+    before = {r.doc_id: r for r in docs.collect()}
+    unchanged = [r for i, r in rows.items() if i is not None and i < 100 or i in (201, 202, 203)]
+    assert all(r == before[r.doc_id] for r in unchanged) and clean.count() == docs.count()
+    changed = [r for i, r in rows.items() if r.text != before[i].text]
+    assert all(r.n_chars == len(r.text) for r in changed)
+
+
+def test_empty(docs):
+    assert pii.personal_data(docs.limit(0)).count() == 0
+    assert pii.sanitise(docs.limit(0)).count() == 0
+    assert pii.sanitise(docs.where(F.col("doc_id") < 100)).count() == 40

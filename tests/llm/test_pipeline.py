@@ -1,0 +1,95 @@
+"""The stages of the pipeline one by one, and its rows against a plain version."""
+
+from __future__ import annotations
+
+from collections import defaultdict
+from pathlib import Path
+
+import public_tokenizers
+import pytest
+from plain import plain_components
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from purchase_insights.llm import pii, queries, quality, simhash, toxicity
+
+TABLES = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(TABLES).exists(), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs = queries.table(spark, TABLES, "documents")
+    tables = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialize(stage(spark, docs, TABLES), name)
+        tables.append(docs)
+    return tables
+
+
+def texts(df):
+    return {r.doc_id: r.text for r in df.collect()}
+
+
+def test_columns(stages):
+    for table in stages[1:-1]:
+        assert table.dtypes == stages[0].dtypes
+    counts = [table.count() for table in stages[:-1]]
+    assert counts == sorted(counts, reverse=True) and counts[-1] > 0
+
+
+def test_filters_do_what_their_scores_say(spark, stages):
+    labels = queries.table(spark, TABLES, "labels")
+    scored = toxicity.score(stages[0], queries.toxicity_model(stages[0], labels)).collect()
+    assert texts(stages[1]) == {i: t for i, t in texts(stages[0]).items() if i in {r.doc_id for r in scored if not r.predicted}}
+    scored = quality.score(stages[1], queries.quality_model(stages[1], labels)).collect()
+    assert texts(stages[2]) == {i: t for i, t in texts(stages[1]).items() if i in {r.doc_id for r in scored if r.predicted}}
+
+
+def test_one_of_each_group_stays(stages):
+    before = texts(stages[2])
+    prints = {i: simhash.fingerprint(t or "") for i, t in before.items()}
+    linked = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    first = set(plain_components(prints, linked).values())
+    assert texts(stages[3]) == {i: t for i, t in before.items() if i in first}
+
+
+def test_personal_data_is_gone(stages):
+    before, after = texts(stages[3]), texts(stages[4])
+    assert before.keys() == after.keys()
+    for i, text in before.items():
+        if pii.base_spans(text or ""):
+            assert after[i] != text
+            assert not any(text[a:b] in after[i] for _, a, b in pii.base_spans(text))
+        else:
+            assert after[i] == text
+    wrong = stages[4].where((F.char_length("text") != F.col("n_chars")) & F.col("text").contains("["))
+    assert wrong.count() == 0
+
+
+def test_rows_of_run(spark, stages):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    n_ids = {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts(stages[4]).items()}
+    want = sorted((i, k, s, min(2048, n - s)) for i, n in n_ids.items() for k, s in enumerate(range(0, n, 2048)))
+    packed = corpus_pipeline.run(spark, TABLES).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length) for r in packed) == want
+    sequences = defaultdict(list)
+    for r in packed:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for places in sequences.values():
+        ends = [a + n for a, n in sorted(places)]
+        assert [a for a, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 2048
+
+
+def test_stages_take_odd_rows(spark, stages):
+    rows = [(-1, None), (-2, ""), (-3, "word " * 30_000), (-4, "same text twice"), (-4, "same text twice"), (None, "no id"), (None, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = stages[0].unionByName(odd.select("doc_id", "text", *(F.lit(None).cast(t).alias(c) for c, t in stages[0].dtypes[2:])))
+    docs = docs.withColumns({name: F.lit(1) for name in ("score", "toxic", "spans", "n", "kept_id", "part", "rank", "row")})
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), TABLES).count() == 0
+        docs = corpus_pipeline.materialize(stage(spark, docs, TABLES), name)
+        if k < 4:
+            assert docs.columns == columns and docs.count() > 100

@@ -5,6 +5,7 @@ import re
 
 import pytest
 import xxhash
+from plain import plain_components
 
 from purchase_insights.llm import simhash
 from purchase_insights.llm.components import connected_components
@@ -19,19 +20,6 @@ def plain_fingerprint(text):
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(nodes, linked):
-    """Smallest node reachable, by repeated sweeps."""
-    component = {node: node for node in nodes}
-    changed = True
-    while changed:
-        changed = False
-        for a, b in linked:
-            low = min(component[a], component[b])
-            changed |= component[a] != low or component[b] != low
-            component[a] = component[b] = low
-    return component
-
-
 @pytest.mark.parametrize("text", ["", " \n\t", "One", "one TWO", "a b c", "A b c a b c a b c", "É é x\x1cy z\x85", "w " * 9000])
 def test_fingerprint(text):
     assert simhash.fingerprint(text) == plain_fingerprint(text)
