@@ -6,11 +6,81 @@ an exact decimal sum over a count, in both engines.
 
 from __future__ import annotations
 
-from purchase_insights.plans.summary import (
-    DISCOUNT_DOES_NOT_RAISE,
-    DISCOUNT_RAISES,
-    RECOMMENDATIONS,
-    SECTION_TITLES,
+SECTION_TITLES = (
+    "OVERALL BUSINESS PERFORMANCE",
+    "PRODUCT AND CATEGORY PERFORMANCE",
+    "CUSTOMER DEMOGRAPHICS",
+    "SEASONAL AND GEOGRAPHIC PERFORMANCE",
+    "CUSTOMER LOYALTY",
+    "SHIPPING OPPORTUNITY",
+    "DISCOUNT STRATEGY",
+)
+INSIGHTS = (
+    "Customers receiving discounts have a higher average purchase amount.",
+    "Customers receiving discounts do not have a higher average purchase amount.",
+)
+ADVICE = (
+    "Continue targeted discounts for customer segments where discounts increase spending.",
+    "Avoid broad discounts. Use targeted promotions instead, especially for inactive or low-frequency customers.",
+)
+# Title, SQL of the lead, SQL of the evidence, actions.
+RECOMMENDATIONS = (
+    (
+        "INVEST IN HIGH-PERFORMING CATEGORIES",
+        "'Focus additional marketing and inventory investment on ' || cat.category || ', the highest revenue category."
+        " Potential actions:'",
+        ("cat.category",),
+        "Increase advertising; Improve product availability; Introduce premium versions; Cross-sell related products",
+    ),
+    (
+        "PROMOTE THE BEST-SELLING PRODUCTS",
+        "'Increase visibility for ' || top.item_purchased || ', which is currently one of the strongest"
+        " revenue-generating products. Potential actions:'",
+        ("top.item_purchased",),
+        "Feature the product in campaigns; Create complementary product bundles; Use cross-selling recommendations",
+    ),
+    (
+        "TARGET HIGH-VALUE CUSTOMERS",
+        "'Prioritize the customer segment: Age Group: ' || seg.age_group || ', Subscription: '"
+        " || seg.subscription_status || ', Purchase Frequency: ' || seg.frequency_of_purchases"
+        " || '. This segment currently generates the highest segment revenue.'",
+        ("seg.age_group", "seg.subscription_status", "seg.frequency_of_purchases"),
+        "Create personalized campaigns specifically for this customer group",
+    ),
+    (
+        "INCREASE CUSTOMER PURCHASE FREQUENCY",
+        "'Encourage customers to purchase more frequently using:'",
+        (),
+        "Personalized product recommendations; Loyalty rewards; Subscription benefits; Reminder campaigns;"
+        " Limited-time offers",
+    ),
+    (
+        "USE TARGETED DISCOUNTS",
+        "'Do not automatically give discounts to all customers. Use customer segmentation to target:'",
+        (),
+        "Low-frequency customers; New customers; Customers with lower purchase amounts;"
+        " Customers who may need incentives to return",
+    ),
+    (
+        "INVEST IN HIGH-POTENTIAL LOCATIONS",
+        "'Increase marketing investment in high-performing locations. The highest revenue location is: ' || loc.location"
+        " || '. Also investigate locations with high average purchases, such as: ' || val.location"
+        " || '. These markets may represent opportunities for premium products and targeted expansion.'",
+        ("loc.location", "val.location"),
+        "",
+    ),
+    (
+        "PREPARE FOR STRONG SALES SEASONS",
+        "'The strongest revenue season is: ' || sea.season || '. Before this season:'",
+        ("sea.season",),
+        "Increase inventory; Increase marketing campaigns; Prepare product bundles; Improve promotional planning",
+    ),
+    (
+        "PROTECT CUSTOMER RETENTION",
+        "'Build a loyalty strategy around high-value customers. Potential programs:'",
+        (),
+        "Loyalty points; VIP rewards; Exclusive offers; Personalized recommendations; Early access to products",
+    ),
 )
 
 RAW = """
@@ -42,6 +112,18 @@ JOIN part p ON l.l_partkey = p.p_partkey
 JOIN nation n ON c.c_nationkey = n.n_nationkey
 )"""
 
+_DERIVED_COLUMNS = """
+  CASE WHEN age > 17 AND age <= 29 THEN 'Young Adult' WHEN age > 29 AND age <= 44 THEN 'Adult'
+       WHEN age > 44 AND age <= 59 THEN 'Middle-aged' WHEN age > 59 AND age <= 70 THEN 'Senior' END AS age_group,
+  CASE frequency_of_purchases WHEN 'Weekly' THEN 7 WHEN 'Bi-Weekly' THEN 14 WHEN 'Fortnightly' THEN 14
+    WHEN 'Monthly' THEN 30 WHEN 'Quarterly' THEN 90 WHEN 'Every 3 Months' THEN 90 WHEN 'Annually' THEN 365 END
+    AS purchase_frequency_days,
+  CASE WHEN previous_purchases <= 10 THEN 'New Customer' WHEN previous_purchases <= 30 THEN 'Regular Customer'
+       ELSE 'Loyal Customer' END AS customer_segment"""
+
+# Ratings as they are, before any is imputed.
+_DERIVED = f"grouped AS (SELECT *,{_DERIVED_COLUMNS} FROM raw)"
+
 PURCHASES = f"""{RAW},
 med AS (
 SELECT category AS mcat, MEDIAN(CAST(review_rating AS DOUBLE)) AS med FROM raw GROUP BY category
@@ -49,14 +131,7 @@ SELECT category AS mcat, MEDIAN(CAST(review_rating AS DOUBLE)) AS med FROM raw G
 purchases AS (
 SELECT customer_id, age, gender, item_purchased, category, purchase_amount, location, season,
   CASE WHEN category IS NULL THEN NULL ELSE COALESCE(CAST(review_rating AS DOUBLE), med) END AS review_rating,
-  subscription_status, shipping_type, discount_applied, previous_purchases, frequency_of_purchases,
-  CASE WHEN age > 17 AND age <= 29 THEN 'Young Adult' WHEN age > 29 AND age <= 44 THEN 'Adult'
-       WHEN age > 44 AND age <= 59 THEN 'Middle-aged' WHEN age > 59 AND age <= 70 THEN 'Senior' END AS age_group,
-  CASE frequency_of_purchases WHEN 'Weekly' THEN 7 WHEN 'Bi-Weekly' THEN 14 WHEN 'Fortnightly' THEN 14
-    WHEN 'Monthly' THEN 30 WHEN 'Quarterly' THEN 90 WHEN 'Every 3 Months' THEN 90 WHEN 'Annually' THEN 365 END
-    AS purchase_frequency_days,
-  CASE WHEN previous_purchases <= 10 THEN 'New Customer' WHEN previous_purchases <= 30 THEN 'Regular Customer'
-       ELSE 'Loyal Customer' END AS customer_segment
+  subscription_status, shipping_type, discount_applied, previous_purchases, frequency_of_purchases,{_DERIVED_COLUMNS}
 FROM raw LEFT JOIN med ON category = mcat
 )"""
 
@@ -165,7 +240,7 @@ def _summary() -> str:
 
     def line(section: int, metric: str, label: str, value: str, display: str, source: str) -> str:
         return (
-            f"SELECT CAST({section} AS INT) AS section, {_quoted(SECTION_TITLES[section])} AS section_title,"
+            f"SELECT CAST({section} AS INT) AS section, {_quoted(SECTION_TITLES[section - 1])} AS section_title,"
             f" {_quoted(metric)} AS metric, CAST({label} AS VARCHAR) AS label,"
             f" CAST({value} AS DOUBLE) AS value, {display} AS display FROM {source}"
         )
@@ -208,28 +283,19 @@ def _summary() -> str:
 def _insight() -> str:
     texts = ", ".join(
         f"CASE WHEN avg_with > avg_without THEN {_quoted(yes)} ELSE {_quoted(no)} END AS {name}"
-        for name, yes, no in zip(
-            ("insight", "recommendation"), DISCOUNT_RAISES, DISCOUNT_DOES_NOT_RAISE, strict=True
-        )
+        for name, (yes, no) in (("insight", INSIGHTS), ("recommendation", ADVICE))
     )
     return f"WITH {PURCHASES},\n{_DISCOUNT}\nSELECT avg_with, avg_without, {texts} FROM disc WHERE n_with > 0 AND n_without > 0"
 
 
 def _recommendations() -> str:
-    evidence = {
-        1: ("cat.category",),
-        2: ("top.item_purchased",),
-        3: ("seg.age_group", "seg.subscription_status", "seg.frequency_of_purchases"),
-        6: ("loc.location", "val.location"),
-        7: ("sea.season",),
-    }
     lines = []
-    for number, (title, actions) in RECOMMENDATIONS.items():
-        known = [*evidence.get(number, ()), "NULL", "NULL", "NULL"][:3]
+    for number, (title, lead, evidence, actions) in enumerate(RECOMMENDATIONS, 1):
+        known = [*evidence, "NULL", "NULL", "NULL"][:3]
         columns = ", ".join(f"CAST({column} AS VARCHAR) AS evidence_{i}" for i, column in enumerate(known, 1))
         lines.append(
-            f"SELECT CAST({number} AS INT) AS rec_no, {_quoted(title)} AS title, {columns},"
-            f" {_quoted('; '.join(actions))} AS actions FROM cat, top, seg, loc, val, sea"
+            f"SELECT CAST({number} AS INT) AS rec_no, {_quoted(title)} AS title, {lead} AS lead, {columns},"
+            f" {_quoted(actions)} AS actions FROM cat, top, seg, loc, val, sea"
         )
     body = "\nUNION ALL ".join(lines)
     return f"WITH {PURCHASES},\n{_PICK_CTES}\n{body}"
@@ -243,14 +309,16 @@ def _book() -> str:
         return (
             f"SELECT '{name}' AS segment, {columns}, COUNT(*) AS n_rows, COUNT(purchase_amount) AS n_priced,"
             " CAST(SUM(purchase_amount) AS DOUBLE) AS revenue, CAST(MIN(purchase_amount) AS DOUBLE) AS lowest,"
-            " CAST(MAX(purchase_amount) AS DOUBLE) AS highest"
-            f" FROM purchases {group}"
+            " CAST(MAX(purchase_amount) AS DOUBLE) AS highest, COUNT(review_rating) AS n_rated,"
+            " CAST(SUM(review_rating) AS DOUBLE) AS rating_total"
+            f" FROM grouped {group}"
         )
 
     parts = [
         segment("product", "item_purchased", "category"),
         segment("category", "category"),
         segment("item", "item_purchased"),
+        segment("rating", "category", "review_rating"),
         segment("buyer", "age_group", "subscription_status", "frequency_of_purchases"),
         segment("age_group", "age_group"),
         segment("subscription", "subscription_status"),
@@ -263,7 +331,7 @@ def _book() -> str:
         segment("location", "location"),
         segment("overall"),
     ]
-    return f"WITH {PURCHASES}\n" + "\nUNION ALL ".join(parts)
+    return f"WITH {PURCHASES},\n{_DERIVED}\n" + "\nUNION ALL ".join(parts)
 
 
 _RAW_COLUMNS = (
@@ -271,11 +339,21 @@ _RAW_COLUMNS = (
     " season, CAST(review_rating AS DOUBLE) AS review_rating, subscription_status, shipping_type, discount_applied,"
     " promo_code_used, previous_purchases, frequency_of_purchases"
 )
+_HALF_AGES = "CASE WHEN customer_id % 7 = 0 THEN age + 0.5::DOUBLE ELSE CAST(age AS DOUBLE) END AS age,"
 _CLEAN_COLUMNS = (
     "customer_id, age, gender, item_purchased, category, CAST(purchase_amount AS DOUBLE) AS purchase_amount, location,"
     " season, review_rating, subscription_status, shipping_type, discount_applied, previous_purchases,"
     " frequency_of_purchases, age_group, purchase_frequency_days"
 )
+_WHOLE_AGES = "CAST(age AS DOUBLE) AS age,"
+_LINE_BYTES = " + ".join(
+    f"COALESCE(strlen(CAST({column} AS VARCHAR)), 0)"
+    for column in (
+        "customer_id", "age", "gender", "item_purchased", "category", "purchase_amount", "location", "season",
+        "review_rating", "subscription_status", "shipping_type", "discount_applied", "previous_purchases",
+        "frequency_of_purchases", "age_group", "purchase_frequency_days",
+    )
+)
 _CLEAN = f"WITH {PURCHASES} SELECT {_CLEAN_COLUMNS} FROM purchases"
 
 
@@ -283,7 +361,8 @@ def expected() -> dict[str, str]:
     """DuckDB SQL by query name."""
     purchases = {name: f"WITH {PURCHASES}\n{sql}" for name, sql in {**REPORTS, **CHARTS}.items()}
     return {
-        "csv_scan": f"WITH {RAW} SELECT {_RAW_COLUMNS} FROM raw",
+        # Written as 34.5, 7.0 and 1e1 in the file.
+        "csv_scan": f"WITH {RAW} SELECT {_RAW_COLUMNS.replace('age,', _HALF_AGES)} FROM raw",
         "table_scan": _CLEAN,
         "query_scan": f"WITH {PURCHASES} "
         + _grouped("gender, season", _REVENUE, _SHARE, order=_REVENUE_DOWN, having="HAVING COUNT(*) >= 20"),
@@ -298,5 +377,11 @@ def expected() -> dict[str, str]:
         "discount_insight": _insight(),
         "recommendations": _recommendations(),
         "export_customer": _CLEAN,
-        "export_statistics": f"WITH {PURCHASES} SELECT COUNT(*) AS n_rows, CAST(16 AS INT) AS n_columns FROM purchases",
+        # Each line has 15 commas and a line end; none of the texts needs quotes.
+        "export_statistics": f"WITH {PURCHASES} SELECT COUNT(*) AS n_rows, CAST(16 AS INT) AS n_columns,"
+        f" CAST(SUM(16 + {_LINE_BYTES}) AS BIGINT) AS data_bytes FROM purchases",
+        **{f"book_{name}": sql for name, sql in {
+            **purchases, "executive_summary": _summary(), "discount_insight": _insight(), "recommendations": _recommendations(),
+        }.items()},
+        "loaded_purchases": _CLEAN.replace("customer_id, age,", f"customer_id, {_WHOLE_AGES}", 1),
     }

@@ -15,21 +15,21 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from purchase_insights.plans.charts import CHARTS
-from purchase_insights.plans.pipeline import build_reports, load_purchases, write_reports
+from purchase_insights.plans.pipeline import build_charts, build_reports, load_purchases, write_reports
 from purchase_insights.plans.reports import REPORT_NAMES
 from purchase_insights.sources import tables
 from purchase_insights.sources.csv_files import export_csv
 
-DISPLAY_ROWS = 25
+# The one report without a fixed number of rows that has one per product.
+LONG_REPORTS = ("rating",)
 
 
-def read_source(spark: SparkSession, source: str) -> DataFrame:
+def read_source(spark: SparkSession, source: str, partitions: int = 8) -> DataFrame:
     kind, _, name = source.partition(":")
     if kind == "table":
         return tables.read_table(spark, name)
     if kind == "database":
-        return tables.read_database_table(spark, tables.jdbc_options(tables.database_url()), name)
+        return tables.read_database_table(spark, tables.jdbc_options(tables.database_url()), name, partitions=partitions)
     return spark.read.parquet(source)
 
 
@@ -41,26 +41,29 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("source")
     parser.add_argument("target", help="folder to write to")
     parser.add_argument("--format", default="parquet", choices=("parquet", "csv", "json"), help="of reports and charts")
-    parser.add_argument("--single-file", action="store_true", help="export a small table as one file")
+    parser.add_argument("--overwrite", action="store_true", help="replace targets that exist")
+    parser.add_argument("--partitions", type=int, default=8, help="parallel ranges of a database read")
+    parser.add_argument("--rating-rows", type=int, default=10, help="rows of the rating report to print; all are written")
     options = parser.parse_args(arguments)
 
+    mode = "overwrite" if options.overwrite else "error"
     spark = SparkSession.builder.appName("purchase_insights").getOrCreate()
     if options.command == "load":
-        load_purchases(spark, options.source, options.target)
+        load_purchases(spark, options.source, options.target, mode=mode)
         return
-    purchases = read_source(spark, options.source)
+    purchases = read_source(spark, options.source, options.partitions)
     if options.command == "export":
-        stats = export_csv(purchases, options.target, single_file=options.single_file)
+        stats = export_csv(purchases, options.target, mode=mode)
         print(f"{stats.rows:,} rows, {stats.columns} columns, {stats.files} file(s), {stats.size_kb:.2f} KB")
         return
-    reports = build_reports(purchases)
-    if options.command == "charts":
-        reports = {name: reports[name] for name in CHARTS}
-    write_reports(reports, options.target, options.format)
+    reports = build_charts(purchases) if options.command == "charts" else build_reports(purchases)
+    write_reports(reports, options.target, options.format, mode)
     if options.command == "reports":
-        for name in (*REPORT_NAMES, "executive_summary", "discount_insight", "recommendations"):
-            print(name)
-            reports[name].show(DISPLAY_ROWS, truncate=False)
+        for name in (*REPORT_NAMES, "executive_summary", "discount_insight", "recommendations", "limitations"):
+            rows = reports[name].count()
+            shown = min(rows, options.rating_rows) if name in LONG_REPORTS else rows
+            print(name if shown == rows else f"{name} (first {shown} of {rows} rows; see --rating-rows)")
+            reports[name].show(shown, truncate=False)
 
 
 if __name__ == "__main__":

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RATING = "decimal(18,9)"
+# Ratings are added up as decimals, so that sums do not depend on their order.
+RATING = "decimal(38,18)"
 
 # Decimals of at most this size are summed as two longs (see exact_sum).
 _SHORT_DIGITS, _SHORT_SCALE = 12, 6

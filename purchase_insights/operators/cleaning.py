@@ -40,14 +40,16 @@ def _join_medians(df: DataFrame, medians: DataFrame, group: str) -> DataFrame:
         return df.join(F.broadcast(medians), group, "left")
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
     spread = medians.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return salted.join(spread, [group, "_salt"], "left")
+    # Spark sees the size of the medians as written, not of their copies: it may not broadcast them.
+    return salted.join(spread.hint("merge"), [group, "_salt"], "left")
 
 
 def impute_rating(df: DataFrame, group: str = "category", rating: str = "review_rating") -> DataFrame:
     """Fill missing ratings with the median of their group.
 
     A group without any rating stays NULL, and so does every row without a
-    group. The medians are computed when this is called, the join is lazy.
+    group. The medians are computed when this is called, the join is lazy: a source
+    that changes in between mixes two states, so load a changing one first.
     """
     require_columns(df, group, rating)
     medians = grouped_median(df, group, rating).withColumnRenamed("median", "_median")

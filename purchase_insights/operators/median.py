@@ -12,6 +12,11 @@ from purchase_insights.sources.scratch import materialize
 BANDS_PER_DOUBLING = 1024
 _SMALLEST_EXPONENT = -1075
 
+# A band with more values than this is cut by its bounds, at most so many times.
+ORDERED_AT_ONCE = 4096
+CUTS = 1024
+MOST_CUTS = 6
+
 
 def _band(value: Column) -> Column:
     """Number of a value's band; grows with the value."""
@@ -29,38 +34,71 @@ def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.where(known).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _middle(parts: DataFrame, order: str) -> DataFrame:
+    """The parts of each (_key, _part) that hold one of the middle ranks, with what lies below.
+
+    ``parts`` has _key, _part, ``order``, _n, _below (values below the whole of _part)
+    and the two ranks, a few thousand rows per _part at most.
+    """
+    upto = Window.partitionBy("_key", "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = (F.col("_below") + F.sum("_n").over(upto) - F.col("_n")).alias("_below")
+    found = parts.select("_key", "_part", order, "_rank_low", "_rank_high", below, "_n")
+    holds = (F.col("_below") < F.col("_rank_high")) & (F.col("_below") + F.col("_n") >= F.col("_rank_low"))
+    return found.where(holds).drop("_n")
+
+
+def _narrowed(active: DataFrame) -> DataFrame:
+    """Cut every part into ``CUTS`` of equal width and keep those with a middle rank."""
+    bounds = active.groupBy("_key", "_part").agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+    width = F.col("_high") - F.col("_low")
+    place = F.floor((F.col("_value") - F.col("_low")) / width * CUTS)
+    cut = active.join(bounds, ["_key", "_part"]).withColumn(
+        "_cut", F.when(width > 0, F.least(place, F.lit(CUTS - 1).cast("bigint"))).otherwise(0)
+    )
+    keys = ["_key", "_part", "_cut", "_below", "_rank_low", "_rank_high"]
+    middle = _middle(cut.groupBy(*keys).agg(F.sum("_n").alias("_n")), "_cut")
+    kept = cut.drop("_below", "_rank_low", "_rank_high").join(middle, ["_key", "_part", "_cut"])
+    # the cuts that are kept, two at most, are the parts of the next level
+    part = (F.col("_part") * CUTS + F.col("_cut")).alias("_part")
+    first = kept.groupBy("_key").agg(F.min(part).alias("_first"))
+    part = F.when(part == F.col("_first"), 0).otherwise(1).cast("bigint").alias("_part")
+    return kept.join(first, "_key").select("_key", part, "_value", "_n", "_below", "_rank_low", "_rank_high")
+
+
 def median_of_counts(counts: DataFrame, key: str, value: str, n: str = "n") -> DataFrame:
     """(key, median) from (key, value, n); the midpoint when the count is even.
 
-    Values are first added up in narrow bands. Only the bands that hold the
-    middle ranks (at most two per key) are then looked at value by value, so
-    no task orders all the distinct values of a key.
+    Values are first added up in narrow bands. Only the bands that hold the middle
+    ranks (at most two per key) are looked at further: while one of them holds more than
+    ``ORDERED_AT_ONCE`` values, it is cut by its own bounds and the parts with the middle
+    ranks go on. A band spans less than a thousandth of its numbers, so five cuts tell
+    any two doubles apart. No task orders more values than that.
     """
     number = F.col(value).cast("double")
     banded = counts.select(
         F.col(key).alias("_key"), number.alias("_value"), _band(number).alias("_band"), F.col(n).alias("_n")
     )
-    by_key = Window.partitionBy("_key")
-    upto = by_key.orderBy("_band").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = (
-        banded.groupBy("_key", "_band")
-        .agg(F.sum("_n").alias("_n"))
-        .select(
-            "_key",
-            "_band",
-            (F.sum("_n").over(upto) - F.col("_n")).alias("_below"),
-            F.col("_n").alias("_in_band"),
-            F.expr("(sum(_n) OVER (PARTITION BY _key) + 1) DIV 2").alias("_rank_low"),
-            F.expr("(sum(_n) OVER (PARTITION BY _key) + 2) DIV 2").alias("_rank_high"),
-        )
-        .where((F.col("_below") < F.col("_rank_high")) & (F.col("_below") + F.col("_in_band") >= F.col("_rank_low")))
-        .drop("_in_band")
+    in_bands = banded.groupBy("_key", "_band").agg(F.sum("_n").alias("_n")).select(
+        "_key",
+        F.lit(0).cast("bigint").alias("_part"),
+        "_band",
+        "_n",
+        F.lit(0).cast("bigint").alias("_below"),
+        F.expr("(sum(_n) OVER (PARTITION BY _key) + 1) DIV 2").alias("_rank_low"),
+        F.expr("(sum(_n) OVER (PARTITION BY _key) + 2) DIV 2").alias("_rank_high"),
     )
-    in_band = Window.partitionBy("_key", "_band").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = F.col("_below") + F.sum("_n").over(in_band)
+    middle = _middle(in_bands, "_band").drop("_part")
+    active = banded.join(middle, ["_key", "_band"]).withColumnRenamed("_band", "_part")
+    active = materialize(active, "median-bands")
+    for _ in range(MOST_CUTS):
+        most = active.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if (most or 0) <= ORDERED_AT_ONCE:
+            break
+        active = materialize(_narrowed(active), "median-bands")
+    in_part = Window.partitionBy("_key", "_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = F.col("_below") + F.sum("_n").over(in_part)
     return (
-        banded.join(middle, ["_key", "_band"])
-        .select("_key", "_value", "_n", "_rank_low", "_rank_high", reached.alias("_reached"))
+        active.select("_key", "_value", "_n", "_rank_low", "_rank_high", reached.alias("_reached"))
         .where((F.col("_reached") - F.col("_n") < F.col("_rank_high")) & (F.col("_reached") >= F.col("_rank_low")))
         .groupBy(F.col("_key").alias(key))
         .agg(((F.min("_value") + F.max("_value")) / 2).alias("median"))

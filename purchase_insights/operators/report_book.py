@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from purchase_insights.functions.columns import loyalty_segment
-from purchase_insights.functions.measures import RATING, base_aggregates, merged_aggregates
+from purchase_insights.functions.measures import base_aggregates, merged_aggregates, rating_aggregates
 
 # The purchases are grouped by these key sets at once. Each is small enough to
 # combine well before the shuffle; coarser groups are merged from the result.
-PRODUCT_KEYS = ("item_purchased", "category", "review_rating")
+PRODUCT_KEYS = ("item_purchased", "category")
+RATING_KEYS = ("review_rating", "category")
 BUYER_KEYS = ("age_group", "subscription_status", "frequency_of_purchases", "purchase_frequency_days")
 PROFILE_KEYS = ("gender", "season", "discount_applied", "shipping_type", "customer_segment")
 LOCATION_KEYS = ("location",)
@@ -23,8 +24,8 @@ BOOK_SEGMENTS: dict[tuple[str, ...], dict[str, tuple[str, ...]]] = {
         "product": ("item_purchased", "category"),
         "category": ("category",),
         "item": ("item_purchased",),
-        "rating": ("category", "review_rating"),
     },
+    RATING_KEYS: {"rating": ("category", "review_rating")},
     BUYER_KEYS: {
         "buyer": ("age_group", "subscription_status", "frequency_of_purchases"),
         "age_group": ("age_group",),
@@ -79,8 +80,8 @@ def _entries(needed: dict[tuple[str, ...], dict[str, tuple[str, ...]]]) -> str:
 def report_groups(purchases: DataFrame, segments: Collection[str] = SEGMENT_NAMES) -> DataFrame:
     """One row per (segment, keys) with the merged measures.
 
-    Takes purchases before or after rating imputation. With the segment
-    ``rating``, ``n_rated`` and ``rating_total`` cover the ratings that are present.
+    Takes purchases before or after rating imputation. With the segment ``rating``,
+    every row has ``n_rated`` and ``rating_total`` of the ratings that are present.
     """
     needed = _needed(segments)
     prepared = purchases.withColumns(
@@ -90,16 +91,17 @@ def report_groups(purchases: DataFrame, segments: Collection[str] = SEGMENT_NAME
             "review_rating": F.expr("if(category IS NOT NULL AND NOT isnan(double(review_rating)), review_rating, NULL)"),
         }
     )
-    groups = prepared.groupingSets(list(needed), *(k for keys in needed for k in keys)).agg(
-        *base_aggregates(prepared), *(F.grouping(keys[0]).alias(f"_outside_{keys[0]}") for keys in needed)
+    aggregates = base_aggregates(prepared)
+    if "rating" in segments:
+        prepared = prepared.withColumn("rating", F.col("review_rating"))  # as the other is a key
+        aggregates += rating_aggregates("rating")
+    groups = prepared.groupingSets(list(needed), *dict.fromkeys(k for keys in needed for k in keys)).agg(
+        *aggregates, *(F.grouping(keys[0]).alias(f"_outside_{keys[0]}") for keys in needed)
     )
     columns = ["n_rows", "n_priced", "revenue", "lowest", "highest"]
     merged = merged_aggregates()
     if "rating" in segments:
-        columns += [
-            "if(review_rating IS NOT NULL, n_rows, 0) AS n_rated",
-            f"cast(review_rating AS {RATING}) * n_rows AS rating_total",
-        ]
+        columns += ["n_rated", "rating_total"]
         merged += [F.sum("n_rated").alias("n_rated"), F.sum("rating_total").alias("rating_total")]
     return groups.selectExpr(f"inline({_entries(needed)})", *columns).groupBy("segment", *KEY_COLUMNS).agg(*merged)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from purchase_insights.functions.measures import (
@@ -58,8 +58,7 @@ def finish_report(groups: DataFrame, segment: Segment) -> DataFrame:
     if segment.min_rows is not None:
         groups = groups.where(F.col("n_rows") >= segment.min_rows)
     if "revenue_percentage" in segment.measures:
-        # One row per group is left here, so the unpartitioned window is small.
-        groups = groups.withColumn("all_revenue", F.sum("revenue").over(Window.partitionBy()))
+        groups = groups.withColumn("all_revenue", groups.agg(F.sum("revenue")).scalar())
     if segment.order_by:
         # The keys break ties, which makes a limited report repeatable.
         groups = groups.orderBy(_rank(segment.order_by, segment.ascending), *segment.keys)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from purchase_insights.operators.segments import Segment, segment_report
 from purchase_insights.plans.reports import TOP_N
+from purchase_insights.schema import conform
 
 CHARTS: dict[str, Segment] = {
     "chart_revenue_by_category": Segment(("category",), ("total_revenue",)),
@@ -19,4 +20,4 @@ CHARTS: dict[str, Segment] = {
 
 def chart_data(purchases: DataFrame, name: str) -> DataFrame:
     """The dataset of one chart, computed on its own."""
-    return segment_report(purchases, CHARTS[name])
+    return segment_report(conform(purchases), CHARTS[name])

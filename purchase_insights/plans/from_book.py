@@ -16,6 +16,9 @@ from purchase_insights.sources.scratch import materialize
 _BOOK_SEGMENT = {keys: name for segments in BOOK_SEGMENTS.values() for name, keys in segments.items()}
 
 
+CHART_SEGMENTS = frozenset(_BOOK_SEGMENT[segment.keys] for segment in CHARTS.values())
+
+
 def _key(name: str, column: str) -> Column:
     kind = "int" if name == "purchase_frequency_days" else "string"
     return F.col(column).cast(kind).alias(name)

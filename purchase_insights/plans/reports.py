@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from purchase_insights.functions.columns import loyalty_segment
 from purchase_insights.functions.measures import average_purchase, base_aggregates
 from purchase_insights.operators.segments import Segment, segment_report
-from purchase_insights.schema import require_columns
+from purchase_insights.schema import conform, require_columns
 
 TOP_N = 10
 MIN_ROWS = 20
@@ -81,11 +81,11 @@ def report(purchases: DataFrame, name: str, **changes) -> DataFrame:
     ``changes`` replace fields of its ``Segment``, e.g. ``limit`` or ``min_rows``.
     """
     if name == "overall":
-        return overall(purchases)
+        return overall(conform(purchases))
     segment = replace(SEGMENTS[name], **changes)
     if "customer_segment" in segment.keys:
         purchases = with_loyalty(purchases)
-    return segment_report(require_columns(purchases, *segment.keys, "purchase_amount"), segment)
+    return segment_report(conform(require_columns(purchases, *segment.keys, "purchase_amount")), segment)
 
 
 REPORT_NAMES: tuple[str, ...] = ("overall", *SEGMENTS)

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from itertools import zip_longest
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from purchase_insights.functions.formats import count, literal, money, percent, plain_money
@@ -38,6 +38,33 @@ DISCOUNT_DOES_NOT_RAISE = (
     "Avoid broad discounts. Use targeted promotions instead, especially for inactive or low-frequency customers.",
 )
 
+# What the recommendations say before their actions; {1} to {3} are the evidence.
+LEADS = {
+    1: "Focus additional marketing and inventory investment on {1}, the highest revenue category. Potential actions:",
+    2: "Increase visibility for {1}, which is currently one of the strongest revenue-generating products."
+    " Potential actions:",
+    3: "Prioritize the customer segment: Age Group: {1}, Subscription: {2}, Purchase Frequency: {3}."
+    " This segment currently generates the highest segment revenue.",
+    4: "Encourage customers to purchase more frequently using:",
+    5: "Do not automatically give discounts to all customers. Use customer segmentation to target:",
+    6: "Increase marketing investment in high-performing locations. The highest revenue location is: {1}."
+    " Also investigate locations with high average purchases, such as: {2}."
+    " These markets may represent opportunities for premium products and targeted expansion.",
+    7: "The strongest revenue season is: {1}. Before this season:",
+    8: "Build a loyalty strategy around high-value customers. Potential programs:",
+}
+
+# What the data cannot tell, and what follows.
+LIMITATIONS = (
+    "The dataset does not include product cost.",
+    "Profit cannot be calculated.",
+    "The dataset does not contain transaction dates.",
+    "Revenue growth over time cannot be calculated.",
+    "Each customer_id appears once in the current dataset.",
+    "Therefore, recommendations focus on increasing customer spending, improving targeting, and identifying"
+    " high-value customer and product opportunities.",
+)
+
 # Titles and actions of the recommendations.
 RECOMMENDATIONS: dict[int, tuple[str, tuple[str, ...]]] = {
     1: (
@@ -80,13 +107,7 @@ RECOMMENDATIONS: dict[int, tuple[str, tuple[str, ...]]] = {
             "Customers who may need incentives to return",
         ),
     ),
-    6: (
-        "INVEST IN HIGH-POTENTIAL LOCATIONS",
-        (
-            "Increase marketing investment in high-performing locations",
-            "Also investigate locations with high average purchases",
-        ),
-    ),
+    6: ("INVEST IN HIGH-POTENTIAL LOCATIONS", ()),
     7: (
         "PREPARE FOR STRONG SALES SEASONS",
         (
@@ -251,8 +272,26 @@ def executive_summary(purchases: DataFrame) -> DataFrame:
     return summary_from_book(report_book(purchases, SUMMARY_SEGMENTS))
 
 
+def _quoting(text: str, evidence: Iterable[str]) -> str:
+    """SQL for a text with evidence in place of {1}, {2} and {3}."""
+    sql = literal(text)
+    for i, column in enumerate(evidence, 1):
+        sql = f"replace({sql}, '{{{i}}}', string({column}))"
+    return sql
+
+
+def limitations(spark: SparkSession) -> DataFrame:
+    """(line_no, limitation): what the reports cannot tell."""
+    lines = ", ".join(f"struct({i} AS line_no, {literal(text)} AS limitation)" for i, text in enumerate(LIMITATIONS, 1))
+    return spark.range(1).selectExpr(f"inline(array({lines}))")
+
+
 def recommendations_from_book(book: DataFrame) -> DataFrame:
-    """(rec_no, title, evidence_1, evidence_2, evidence_3, actions)."""
+    """(rec_no, title, lead, evidence_1, evidence_2, evidence_3, actions).
+
+    ``lead`` quotes the evidence and is NULL without any that it quotes; ``actions``
+    is an array, empty where the lead says it all.
+    """
     evidence = {
         1: ("category.key_1",),
         2: ("top_product.key_1",),
@@ -264,11 +303,12 @@ def recommendations_from_book(book: DataFrame) -> DataFrame:
         {
             "rec_no": str(number),
             "title": literal(title),
+            "lead": _quoting(LEADS[number], evidence.get(number, ())),
             **{
                 f"evidence_{i}": f"string({sql})"
                 for i, sql in zip_longest((1, 2, 3), evidence.get(number, ()), fillvalue="NULL")
             },
-            "actions": literal("; ".join(actions)),
+            "actions": f"cast(array({', '.join(map(literal, actions))}) AS array<string>)",
         }
         for number, (title, actions) in RECOMMENDATIONS.items()
     )

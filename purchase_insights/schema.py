@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(12, 2)
@@ -11,7 +14,7 @@ MONEY = T.DecimalType(12, 2)
 # are kept as text.
 RAW_TYPES: dict[str, T.DataType] = {
     "customer_id": T.LongType(),
-    "age": T.IntegerType(),
+    "age": T.DoubleType(),
     "gender": T.StringType(),
     "item_purchased": T.StringType(),
     "category": T.StringType(),
@@ -46,6 +49,53 @@ PURCHASE_COLUMNS: tuple[str, ...] = (
 )
 
 
+# Holds any amount or whole number a text or another decimal may give.
+WIDE = T.DecimalType(38, 18)
+
+
+def exact_cast(value: Column, source: T.DataType, kind: T.DataType, name: str) -> Column:
+    """``value`` as ``kind``; an error that names the column where that would change it.
+
+    Texts may write whole numbers as ``34.0`` or ``1e3``. Binary numbers count as the
+    decimal that they print as.
+    """
+    if source == kind:
+        return value
+    text = isinstance(source, T.StringType)
+    if isinstance(kind, T.StringType) or isinstance(kind, (T.DoubleType, T.FloatType)):
+        return value.cast(kind)
+    if not isinstance(kind, (T.DecimalType, T.IntegralType)):
+        return value.cast(kind)
+    number = F.trim(value).cast(WIDE) if text else value
+    cast = number.cast(kind)
+    changed = cast.cast(source) != value if not text else (cast.cast(WIDE) != number) | (
+        cast.cast("double") != value.cast("double")
+    )
+    message = F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(f" does not fit {kind.simpleString()}"))
+    return F.when(changed, F.raise_error(message).cast(kind)).otherwise(cast)
+
+
+def conform(df: DataFrame, types: Mapping[str, T.DataType] | None = None) -> DataFrame:
+    """Amounts, ids and counts of purchases in the types that the reports rely on.
+
+    For tables of any source: amounts of another type become decimals, so that they
+    are summed exactly. A value that its type would change is an error; ``types`` gives
+    a column a wider one. Conforming columns, and other columns, are left alone.
+    """
+    known = {name: RAW_TYPES[name] for name in ("customer_id", "purchase_amount", "previous_purchases")} | dict(types or {})
+
+    def conformed(field: T.StructField) -> Column:
+        kind, column = known.get(field.name), df[field.name]
+        wider = isinstance(kind, T.DecimalType) and isinstance(field.dataType, T.DecimalType)
+        wider |= isinstance(kind, T.IntegralType) and isinstance(field.dataType, T.IntegralType)
+        if kind is None or wider:
+            return column
+        return exact_cast(column, field.dataType, kind, field.name).alias(field.name)
+
+    fields = [conformed(field) for field in df.schema]
+    return df.select(*fields)
+
+
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     """Return ``df``, or raise ``ValueError`` naming the columns it lacks."""
     missing = [name for name in names if name not in df.columns]

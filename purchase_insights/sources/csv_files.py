@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from purchase_insights.functions.columns import null_if_missing
-from purchase_insights.schema import RAW_TYPES
+from purchase_insights.functions.formats import shortest_number
+from purchase_insights.schema import RAW_TYPES, exact_cast
+from purchase_insights.sources.scratch import path_exists
 
 BOM = "﻿"
-SINGLE_FILE_MAX_ROWS = 1_000_000
 
 
 def read_purchases_csv(
@@ -27,8 +28,9 @@ def read_purchases_csv(
 
     Only the header is read up front; no pass over the data infers types. Known
     columns (matched by their normalised header) get the types of ``RAW_TYPES``,
-    overridden by ``types`` (amounts with more than two decimals need a wider one);
-    others stay text. Texts that mark a missing value become NULL.
+    overridden by ``types``; others stay text. Texts that mark a missing value become
+    NULL. Whole numbers may be written ``34.0``; a number that its type would change,
+    as ``53.999`` an amount of two decimals, is an error that names the column.
 
     Files are split across tasks unless ``multi_line`` is set, which is needed
     when quoted fields hold line breaks. A record of the wrong length is an
@@ -48,7 +50,8 @@ def read_purchases_csv(
     def typed(name: str):
         value = null_if_missing(F.col(f"`{name}`"))
         kind = known.get(name.lower().replace(" ", "_"), T.StringType())
-        return value.cast(kind).alias(name)
+        kind = T.DataType.fromDDL(kind) if isinstance(kind, str) else kind
+        return exact_cast(value, T.StringType(), kind, name).alias(name)
 
     return text.select(*(typed(name) for name in text.columns))
 
@@ -58,26 +61,33 @@ class ExportStats:
     rows: int
     columns: int
     files: int
-    size_kb: float
+    size_bytes: int
+
+    @property
+    def size_kb(self) -> float:
+        return self.size_bytes / 1024
 
 
 def _written_files(spark: SparkSession, path: str) -> tuple[int, int]:
-    """Number and total bytes of the CSV files in a folder; no file is opened."""
+    """Number and total bytes of the CSV files in a folder, if it exists; no file is opened."""
+    if not path_exists(spark, path):
+        return 0, 0
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
     return tuple(files.agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first())
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "error") -> ExportStats:
+def export_csv(df: DataFrame, path: str, mode: str = "error") -> ExportStats:
     """Write ``df`` as a folder of CSV files for a BI tool.
 
     Each file has a header and starts with a UTF-8 byte order mark; missing
-    values are empty fields. ``single_file`` is for small extracts: it checks
-    the number of rows and refuses more than ``SINGLE_FILE_MAX_ROWS``.
+    values are empty fields, binary numbers are written in the shortest form that
+    gives the same number. There is a file per partition of ``df``; the statistics
+    are of this write alone.
     """
-    if single_file:
-        if df.limit(SINGLE_FILE_MAX_ROWS + 1).count() > SINGLE_FILE_MAX_ROWS:
-            raise ValueError(f"more than {SINGLE_FILE_MAX_ROWS:,} rows; export without single_file")
-        df = df.repartition(1)
+    before = _written_files(df.sparkSession, path) if mode == "append" else (0, 0)
+    binary = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    columns = len(df.columns)
+    df = df.select(*(shortest_number(df[c]).alias(c) if c in binary else df[c] for c in df.columns))
     written = Observation("export")
     first, *others = df.columns
     out = df.toDF(BOM + first, *others).observe(written, F.count(F.lit(1)).alias("rows"))
@@ -92,7 +102,7 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False, mode: str =
         encoding="UTF-8",
     )
     files, size = _written_files(df.sparkSession, path)
-    return ExportStats(rows=written.get["rows"], columns=len(df.columns), files=files, size_kb=size / 1024)
+    return ExportStats(written.get["rows"], columns, files=files - before[0], size_bytes=size - before[1])
 
 
 def read_export(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:

@@ -13,6 +13,9 @@ VIEW = "purchases"
 # Connection settings.
 SSL_MODE = "require"
 CONNECT_TIMEOUT_SECONDS = "10"
+
+# Rows that the driver holds at a time; without it a whole range is loaded at once.
+FETCH_ROWS = "10000"
 UNSUPPORTED_PARAMETER = "channel_binding=require"
 
 
@@ -45,7 +48,7 @@ def database_url(environment: Mapping[str, str] | None = None) -> str:
 def jdbc_options(url: str) -> dict[str, str]:
     """Options of Spark's JDBC source for a ``postgresql://user:password@host/db`` URL."""
     parts = urlsplit(url)
-    parameters = dict(parse_qsl(parts.query))
+    parameters = {"fetchsize": FETCH_ROWS, **dict(parse_qsl(parts.query))}
     parameters.update(sslmode=SSL_MODE, connectTimeout=CONNECT_TIMEOUT_SECONDS)
     address = parts.hostname or ""
     if parts.port:
@@ -70,7 +73,8 @@ def read_database_table(
 
     ``bounds`` are the smallest and largest value of ``partition_column``; when
     not given they are asked from the database. They only place the cuts: rows
-    outside are read as well.
+    outside are read as well. A range should fit a task: give large tables more
+    ``partitions``, as many as the database allows connections.
     """
     reader = spark.read.format("jdbc").options(**options)
     if bounds is None:

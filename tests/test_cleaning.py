@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from purchase_insights.functions.columns import MISSING_TOKENS, null_if_missing
-from purchase_insights.operators import cleaning
+from purchase_insights.operators import cleaning, median
 from purchase_insights.operators.median import grouped_median
 
 
@@ -64,17 +64,13 @@ def test_imputation_joins_by_shuffle_beyond_the_broadcast_limit(spark, monkeypat
     broadcast = cleaning.impute_rating(df)
     assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().toString()
     monkeypatch.setattr(cleaning, "BROADCAST_LIMIT_BYTES", 0)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        shuffled = cleaning.impute_rating(df)
-        assert "BroadcastHashJoin" not in shuffled._jdf.queryExecution().toString()
-        assert sorted(map(str, shuffled.collect())) == sorted(map(str, broadcast.collect()))
-        # The group is spread by a salt, and grouping by it combines before a new shuffle.
-        plan = shuffled.groupBy("category").count()._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin [category" in plan and "_salt" in plan
-        assert "partial_count" in plan
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = cleaning.impute_rating(df)
+    assert "BroadcastHashJoin" not in shuffled._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, shuffled.collect())) == sorted(map(str, broadcast.collect()))
+    # The group is spread by a salt, and grouping by it combines before a new shuffle.
+    plan = shuffled.groupBy("category").count()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [category" in plan and "_salt" in plan
+    assert "partial_count" in plan
 
 
 def test_median_of_many_random_groups(spark):
@@ -109,6 +105,20 @@ def test_median_with_a_hot_group(spark):
     assert found == expected
 
 
+def test_median_of_many_values_in_one_band(spark, monkeypatch):
+    """100,000 values within one band: no window sees more than a bounded number."""
+    windows = []
+    monkeypatch.setattr(median, "ORDERED_AT_ONCE", 500)
+    narrowed = median._narrowed
+    monkeypatch.setattr(median, "_narrowed", lambda active: windows.append(active.count()) or narrowed(active))
+    values = spark.range(100_000).select(F.lit("k").alias("k"), (1e6 + F.col("id") * F.col("id") / 1e9).alias("v"))
+    others = spark.range(101).select(F.lit("few").alias("k"), F.col("id").cast("double").alias("v"))
+    found = {r["k"]: r["median"] for r in grouped_median(values.union(others), "k", "v").collect()}
+    middle = (1e6 + 49_999.0 * 49_999.0 / 1e9, 1e6 + 50_000.0 * 50_000.0 / 1e9)
+    assert found == {"k": sum(middle) / 2, "few": 50.0}
+    assert windows[0] > 1000 and windows == sorted(windows, reverse=True) and len(windows) <= 5
+
+
 def test_age_bands(spark):
     ages = [17, 18, 29, 29.5, 30, 44, 45, 59, 60, 70, 71, None]
     df = spark.createDataFrame([(a if a is None else float(a),) for a in ages], "age double")

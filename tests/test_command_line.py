@@ -45,7 +45,7 @@ def test_reports(spark, loaded, tmp_path, capsys):
     assert "PROTECT CUSTOMER RETENTION" in printed
     assert spark.read.parquet(str(tmp_path / "overall")).first()["total_transactions"] == 150
     written = {folder.name for folder in tmp_path.iterdir()}
-    assert written == {*REPORT_NAMES, *CHARTS, "executive_summary", "discount_insight", "recommendations"}
+    assert written == {*REPORT_NAMES, *CHARTS, "executive_summary", "discount_insight", "recommendations", "limitations"}
 
 
 def test_charts_from_a_catalog_table(spark, loaded, tmp_path):
@@ -56,5 +56,8 @@ def test_charts_from_a_catalog_table(spark, loaded, tmp_path):
 
 
 def test_export(loaded, tmp_path, capsys):
-    main(["export", loaded, str(tmp_path / "out"), "--single-file"])
-    assert capsys.readouterr().out.startswith("150 rows, 16 columns, 1 file(s), ")
+    main(["export", loaded, str(tmp_path / "out")])
+    assert capsys.readouterr().out.startswith("150 rows, 16 columns, ")
+    with pytest.raises(Exception, match="already exists"):
+        main(["export", loaded, str(tmp_path / "out")])
+    main(["export", loaded, str(tmp_path / "out"), "--overwrite"])

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from decimal import Decimal
 from pathlib import Path
 
@@ -8,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from purchase_insights.operators.cleaning import clean_purchases
-from purchase_insights.sources import csv_files
 from purchase_insights.sources.csv_files import export_csv, read_export, read_purchases_csv
 
 SCHEMA = "id bigint, text string, amount decimal(12,2), rating double"
@@ -33,7 +33,7 @@ def exported_bytes(path: Path) -> bytes:
 
 def test_export_is_what_pandas_writes(spark, tmp_path):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    stats = export_csv(df, str(tmp_path / "out"), single_file=True)
+    stats = export_csv(df.coalesce(1), str(tmp_path / "out"))
     frame = pd.DataFrame(ROWS, columns=df.columns).astype({"id": "Int64"})
     expected = frame.to_csv(index=False, na_rep="").encode("utf-8-sig")
     found = exported_bytes(tmp_path / "out")
@@ -54,17 +54,39 @@ def test_export_reads_back(spark, tmp_path):
 
 
 def test_export_of_an_empty_table_has_a_header(spark, tmp_path):
-    stats = export_csv(spark.createDataFrame([], SCHEMA), str(tmp_path / "out"), single_file=True)
+    stats = export_csv(spark.createDataFrame([], SCHEMA).coalesce(1), str(tmp_path / "out"))
     assert exported_bytes(tmp_path / "out") == b"\xef\xbb\xbfid,text,amount,rating\n"
     assert stats.rows == 0
 
 
-def test_a_single_file_is_refused_for_many_rows(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(csv_files, "SINGLE_FILE_MAX_ROWS", 9)
+NUMBERS = [
+    1e7, 12345678.9, 0.0001, 0.00012345, 1e-5, 1.5e-7, 3.5, -2.0, 0.0, 1e16, 123456789012345.6, 1e22, -9.99e-300,
+    float("inf"), -float("inf"), float("nan"), None,
+]
+
+
+def test_binary_numbers_are_written_as_pandas_does(spark, tmp_path):
+    df = spark.createDataFrame([(x,) for x in NUMBERS], "x double").coalesce(1)
+    export_csv(df, str(tmp_path / "out"))
+    expected = pd.DataFrame({"x": pd.array(NUMBERS, dtype="float64")}).to_csv(index=False, na_rep='""')
+    found = exported_bytes(tmp_path / "out").decode("utf-8-sig").replace("\n\n", '\n""\n').replace("\n\n", '\n""\n')
+    assert found.split("\n")[:16] == expected.split("\n")[:16]
+
+
+def test_statistics_of_an_append_are_its_own(spark, tmp_path):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    with pytest.raises(ValueError, match="single_file"):
-        export_csv(df, str(tmp_path / "out"), single_file=True)
-    assert export_csv(df.limit(9), str(tmp_path / "out"), single_file=True).files == 1
+    first = export_csv(df.coalesce(1), str(tmp_path / "out"))
+    second = export_csv(df.limit(3).repartition(2), str(tmp_path / "out"), mode="append")
+    sizes = [f.stat().st_size for f in (tmp_path / "out").glob("*.csv")]
+    assert (first.rows, first.files, second.rows, second.files) == (len(ROWS), 1, 3, 2)
+    assert first.size_bytes + second.size_bytes == sum(sizes)
+
+
+def test_an_export_of_more_than_a_million_rows_is_whole(spark, tmp_path):
+    df = spark.range(1_200_000)
+    stats = export_csv(df, str(tmp_path / "out"))
+    assert stats.rows == 1_200_000
+    assert read_export(spark, str(tmp_path / "out"), df.schema).agg(F.sum("id")).first()[0] == 1_200_000 * 1_199_999 // 2
 
 
 RAW_CSV = '''Customer ID,Age,Category,Item Purchased,Purchase Amount (USD),Review Rating,Frequency of Purchases,Promo Code Used,Color
@@ -104,6 +126,38 @@ def test_types_can_be_overridden(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(29.5, 7)]
 
 
+@pytest.mark.parametrize(
+    ("column", "text", "value"),
+    [
+        ("Previous Purchases", "34.0", 34), ("Previous Purchases", "1e1", 10), ("Previous Purchases", " 7 ", 7),
+        ("Age", "29.5", 29.5), ("Age", "34.0", 34.0), ("Purchase Amount (USD)", "53.990", Decimal("53.99")),
+        ("Purchase Amount (USD)", "1e2", Decimal("100.00")), ("Customer ID", "12345678901.0", 12345678901),
+    ],
+)
+def test_numbers_written_in_other_ways(spark, tmp_path, column, text, value):
+    path = write(tmp_path / "raw.csv", f"{column},Color\n{text},red\n")
+    assert read_purchases_csv(spark, path).first()[0] == value
+
+
+@pytest.mark.parametrize(
+    ("column", "text"),
+    [
+        ("Previous Purchases", "34.5"), ("Purchase Amount (USD)", "53.999"), ("Purchase Amount (USD)", "0.004"),
+        ("Purchase Amount (USD)", "0.00000000000000000001"), ("Customer ID", "1.25"),
+    ],
+)
+def test_a_value_that_its_type_would_change_is_an_error(spark, tmp_path, column, text):
+    path = write(tmp_path / "raw.csv", f"{column},Color\n{text},red\n")
+    with pytest.raises(Exception, match=re.escape(f"{column}: {text} does not fit")):
+        read_purchases_csv(spark, path).collect()
+
+
+def test_a_wider_type_keeps_more_decimals(spark, tmp_path):
+    path = write(tmp_path / "raw.csv", "Purchase Amount (USD),Color\n53.999,red\n")
+    rows = read_purchases_csv(spark, path, types={"purchase_amount_(usd)": "decimal(18,4)"}).collect()
+    assert rows[0][0] == Decimal("53.9990")
+
+
 def test_text_in_a_number_column_is_an_error(spark, tmp_path):
     path = write(tmp_path / "raw.csv", "Age\nold\n")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):

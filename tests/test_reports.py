@@ -210,7 +210,7 @@ def test_missing_columns_are_named(spark):
 
 def test_pipeline_writes_every_report(spark, tmp_path):
     reports = build_reports(mixed(spark).select(*PURCHASE_COLUMNS))
-    assert set(reports) == {*REPORT_NAMES, *CHARTS, "executive_summary", "discount_insight", "recommendations"}
+    assert set(reports) == {*REPORT_NAMES, *CHARTS, "executive_summary", "discount_insight", "recommendations", "limitations"}
     write_reports(reports, str(tmp_path / "parquet"))
     some = {name: reports[name] for name in ("category", "chart_top_products")}
     write_reports(some, str(tmp_path / "csv"), "csv")
@@ -219,3 +219,22 @@ def test_pipeline_writes_every_report(spark, tmp_path):
             stored = spark.read.format(file_format).options(header=True).load(str(tmp_path / file_format / name))
             assert stored.columns == frame.columns
             assert stored.count() == frame.count()
+
+
+def test_amounts_of_other_types_are_summed_exactly(spark):
+    """Doubles become decimals before they are added; one that doesn't fit is an error."""
+    df = purchases(spark, *({"purchase_amount": "0.10"} for _ in range(10)))
+    doubles = df.withColumn("purchase_amount", F.col("purchase_amount").cast("double"))
+    assert report(doubles, "overall").first() == report(df, "overall").first()
+    assert report(doubles, "overall").first()["total_revenue"] == 1.0
+    odd = doubles.withColumn("purchase_amount", F.lit(53.999))
+    with pytest.raises(Exception, match="purchase_amount: 53.999"):
+        report(odd, "overall").collect()
+
+
+def test_ratings_beyond_nine_decimals_and_large_ones(spark):
+    df = purchases(spark, *({"review_rating": r} for r in [2.12345678949, 2e9] * 10))
+    for found in (report(df, "rating"), build_reports(df)["rating"]):
+        assert found.first()["average_rating"] == pytest.approx((2.12345678949 + 2e9) / 2, rel=1e-15)
+    fine = purchases(spark, *({"review_rating": 2.12345678949} for _ in range(20)))
+    assert report(fine, "rating").first()["average_rating"] == 2.12345678949

@@ -47,7 +47,8 @@ def test_jdbc_options():
         "connectTimeout": "10",
         "fetchsize": "500",
     }
-    assert jdbc_options("postgresql://host/db")["url"] == "jdbc:postgresql://host/db"
+    plain = jdbc_options("postgresql://host/db")
+    assert (plain["url"], plain["fetchsize"]) == ("jdbc:postgresql://host/db", "10000")
 
 
 class RecordingReader:
