@@ -57,7 +57,7 @@ class Vocabulary:
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.findall = regex.compile(PATTERN).findall
         self.pre_tokenizer = Tokenizer.from_file(path).pre_tokenizer
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}  # left << 32 | right
 
     def _undone(self, left: int, right: int, horizon: float) -> bool:
         """Whether no merge of rank below ``horizon`` joins the end of left to the start of right."""
@@ -81,33 +81,31 @@ class Vocabulary:
         rank, left, right = self.parts[token]
         return self._undone(left, right, rank) and self._reachable(left) and self._reachable(right)
 
-    def may_follow(self, left: int, right: int) -> bool:
-        found = self.follows.get((left, right))
+    def may_follow(self, pair: int) -> bool:
+        found = self.follows.get(pair)
         if found is None:
             if len(self.follows) >= 4 * CACHED_WORDS:
                 self.follows.clear()
-            found = self.follows[left, right] = self._undone(left, right, float("inf"))
+            found = self.follows[pair] = self._undone(pair >> 32, pair & 0xFFFFFFFF, float("inf"))
         return found
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word of the pre-tokenizer."""
         text = word.encode().decode("latin-1")
-        last = [(-1, 0)] * (len(text) + 1)  # prefix length -> (last token, its length)
-        settled = 0
+        last_token, last_start = [0] * len(text), [0] * len(text)  # by the position of a prefix's end
+        may_follow, settled = self.may_follow, -1
         for end, (token, length) in self.automaton.iter(text):
-            end += 1
             if end == settled:
                 continue
-            before = end - length
-            if before == 0 or self.may_follow(last[before][0], token):
-                last[end] = (token, length)
+            start = end - length + 1
+            if start == 0 or may_follow(last_token[start - 1] << 32 | token):
+                last_token[end], last_start[end] = token, start
                 settled = end
         ids = []
         at = len(text)
         while at:
-            token, length = last[at]
-            ids.append(token)
-            at -= length
+            ids.append(last_token[at - 1])
+            at = last_start[at - 1]
         ids.reverse()
         return ids
 
@@ -149,11 +147,19 @@ class Encoder:
         self.vocabulary = Vocabulary(path)
         self.of_word = _Generations(lambda word: np.array(self.vocabulary.encode_word(word), np.int32).tobytes())
         #: What stands between two blanks, with the blank before it.
-        self.of_chunk = _Generations(lambda chunk: self._join(self.vocabulary.words(" " + chunk)))
+        self.of_chunk = _Generations(self._chunk)
 
     def _join(self, words: list[str]) -> bytes:
         return b"".join(map(self.of_word.__getitem__, words))
 
+    def _chunk(self, chunk: str) -> bytes:
+        """A blank and what follows; letters with at most one mark after them need no pattern."""
+        mark = chunk[-1:] if chunk[-1:] in (".", ",") else ""
+        stem = chunk[: -len(mark)] if mark else chunk
+        if stem.isalpha() and SETTLED.fullmatch(stem):
+            return self.of_word[" " + stem] + (self.of_word[mark] if mark else b"")
+        return self._join(self.vocabulary.words(" " + chunk))
+
     def _plain(self, text: str) -> bytes:
         """A blank belongs to the word after it unless white space or the end follows."""
         if LOOSE_BLANK.search(text):
