@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from purchase_insights.llm.sampling import in_batches
+
 #: The pre-tokenizer's pattern: fixed values of this kind of vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose class is the same in every version of Unicode that the libraries have.
@@ -203,4 +205,4 @@ def encode_documents(docs: DataFrame, path: str, decode: bool = False) -> DataFr
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id bigint, ids array<int>" + (", decoded string" if decode else "")
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encode, schema)
+    return in_batches(docs).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encode, schema)

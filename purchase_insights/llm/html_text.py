@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from purchase_insights.llm.dom import HEADINGS, Node, parse
 from purchase_insights.llm.labelled_pages import labelled_pages
+from purchase_insights.llm.sampling import in_batches
 
 WRAPPER, CONTENT, OTHER = range(3)
 #: Tags that say little by themselves. Siblings of one kind look alike, so that their
@@ -164,5 +165,5 @@ def extract_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
             texts = [extractor.text(page.as_py() or "") for page in batch["html"]]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    chosen = pages.select(F.col("page_id").cast("bigint"), "url", "html")
+    chosen = in_batches(pages).select(F.col("page_id").cast("bigint"), "url", "html")
     return chosen.mapInArrow(extract, "page_id bigint, url string, text string")

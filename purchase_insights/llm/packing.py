@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from purchase_insights.llm.sampling import in_batches
 from purchase_insights.sources.scratch import materialize
 
 CACHED_WORDS = 500_000
@@ -167,7 +168,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, kee
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
+    return in_batches(docs).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
         cut, schema + (", ids array<int>" if keep_ids else "")
     )
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purchase_insights.llm.sampling import unused_name
+from purchase_insights.llm.sampling import in_batches, unused_name
 from purchase_insights.sources.scratch import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -35,7 +35,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-COUNTED_AT_ONCE = 200_000
+COUNTED_AT_ONCE = 100_000
 
 
 def _luhn(digits: str) -> bool:
@@ -139,7 +139,7 @@ def _detect(docs: DataFrame, words: int, reach: int) -> DataFrame:
         f"base_sha256 string, base array<{SPAN}>, "
         "mentions array<struct<entity: bigint, term: string, start: int, end: int>>"
     )
-    source = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash"))
+    source = in_batches(docs).select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash"))
     return source.mapInArrow(detect, schema)
 
 
@@ -163,7 +163,7 @@ def _document_counts(docs: DataFrame) -> DataFrame:
                     yield counted()
         yield counted()
 
-    partial = docs.select("text").mapInArrow(count, "term string, n_docs bigint")
+    partial = in_batches(docs).select("text").mapInArrow(count, "term string, n_docs bigint")
     return partial.groupBy("term").agg(F.sum("n_docs").alias("n_docs"))
 
 
@@ -253,5 +253,5 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
                 out["n_chars"] = pc.coalesce(counted, batch["n_chars"])
             yield pa.RecordBatch.from_pydict(out)
 
-    joined = docs.join(spans, same, "left").select(*(docs[c] for c in columns), spans["spans"].alias(name))
+    joined = in_batches(docs).join(spans, same, "left").select(*(docs[c] for c in columns), spans["spans"].alias(name))
     return joined.mapInArrow(rewrite, schema)

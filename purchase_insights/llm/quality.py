@@ -110,7 +110,7 @@ def _holds(rule: Rule, x: np.ndarray, names: list[str]) -> np.ndarray:
     return np.logical_and.reduce([(x[:, names.index(n)] > t) == above for n, above, t in rule])
 
 
-def _lasso(holds: np.ndarray, y: np.ndarray, penalty: float = 5e-4, steps: int = 1500) -> tuple[np.ndarray, float]:
+def _lasso(holds: np.ndarray, y: np.ndarray, penalty: float = 2e-3, steps: int = 1500) -> tuple[np.ndarray, float]:
     """Logistic regression with an L1 penalty by accelerated proximal gradient steps."""
     design = np.column_stack([holds, np.ones(len(y))])
     rate = 4 * len(y) / max(np.linalg.norm(design, 2) ** 2, 1e-9)
@@ -125,10 +125,15 @@ def _lasso(holds: np.ndarray, y: np.ndarray, penalty: float = 5e-4, steps: int =
 
 
 def _scored(docs: DataFrame, model: Model, score_name: str) -> DataFrame:
-    """``docs`` and a column with the score; the statistics that rules use are computed once."""
+    """``docs`` and a column with the score.
+
+    The statistics that rules use are the one row of a generator, which the optimizer
+    doesn't look through: it would put each of them into every condition on it.
+    """
     used = {name for rule, _ in model.rules for name, _, _ in rule}
     prefix = unused_name("stat_", docs)
-    columns = {prefix + name: column for name, column in statistics(F.col("text")).items() if name in used}
+    stats = statistics(F.col("text")).items()
+    columns = [column.alias(prefix + name) for name, column in stats if name in used]
     kept = docs.columns
 
     def compiled(rule: Rule, weight: float) -> Column:
@@ -137,7 +142,8 @@ def _scored(docs: DataFrame, model: Model, score_name: str) -> DataFrame:
         return F.when(reduce(Column.__and__, conditions), weight).otherwise(0.0)
 
     z = reduce(Column.__add__, (compiled(rule, weight) for rule, weight in model.rules), F.lit(model.bias))
-    return docs.withColumns(columns).select(*kept, (1 / (1 + F.exp(-z))).alias(score_name))
+    measured = docs.select(*kept, F.inline(F.array(F.struct(*columns)))) if columns else docs
+    return measured.select(*kept, (1 / (1 + F.exp(-z))).alias(score_name))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Bounded, repeatable samples for training, folds of the labelled rows, and free column names."""
+"""Bounded, repeatable samples for training, folds of the labelled rows, and small things that operators share."""
 
 from __future__ import annotations
 
@@ -6,6 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Texts that a Python worker gets at a time.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_batches(texts: DataFrame) -> DataFrame:
+    """``texts``, whose session hands at most ``BATCH_ROWS`` rows at a time to Python from now on.
+
+    Spark's own 10,000 whole texts would fill a worker's memory; a smaller setting stays.
+    """
+    conf = texts.sparkSession.conf
+    now = int(conf.get(_BATCH_SETTING, "0"))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return texts
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds

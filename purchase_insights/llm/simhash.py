@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from purchase_insights.llm.components import connected_components
+from purchase_insights.llm.sampling import in_batches
 from purchase_insights.sources.scratch import materialize
 
 SEED = 42
@@ -53,7 +54,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
             names = ["doc_id", "text_hash", "fingerprint"]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], column], names)
 
-    source = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash"))
+    source = in_batches(docs).select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash"))
     return source.mapInArrow(compute, "doc_id bigint, text_hash bigint, fingerprint bigint")
 
 

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purchase_insights.llm.sampling import sample_ids
+from purchase_insights.llm.sampling import in_batches, sample_ids
 
 WORD = re.compile(r"[^\W\d_]+")
-BINS = 1 << 22
+BINS = 1 << 21
 PREFIXES = (3, 4, 5)
 MAX_FEATURES = 2048
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 
 class Model(NamedTuple):
@@ -65,7 +65,7 @@ def _bins_of_documents(docs: DataFrame) -> DataFrame:
             columns = [batch["doc_id"], batch["toxic"], pa.array(found, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "bins"])
 
-    source = docs.select(F.col("doc_id").cast("bigint"), "toxic", "text")
+    source = in_batches(docs).select(F.col("doc_id").cast("bigint"), "toxic", "text")
     return source.mapInArrow(extract, "doc_id bigint, toxic int, bins array<int>")
 
 
@@ -101,7 +101,7 @@ def train(
 def _fit(
     bins: np.ndarray, sizes: np.ndarray, is_toxic: np.ndarray, prior: float, classifiers: int, steps: int
 ) -> Model:
-    row_of = np.repeat(np.arange(len(sizes)), sizes)
+    row_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     n_toxic, n_other = is_toxic.sum(), (~is_toxic).sum()
     in_toxic = np.bincount(bins[is_toxic[row_of]], minlength=BINS) / n_toxic
     in_other = np.bincount(bins[~is_toxic[row_of]], minlength=BINS) / n_other
@@ -152,7 +152,7 @@ class _Scorer:
 
     def __init__(self, model: Model):
         self.weights, self.bias = model
-        self.known = _Words(lambda word: [b for b in word_bins(word) if b in self.weights])
+        self.known = _Words(lambda word: tuple(b for b in word_bins(word) if b in self.weights))
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         z = np.empty(len(texts))
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             scores = pa.array(scorer.scores(batch["text"]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], scores], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(apply, "doc_id bigint, score double")
+    scored = in_batches(docs).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(apply, "doc_id bigint, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -193,4 +193,4 @@ def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(scorer.scores(batch["text"]) < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_batches(docs).mapInArrow(keep, docs.schema)
