@@ -22,6 +22,9 @@ from purchase_insights.sources.scratch import materialize
 
 LARGE_BUCKET = 2000
 ROWS_AT_ONCE = 512
+#: The share of pairs at the threshold that are to have a common filter, and on how many it is measured.
+RECALL = 0.99
+PLANTED = 4000
 
 
 class Code(NamedTuple):
@@ -33,8 +36,58 @@ class Code(NamedTuple):
     least: int
 
 
-def make_code(dimensions: int, words_per_block: int, filters_per_vector: float, seed: int = 5) -> Code:
-    """A code of four blocks whose bound lets a random unit vector pass so many filters on average."""
+def _halves(unit: np.ndarray, rotation: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products with all pairs of words of the first two blocks, and of the last two."""
+    near = np.einsum("nbd,bwd->nbw", (unit @ rotation).reshape(len(unit), 4, -1), words)
+    first = (near[:, 0, :, None] + near[:, 1, None, :]).reshape(len(unit), -1)
+    return first, (near[:, 2, :, None] + near[:, 3, None, :]).reshape(len(unit), -1)
+
+
+def pairs_at(cosine: float, dimensions: int, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors, and for each another one at the cosine."""
+    a, b = rng.normal(size=(2, n, dimensions))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+    b = cosine * a + np.sqrt(max(0.0, 1 - cosine * cosine)) * b
+    return a, b / np.linalg.norm(b, axis=1, keepdims=True)
+
+
+def _bound_for(probes: np.ndarray, rotation: np.ndarray, words: np.ndarray, filters_per_vector: float) -> float:
+    """The bound that lets the probes pass so many filters on average, all directions counted."""
+    first, second = _halves(probes, rotation, words)
+    second = np.sort(second, axis=1)
+    low, high = -1.0, 1.0
+    while high - low > 1e-5:
+        bound = (low + high) / 2
+        passed = sum(second.shape[1] * len(f) - int(np.searchsorted(s, bound - f).sum()) for f, s in zip(first, second))
+        low, high = (bound, high) if passed > filters_per_vector * len(probes) else (low, bound)
+    return low
+
+
+def shared_filters(a: np.ndarray, b: np.ndarray, code: Code) -> float:
+    """The share of pairs of rows that pass a common filter."""
+    n_shared, n_directions = 0, code.words.shape[1] ** 4
+    for start in range(0, len(a), 100):
+        sides = (passed_filters(unit[start : start + 100], code) for unit in (a, b))
+        common = np.intersect1d(*(rows * n_directions + filters for rows, filters in sides), assume_unique=True)
+        n_shared += len(np.unique(common // n_directions))
+    return n_shared / len(a)
+
+
+def make_code(
+    dimensions: int,
+    words_per_block: int,
+    filters_per_vector: float | None = None,
+    seed: int = 5,
+    threshold: float = 0.93,
+    recall: float = RECALL,
+) -> Code:
+    """A code of four blocks, whose bound gives at least a share ``recall`` of pairs at the threshold a common filter.
+
+    The share is measured on planted pairs. With ``filters_per_vector`` the bound lets a
+    random unit vector pass so many filters on average instead, whatever the recall.
+    """
     rng = np.random.default_rng(seed)
     padded = -(-dimensions // 4) * 4
     rotation = np.linalg.qr(rng.normal(size=(padded, padded)))[0][:dimensions]
@@ -42,12 +95,21 @@ def make_code(dimensions: int, words_per_block: int, filters_per_vector: float,
     words /= 2 * np.linalg.norm(words, axis=2, keepdims=True)  # four of norm 1/2 make a direction of norm 1
     probes = rng.normal(size=(200, dimensions))
     probes /= np.linalg.norm(probes, axis=1, keepdims=True)
-    near = np.einsum("nbd,bwd->nbw", (probes @ rotation).reshape(200, 4, -1), words)
-    halves = [(near[:, b, :, None] + near[:, b + 1, None, :]).reshape(200, -1) for b in (0, 2)]
-    picks = rng.integers(0, words_per_block**2, size=(2, 200, 20_000))
-    sums = np.take_along_axis(halves[0], picks[0], 1) + np.take_along_axis(halves[1], picks[1], 1)
-    share = filters_per_vector / float(words_per_block) ** 4
-    return Code(rotation, words, float(np.quantile(sums, 1 - share)), max(1, int(filters_per_vector // 2)))
+
+    def code_for(filters: float) -> Code:
+        return Code(rotation, words, _bound_for(probes, rotation, words, filters), max(1, int(filters // 2)))
+
+    if filters_per_vector is not None:
+        return code_for(filters_per_vector)
+    a, b = pairs_at(threshold, dimensions, PLANTED, rng)
+    measured = recall + 2 * (recall * (1 - recall) / PLANTED) ** 0.5  # two standard errors more
+    few, enough = 4.0, 8.0
+    while enough < words_per_block**4 and shared_filters(a, b, code_for(enough)) < measured:
+        few, enough = enough, 2 * enough
+    while enough > 1.05 * few:
+        filters = (few * enough) ** 0.5
+        few, enough = (few, filters) if shared_filters(a, b, code_for(filters)) >= measured else (filters, enough)
+    return code_for(enough)
 
 
 def passed_filters(unit: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +121,7 @@ def passed_filters(unit: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray
     second list is cut for each of the first where the bound is no longer reached.
     """
     n_words, least = code.words.shape[1], code.least
-    near = np.einsum("nbd,bwd->nbw", (unit @ code.rotation).reshape(len(unit), 4, -1), code.words)
-    first = (near[:, 0, :, None] + near[:, 1, None, :]).reshape(len(unit), -1)
-    second = (near[:, 2, :, None] + near[:, 3, None, :]).reshape(len(unit), -1)
+    first, second = _halves(unit, code.rotation, code.words)
     rows, filters = [], []
     for i in range(len(unit)):
         order = np.argsort(-second[i])
@@ -168,20 +228,25 @@ def _bucket_links(buckets: DataFrame, threshold: float) -> DataFrame:
     return buckets.mapInArrow(link, "a bigint, b bigint")
 
 
-def near_links(vectors: DataFrame, threshold: float, filters_per_vector: float) -> DataFrame:
+def words_for(n: int) -> int:
+    """Words per block for n vectors: about n / 4 directions, so that few filters per vector reach the recall."""
+    return int(np.clip(round((n / 4) ** 0.25), 8, 64))
+
+
+def near_links(vectors: DataFrame, threshold: float, filters_per_vector: float | None = None) -> DataFrame:
     """Links a < b of cosine ``threshold`` or more between different vectors of one label.
 
     ``vectors`` has label, vec_id and embedding (an array of numbers, of one length, none
     zero) and each vector once. The number of directions follows the number of vectors,
-    so that a bucket's expected size stays the same. Buckets with more than
-    ``LARGE_BUCKET`` rows are cut into chunks that are compared two at a time.
+    so that a bucket's expected size grows only as the filters per vector that the recall
+    takes. Buckets with more than ``LARGE_BUCKET`` rows are cut into chunks that are
+    compared two at a time.
     """
     first = vectors.select(F.size("embedding").alias("n")).first()
     if first is None:
         return vectors.sparkSession.createDataFrame([], "a bigint, b bigint")
     n = vectors.count()
-    words_per_block = int(np.clip(round((4 * n) ** 0.25), 8, 64))
-    code = make_code(first["n"], words_per_block, filters_per_vector)
+    code = make_code(first["n"], words_for(n), filters_per_vector, threshold=threshold)
     sizes = _filtered(vectors, code, False).groupBy("label", "filter").agg(F.count(F.lit(1)).alias("n"))
     large = materialize(sizes.where(F.col("n") > LARGE_BUCKET), "large-buckets")
     rows = _filtered(vectors, code, True)
@@ -205,7 +270,7 @@ def near_links(vectors: DataFrame, threshold: float, filters_per_vector: float)
     return _bucket_links(dealt, threshold).distinct()
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, filters_per_vector: float = 32) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, filters_per_vector: float | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of ``embeddings`` (vec_id, embedding, label).
 
     Rows are linked if their labels are equal and not null and their vectors' cosine is
@@ -215,8 +280,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, filters_per_
     component_id is the smallest vec_id that links reach (the row's own included), kept
     is whether the two are equal. Equal vectors of a label are compared once and counted
     as often as they occur, so no pairs of copies are made; repeated rows are such
-    copies. Other columns are ignored. Nothing is linked below the threshold; how many
-    links are found depends on ``filters_per_vector``.
+    copies. Other columns are ignored. Nothing is linked below the threshold. Of the
+    links at the threshold a share ``RECALL`` is expected to be found, of closer ones more,
+    whatever the number of rows; ``filters_per_vector`` fixes the effort instead.
     """
     kind = "float" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "double"
     numbers = F.transform("embedding", lambda x: x.cast(kind) + F.lit(0).cast(kind))  # no negative zeros

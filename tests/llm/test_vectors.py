@@ -88,6 +88,15 @@ def test_listed_filters_are_those_that_exceed_the_bound():
         assert surely <= listed <= perhaps
 
 
+@pytest.mark.parametrize("n", [10_256, 1_000_000, 3_000_000])
+def test_recall_at_the_threshold_does_not_fall_with_the_table(n):
+    code = embedding_dups.make_code(64, embedding_dups.words_for(n), threshold=0.93)
+    a, b = embedding_dups.pairs_at(0.93, 64, 1000, np.random.default_rng(77))
+    (i, f), (j, g) = (embedding_dups.passed_filters(x, code) for x in (a, b))
+    pairs = set(zip(i.tolist(), f.tolist())) & set(zip(j.tolist(), g.tolist()))
+    assert len({row for row, _ in pairs}) >= 980  # 32 filters for any n gave 0.86 at 3 million
+
+
 def test_no_vectors(spark):
     empty = frame(spark, ODD).limit(0)
     assert embedding_dups.near_duplicates(empty).count() == 0
