@@ -3,15 +3,16 @@
 What the patterns find are the protected entities. How strongly a term near an entity
 reveals it is estimated from the corpus: the pointwise mutual information of the two,
 as a share of the entity's information content, is 1 for a term that occurs with
-nothing else. Beyond the thresholds such a term is removed or generalised too.
+nothing else. Beyond the thresholds such a term is removed or generalised too, wherever
+in the corpus it stands.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Set
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 COUNTED_AT_ONCE = 100_000
+#: So many of the most common terms that cannot be disclosing are left out before any join.
+COMMON_TERMS = 20_000
 
 
 def _luhn(digits: str) -> bool:
@@ -100,6 +103,20 @@ def nearby_terms(text: str, spans: list[tuple[str, int, int]], words: int, reach
     return found
 
 
+def uncovered_terms(text: str, spans: list[tuple[str, int, int]], common: Set[str]) -> dict[str, list[tuple[int, int]]]:
+    """Where each term of a text stands that is not among the common ones, without what overlaps a span."""
+    covered = sorted((start, end) for _, start, end in spans)
+    found, k, latest = defaultdict(list), 0, 0
+    for match in TERM.finditer(text):
+        a, b = match.span()
+        while k < len(covered) and covered[k][0] < b:
+            latest = max(latest, covered[k][1])
+            k += 1
+        if latest <= a and (term := match[0].lower()) not in common:
+            found[term].append((a, b))
+    return found
+
+
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
@@ -158,7 +175,7 @@ def _document_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch["text"]:
-                counts.update(set(TERM.findall((text.as_py() or "").lower())))
+                counts.update({term.lower() for term in set(TERM.findall(text.as_py() or ""))})
                 if len(counts) > COUNTED_AT_ONCE:
                     yield counted()
         yield counted()
@@ -167,6 +184,51 @@ def _document_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("term").agg(F.sum("n_docs").alias("n_docs"))
 
 
+def _most_common(terms: DataFrame) -> frozenset[str]:
+    """At most ``COMMON_TERMS`` of (term, n_docs)."""
+    return frozenset(r["term"] for r in terms.orderBy(F.desc("n_docs"), "term").limit(COMMON_TERMS).collect())
+
+
+def _occurrences(docs: DataFrame, common: Set[str]) -> DataFrame:
+    """doc_id, text_hash, term, starts, ends: a row for each row of ``docs`` and each of its uncovered terms."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, terms, starts, ends = [], [], [], []
+            for row, value in enumerate(batch["text"]):
+                text = value.as_py() or ""
+                for term, places in uncovered_terms(text, base_spans(text), common).items():
+                    rows.append(row)
+                    terms.append(term)
+                    starts.append([a for a, _ in places])
+                    ends.append([b for _, b in places])
+            taken = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch["doc_id"].take(taken),
+                "text_hash": batch["text_hash"].take(taken),
+                "term": pa.array(terms, pa.string()),
+                "starts": pa.array(starts, pa.list_(pa.int32())),
+                "ends": pa.array(ends, pa.list_(pa.int32())),
+            })
+
+    source = in_batches(docs).select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash"))
+    return source.mapInArrow(find, "doc_id bigint, text_hash bigint, term string, starts array<int>, ends array<int>")
+
+
+def _marks(docs: DataFrame, terms: DataFrame, disclosing: DataFrame, remove_from: float) -> DataFrame:
+    """marked_doc, marked_hash, marks: every occurrence of the disclosing terms, the removed ones first."""
+    common = _most_common(terms.join(disclosing, "term", "left_anti"))
+    places = _occurrences(docs, common).join(disclosing, "term")
+    places = places.select("doc_id", "text_hash", "strength", F.explode(F.arrays_zip("starts", "ends")).alias("at"))
+    later = F.col("strength") < remove_from
+    kind = F.when(later, "generalise").otherwise("remove")
+    order = F.struct(later.alias("later"), F.col("at.starts").alias("start"), F.col("at.ends").alias("end"), kind.alias("kind"))
+    of_row = places.groupBy(F.col("doc_id").alias("marked_doc"), F.col("text_hash").alias("marked_hash"))
+    of_row = of_row.agg(F.sort_array(F.collect_set(order)).alias("marks"))
+    as_spans = F.transform("marks", lambda t: F.struct(t["kind"].alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+    return of_row.select("marked_doc", "marked_hash", as_spans.alias("marks"))
+
+
 def personal_data(
     docs: DataFrame,
     remove_from: float = 0.9,
@@ -180,8 +242,9 @@ def personal_data(
     Columns: doc_id, text_hash, n_email, n_ip, n_card, n_phone, base_sha256, and spans,
     an array of (kind, start, end) in code points: those of the patterns by kind, then
     terms to ``remove`` and to ``generalise``. A term counts as disclosing if at least
-    ``min_documents`` documents have it near the entity and its strength (see above)
-    reaches a threshold. Statistics are taken over all documents. A missing text is
+    ``min_documents`` documents have it near an entity and its strength (see above), the
+    largest over all entities, reaches a threshold. It is then marked wherever it stands
+    in any document, unless it overlaps a span of the patterns. Statistics are taken over all documents. A missing text is
     empty and has no spans; repeated rows are repeated; other columns are ignored.
     """
     found = materialize(_detect(docs, words, reach), "personal-data")
@@ -190,24 +253,19 @@ def personal_data(
     near = mentions.groupBy("entity", "term").agg(F.count_distinct("row").alias("n_both"))
     near = near.where(F.col("n_both") >= min_documents)
     entities = mentions.groupBy("entity").agg(F.count_distinct("row").alias("n_entity"))
-    of_term = _document_counts(docs)
+    of_term = materialize(_document_counts(docs).where(F.col("n_docs") >= min_documents), "term-counts")
     information = F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
     mutual = F.log2(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_entity") * F.col("n_docs")))
     strength = F.when(information > 0, mutual / information)
-    disclosing = near.join(entities, "entity").join(of_term, "term").select("entity", "term", strength.alias("strength"))
+    disclosing = near.join(entities, "entity").join(of_term, "term").groupBy("term").agg(F.max(strength).alias("strength"))
     disclosing = materialize(disclosing.where(F.col("strength") >= generalise_from), "disclosing-terms")
-    terms = mentions.join(disclosing, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("strength").alias("strength"))
-    kind = F.when(F.col("strength") >= remove_from, "remove").otherwise("generalise")
-    # sorted with the removed terms first
-    order = F.struct((F.col("strength") < remove_from).alias("later"), "start", "end", kind.alias("kind"))
-    of_row = terms.groupBy("row").agg(F.sort_array(F.collect_list(order)).alias("terms"))
-    as_spans = F.transform("terms", lambda t: F.struct(t["kind"].alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+    kept = [c for c in found.columns if c not in ("row", "base", "mentions")]
+    if disclosing.isEmpty():
+        return found.select(*kept, F.col("base").alias("spans"))
+    marks = _marks(docs, of_term, disclosing, remove_from)
+    same = found["doc_id"].eqNullSafe(marks["marked_doc"]) & (found["text_hash"] == marks["marked_hash"])
     none = F.array().cast(f"array<{SPAN}>")
-    joined = found.drop("mentions").join(of_row, "row", "left")
-    return joined.select(
-        *(c for c in found.columns if c not in ("row", "base", "mentions")),
-        F.concat("base", F.coalesce(as_spans, none)).alias("spans"),
-    )
+    return found.join(marks, same, "left").select(*kept, F.concat("base", F.coalesce("marks", none)).alias("spans"))
 
 
 def span_text(spans: str = "spans"):

@@ -109,6 +109,15 @@ def test_sanitise(docs):
     assert all(r.n_chars == len(r.text) for r in changed)
 
 
+def test_disclosing_terms_go_everywhere(docs):
+    """Also where the address does not stand: in doc 203, twice in the table, and in texts without any entity."""
+    found = pii.personal_data(docs, generalise_from=0.7).where("doc_id = 203").collect()
+    assert [[tuple(s) for s in r.spans] for r in found] == [[("generalise", 0, 8)]] * 2
+    far = docs.limit(1).selectExpr("400L AS doc_id", "repeat('x ', 300) || 'Zanzibar, zanzibar' AS text", "spans", "n_chars", "row", "term")
+    rows = {r.doc_id: r.text for r in pii.sanitise(docs.union(far), generalise_from=0.6).collect()}
+    assert rows[203] == "zan* alone" and rows[400] == "x " * 300 + "Zan*, zan*"
+
+
 def test_empty(docs):
     assert pii.personal_data(docs.limit(0)).count() == 0
     assert pii.sanitise(docs.limit(0)).count() == 0
