@@ -1,7 +1,7 @@
 """Personal data: patterns, and terms that disclose what the patterns protect.
 
-What the patterns find are the protected entities. How strongly a term near an entity
-reveals it is estimated from the corpus: the pointwise mutual information of the two,
+What the patterns find are the protected entities. How strongly a term of the documents
+with an entity reveals it is estimated from the corpus: the pointwise mutual information of the two,
 as a share of the entity's information content, is 1 for a term that occurs with
 nothing else. Beyond the thresholds such a term is removed or generalised too, wherever
 in the corpus it stands.
@@ -14,11 +14,9 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Set
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +32,11 @@ NUMERIC = re.compile(r"[0-9+][0-9+ ().-]{6,}")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{3,}")
+TERM = re.compile(r"[^\W_]{3,}")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 COUNTED_AT_ONCE = 100_000
-#: So many of the most common terms that cannot be disclosing are left out before any join.
-COMMON_TERMS = 20_000
+#: So many of the most common terms and entities are known to the tasks, to leave out early what cannot be disclosing.
+LISTED = 20_000
 
 
 def _luhn(digits: str) -> bool:
@@ -78,29 +76,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [span for kind in KINDS for span in found[kind]]
 
 
-def nearby_terms(text: str, spans: list[tuple[str, int, int]], words: int, reach: int) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) of up to ``words`` terms on either side of each span.
-
-    A term lies within ``reach`` characters and overlaps no span. An entity is a hash
-    of the kind and the value without punctuation.
-    """
-    covered = sorted((start, end) for _, start, end in spans)
-    starts = np.array([s for s, _ in covered])
-    latest = np.maximum.accumulate([e for _, e in covered]) if covered else starts
-    found = []
+def entities(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    """The different entities of a text: a hash of the kind and the value without punctuation."""
+    found = set()
     for kind, start, end in spans:
         value = text[start:end].lower() if kind in ("email", "ip") else NOT_DIGIT.sub("", text[start:end])
-        entity = xxhash.xxh64_intdigest(f"{kind}:{value}") >> 1
-        low, high = max(0, start - reach), min(len(text), end + reach)
-        before = [m for m in TERM.finditer(text, low, start)][-words:]
-        after = [m for _, m in zip(range(words), TERM.finditer(text, end, high))]
-        for match in before + after:
-            a, b = match.span()
-            cut = (a == low and low > 0 and text[a - 1].isalpha()) or (b == high and b < len(text) and text[b].isalpha())
-            k = int(np.searchsorted(starts, b)) - 1  # the last span that starts before the term ends
-            if not cut and (k < 0 or latest[k] <= a):
-                found.append((entity, match[0].lower(), a, b))
-    return found
+        found.add(xxhash.xxh64_intdigest(f"{kind}:{value}") >> 1)
+    return sorted(found)
 
 
 def uncovered_terms(text: str, spans: list[tuple[str, int, int]], common: Set[str]) -> dict[str, list[tuple[int, int]]]:
@@ -124,37 +106,30 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 SPAN = "struct<kind: string, start: int, end: int>"
 
 
-def _detect(docs: DataFrame, words: int, reach: int) -> DataFrame:
-    mention = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+def _detect(docs: DataFrame) -> DataFrame:
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            spans, mentions = [], []
+            spans, named = [], []
             for value in batch["text"]:
                 text = value.as_py() or ""
                 found = base_spans(text)
                 spans.append(found)
-                mentions.append(nearby_terms(text, found, words, reach) if found else [])
+                named.append(entities(text, found))
             counts = [[sum(s[0] == kind for s in found) for found in spans] for kind in KINDS]
             yield pa.RecordBatch.from_pydict({
-                "row": pa.array(np.arange(row, row + len(spans))),
                 "doc_id": batch["doc_id"],
                 "text_hash": batch["text_hash"],
                 **{f"n_{kind}": pa.array(n, pa.int64()) for kind, n in zip(KINDS, counts)},
                 "base_sha256": pa.array([hashlib.sha256(_joined(found).encode()).hexdigest() for found in spans]),
                 "base": pa.array([[dict(zip(("kind", "start", "end"), s)) for s in found] for found in spans], pa.list_(span)),
-                "mentions": pa.array(
-                    [[dict(zip(("entity", "term", "start", "end"), m)) for m in found] for found in mentions], pa.list_(mention)
-                ),
+                "entities": pa.array(named, pa.list_(pa.int64())),
             })
-            row += len(spans)
 
     schema = (
-        "row bigint, doc_id bigint, text_hash bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
-        f"base_sha256 string, base array<{SPAN}>, "
-        "mentions array<struct<entity: bigint, term: string, start: int, end: int>>"
+        "doc_id bigint, text_hash bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
+        f"base_sha256 string, base array<{SPAN}>, entities array<bigint>"
     )
     source = in_batches(docs).select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash"))
     return source.mapInArrow(detect, schema)
@@ -184,9 +159,9 @@ def _document_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("term").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def _most_common(terms: DataFrame) -> frozenset[str]:
-    """At most ``COMMON_TERMS`` of (term, n_docs)."""
-    return frozenset(r["term"] for r in terms.orderBy(F.desc("n_docs"), "term").limit(COMMON_TERMS).collect())
+def _most_common(counts: DataFrame, key: str, count: str) -> dict:
+    """The ``LISTED`` largest counts by key."""
+    return {r[key]: r[count] for r in counts.orderBy(F.desc(count), key).limit(LISTED).collect()}
 
 
 def _occurrences(docs: DataFrame, common: Set[str]) -> DataFrame:
@@ -195,6 +170,20 @@ def _occurrences(docs: DataFrame, common: Set[str]) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, terms, starts, ends = [], [], [], []
+
+            def listed() -> pa.RecordBatch:
+                taken = pa.array(rows, pa.int64())
+                out = pa.RecordBatch.from_pydict({
+                    "doc_id": batch["doc_id"].take(taken),
+                    "text_hash": batch["text_hash"].take(taken),
+                    "term": pa.array(terms, pa.string()),
+                    "starts": pa.array(starts, pa.list_(pa.int32())),
+                    "ends": pa.array(ends, pa.list_(pa.int32())),
+                })
+                for column in (rows, terms, starts, ends):
+                    column.clear()
+                return out
+
             for row, value in enumerate(batch["text"]):
                 text = value.as_py() or ""
                 for term, places in uncovered_terms(text, base_spans(text), common).items():
@@ -202,22 +191,61 @@ def _occurrences(docs: DataFrame, common: Set[str]) -> DataFrame:
                     terms.append(term)
                     starts.append([a for a, _ in places])
                     ends.append([b for _, b in places])
-            taken = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch["doc_id"].take(taken),
-                "text_hash": batch["text_hash"].take(taken),
-                "term": pa.array(terms, pa.string()),
-                "starts": pa.array(starts, pa.list_(pa.int32())),
-                "ends": pa.array(ends, pa.list_(pa.int32())),
-            })
+                if len(rows) > COUNTED_AT_ONCE:
+                    yield listed()
+            yield listed()
 
     source = in_batches(docs).select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash"))
     return source.mapInArrow(find, "doc_id bigint, text_hash bigint, term string, starts array<int>, ends array<int>")
 
 
+def _together(docs: DataFrame, named: DataFrame, terms: DataFrame, n_docs: int, generalise_from: float) -> DataFrame:
+    """entity, term, n_both, n_entity: in how many documents both stand, wherever in the text.
+
+    Both stand in n_entity documents at most, so a term in more documents than
+    ``most`` stays below the threshold and is left out early if it is a listed one.
+    """
+
+    def most(n_entity: int) -> float:
+        return n_docs * (n_entity / n_docs) ** generalise_from * (1 + 1e-9)
+
+    common = _most_common(terms, "term", "n_docs")
+    sizes = _most_common(named, "entity", "n_entity")
+    limits = {entity: most(n) for entity, n in sizes.items()}
+    unlisted = min(limits.values()) if len(limits) == LISTED else None  # None: too few documents have it
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[int, str]] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({
+                "entity": pa.array([entity for entity, _ in counts], pa.int64()),
+                "term": pa.array([term for _, term in counts], pa.string()),
+                "n_both": pa.array(counts.values(), pa.int64()),
+            })
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for value in batch["text"]:
+                text = value.as_py() or ""
+                spans = base_spans(text)
+                limited = [(e, limit) for e in entities(text, spans) if (limit := limits.get(e, unlisted)) is not None]
+                if limited:
+                    found = [(term, common.get(term, 0)) for term in uncovered_terms(text, spans, frozenset())]
+                    for entity, limit in limited:
+                        counts.update((entity, term) for term, n in found if n <= limit)
+                        if len(counts) > COUNTED_AT_ONCE:
+                            yield counted()
+        yield counted()
+
+    partial = in_batches(docs).select("text").mapInArrow(find, "entity bigint, term string, n_both bigint")
+    return partial.join(named, "entity").groupBy("entity", "term", "n_entity").agg(F.sum("n_both").alias("n_both"))
+
+
 def _marks(docs: DataFrame, terms: DataFrame, disclosing: DataFrame, remove_from: float) -> DataFrame:
     """marked_doc, marked_hash, marks: every occurrence of the disclosing terms, the removed ones first."""
-    common = _most_common(terms.join(disclosing, "term", "left_anti"))
+    common = frozenset(_most_common(terms.join(disclosing, "term", "left_anti"), "term", "n_docs"))
     places = _occurrences(docs, common).join(disclosing, "term")
     places = places.select("doc_id", "text_hash", "strength", F.explode(F.arrays_zip("starts", "ends")).alias("at"))
     later = F.col("strength") < remove_from
@@ -234,34 +262,37 @@ def personal_data(
     remove_from: float = 0.9,
     generalise_from: float = 0.75,
     min_documents: int = 3,
-    words: int = 8,
-    reach: int = 120,
 ) -> DataFrame:
     """Personal data of each row of ``docs`` (doc_id, text).
 
     Columns: doc_id, text_hash, n_email, n_ip, n_card, n_phone, base_sha256, and spans,
     an array of (kind, start, end) in code points: those of the patterns by kind, then
     terms to ``remove`` and to ``generalise``. A term counts as disclosing if at least
-    ``min_documents`` documents have it near an entity and its strength (see above), the
+    ``min_documents`` documents hold it and an entity and its strength (see above), the
     largest over all entities, reaches a threshold. It is then marked wherever it stands
-    in any document, unless it overlaps a span of the patterns. Statistics are taken over all documents. A missing text is
-    empty and has no spans; repeated rows are repeated; other columns are ignored.
+    in any document, unless it overlaps a span of the patterns. Statistics are taken over
+    all documents. A missing text is empty and has no spans; repeated rows are repeated;
+    other columns are ignored.
     """
-    found = materialize(_detect(docs, words, reach), "personal-data")
-    mentions = found.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
+    found = materialize(_detect(docs), "personal-data")
+    kept = [c for c in found.columns if c not in ("base", "entities")]
+    without_terms = found.select(*kept, F.col("base").alias("spans"))
     n_docs = found.count()
-    near = mentions.groupBy("entity", "term").agg(F.count_distinct("row").alias("n_both"))
-    near = near.where(F.col("n_both") >= min_documents)
-    entities = mentions.groupBy("entity").agg(F.count_distinct("row").alias("n_entity"))
+    named = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # what stands in all documents has no information
+    named = named.where((F.col("n_entity") >= min_documents) & (F.col("n_entity") < n_docs))
+    named = materialize(named, "entities")
+    if named.isEmpty():
+        return without_terms
     of_term = materialize(_document_counts(docs).where(F.col("n_docs") >= min_documents), "term-counts")
+    together = _together(docs, named, of_term, n_docs, generalise_from).where(F.col("n_both") >= min_documents)
     information = F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
     mutual = F.log2(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_entity") * F.col("n_docs")))
     strength = F.when(information > 0, mutual / information)
-    disclosing = near.join(entities, "entity").join(of_term, "term").groupBy("term").agg(F.max(strength).alias("strength"))
+    disclosing = together.join(of_term, "term").groupBy("term").agg(F.max(strength).alias("strength"))
     disclosing = materialize(disclosing.where(F.col("strength") >= generalise_from), "disclosing-terms")
-    kept = [c for c in found.columns if c not in ("row", "base", "mentions")]
     if disclosing.isEmpty():
-        return found.select(*kept, F.col("base").alias("spans"))
+        return without_terms
     marks = _marks(docs, of_term, disclosing, remove_from)
     same = found["doc_id"].eqNullSafe(marks["marked_doc"]) & (found["text_hash"] == marks["marked_hash"])
     none = F.array().cast(f"array<{SPAN}>")

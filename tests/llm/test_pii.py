@@ -118,6 +118,20 @@ def test_disclosing_terms_go_everywhere(docs):
     assert rows[203] == "zan* alone" and rows[400] == "x " * 300 + "Zan*, zan*"
 
 
+def test_terms_far_from_the_entity_and_with_digits(spark):
+    """A name and a number in the first line, the phone in a signature thousands of words on."""
+    filler = "and so on " * 2000
+    rows = [(k, f"text {k} of common things {filler}") for k in range(40)]
+    rows += [(100 + k, f"Quillon staff90417 55512 {filler} call +1 212 555 0100") for k in range(3)]
+    rows += [(200, "of Quillon, staff90417 and 55512")]
+    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    terms = {i: [(s.kind, texts[i][s.start : s.end]) for s in spans if s.kind in pii.TERM_KINDS] for i, spans in found.items()}
+    want = ["Quillon", "staff90417", "55512"]
+    assert terms[100] == [("remove", "call"), *(("generalise", t) for t in want)]  # 3 of 4 documents: strength 0.89
+    assert [t for _, t in terms[200]] == want and terms[0] == []
+
+
 def test_empty(docs):
     assert pii.personal_data(docs.limit(0)).count() == 0
     assert pii.sanitise(docs.limit(0)).count() == 0
