@@ -10,6 +10,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Their content is not text of the page.
 UNSEEN = RAW | frozenset("head template svg math canvas object video audio select button datalist".split())
+#: What may stand in a head; any other start tag, and text, ends it.
+IN_HEAD = frozenset("title meta link base script style noscript template head html basefont bgsound noframes".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td "
@@ -109,6 +111,8 @@ def parse(page: str) -> list[Node]:
     while at < length:
         tag = TAG.search(page, at)
         start = tag.start() if tag else length
+        if stack[-1][0] == "head" and page[at:start].strip():
+            pop()
         if start > at and not unseen:
             run.append(page[at:start])
             if n_open.get("a"):
@@ -125,6 +129,8 @@ def parse(page: str) -> list[Node]:
                 while pop() != name:
                     pass
             continue
+        if stack[-1][0] == "head" and name not in IN_HEAD:
+            pop()
         if name == "br":
             run.append(" ")
         if name in BLOCKS:

@@ -41,6 +41,13 @@ def test_reader():
     assert blocks("<table><tr><td>a<td>b<tr><td>c</table>") == [(x, ["td", "tr", "table"]) for x in "abc"]
 
 
+def test_head_without_its_end():
+    head = "<html><head><meta charset=utf-8><title>no</title><link href=a><style>p{}</style><noscript><img src=b></noscript>"
+    assert [text for text, _ in blocks(f"{head}<article><p>yes</article></html>")] == ["yes"]
+    assert [text for text, _ in blocks(f"{head} yes <p>too</html>")] == ["yes", "too"]
+    assert [text for text, _ in blocks(f"{head}<template><p>no</template><script>no</script></head><p>yes")] == ["yes"]
+
+
 def test_names():
     node = parse('<div class="siteNav main-menu" id=Comments role=banner style="display: none">x</div>')[1]
     assert node.names() == {"site", "nav", "main", "menu", "comment", "banner", "hidden"}
