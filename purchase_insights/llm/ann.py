@@ -168,6 +168,13 @@ def _usable(embeddings: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
 
 
+def _smallest_ids(embeddings: DataFrame, n: int) -> DataFrame:
+    """vec_id, vector: the n smallest ids of each vector; repeated rows go before a window gathers them."""
+    rows = _usable(embeddings).dropDuplicates(["vec_id", "vector"])
+    place = F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))
+    return rows.withColumn("place", place).where(F.col("place") <= n)
+
+
 def nearest(
     embeddings: DataFrame,
     queries: DataFrame,
@@ -192,9 +199,7 @@ def nearest(
     queries have a bounded size in expectation, and each pair of them is one task's work.
     """
     spark = embeddings.sparkSession
-    smallest = F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))
-    classes = _usable(embeddings).withColumn("place", smallest).where(F.col("place") <= k + 1)
-    classes = classes.groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    classes = _smallest_ids(embeddings, k + 1).groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     classes = materialize(classes, "vector-classes")
     asked = materialize(_usable(queries).dropDuplicates(["vec_id", "vector"]), "queries")
     # the shards of each vector length; there is one length as a rule

@@ -137,6 +137,11 @@ def test_fewer_candidates_than_asked(spark):
     assert [(r["rank"], r.vec_id, r.score) for r in found] == [(1, 4, 240.0), (2, 3, 192.0), (3, 1, 96.0), (4, 0, 48.0)]
 
 
+def test_repeated_rows_meet_in_no_window(spark):
+    table = frame(spark, [(7, [1.0] * 16, 0)] * 500 + [(k, [1.0] * 16, 0) for k in range(5)])
+    assert sorted(r.vec_id for r in ann._smallest_ids(table, 21).collect()) == [0, 1, 2, 3, 4, 7]
+
+
 def test_graph_recall():
     rng = np.random.default_rng(2)
     points = rng.normal(size=(2000, 24)) * rng.uniform(0.5, 2, size=(2000, 1))
