@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purchase_insights.llm import ann, bpe, chat_format, embedding_dups, html_text, packing, pii, quality, simhash, toxicity
+from purchase_insights.llm import (
+    ann,
+    bpe,
+    chat_format,
+    embedding_dups,
+    html_text,
+    packing,
+    pii,
+    quality,
+    resampling,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from purchase_insights.llm.sampling import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +103,15 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, seed=42)
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), model, limit=4096)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": _op1,
@@ -102,6 +124,8 @@ def queries() -> dict[str, Query]:
         "op8_quality": _op8,
         "op9_html_text": _op9,
         "op10_ann": _op10,
+        "op11_resampling": _op11,
+        "op12_token_counts": _op12,
     }
 
 
