@@ -12,6 +12,7 @@ from purchase_insights.llm import (
     ann,
     bpe,
     chat_format,
+    collocations,
     embedding_dups,
     html_text,
     packing,
@@ -112,6 +113,10 @@ def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), model, limit=4096)
 
 
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, percent=80, top=2000)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": _op1,
@@ -126,6 +131,7 @@ def queries() -> dict[str, Query]:
         "op10_ann": _op10,
         "op11_resampling": _op11,
         "op12_token_counts": _op12,
+        "op13_collocations": _op13,
     }
 
 
