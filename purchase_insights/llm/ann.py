@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by inner product over robust-pruned graphs.
 
-Vectors are dealt over shards of bounded size. A shard's graph starts from its
-medoid: for each vector a greedy search proposes neighbours, and pruning keeps one
-only if no kept one is much closer to it, which leaves short and long edges. A beam
-search answers a query in each shard; the best of all shards are its answer. With one
-more coordinate, that makes all indexed vectors equally long, the largest inner
-product is the smallest distance.
+Vectors are dealt over shards of bounded size, those of like length together. A shard's
+graph connects directions (the vectors at length one) and starts from their medoid: for
+each a greedy search proposes neighbours, and pruning keeps one only if no kept one is
+much closer to it, which leaves short and long edges. A beam search along the edges,
+led by the inner product with the vectors themselves, answers a query in each shard; the
+best of all shards are its answer.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,39 +21,38 @@ from pyspark.sql import functions as F
 from purchase_insights.sources.scratch import materialize
 
 INSERTED_AT_ONCE = 256
-SEARCHED_AT_ONCE = 256
 
 
 class Graph(NamedTuple):
-    points: np.ndarray  # with the coordinate added
+    points: np.ndarray  # the directions
     edges: np.ndarray  # row per point, -1 where there are fewer
     entry: int
 
 
-def lengthened(vectors: np.ndarray) -> np.ndarray:
-    """The vectors with a coordinate that gives all of them the length of the longest."""
-    squares = (vectors**2).sum(axis=1)
-    return np.column_stack([vectors, np.sqrt(np.maximum(squares.max() - squares, 0))])
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """The vectors at length one; none is zero."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def beam_search(graph: Graph, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``beam`` closest points found for each query, closest first, and their distances (inf: none).
+def beam_search(graph: Graph, queries: np.ndarray, beam: int, vectors: np.ndarray | None = None) -> np.ndarray:
+    """The ``beam`` points found for each query with the largest inner products, largest first (-1: none).
 
-    All queries take a step together: each looks at the neighbours of its closest
-    point not looked at yet, until its whole beam has been.
+    The products are those with ``vectors``, one per point, by default the points
+    themselves. All queries take a step together: each looks at the neighbours of its
+    best point not looked at yet, until its whole beam has been.
     """
     points, edges, entry = graph
+    vectors = points if vectors is None else vectors
     n_queries, n_points = len(queries), len(points)
     found = np.full((n_queries, beam), -1)
-    distances = np.full((n_queries, beam), np.inf)
+    products = np.full((n_queries, beam), -np.inf)
     found[:, 0] = entry
-    distances[:, 0] = ((points[entry] - queries) ** 2).sum(axis=1)
+    products[:, 0] = queries @ vectors[entry]
     done = np.zeros((n_queries, beam), bool)
     done[:, 1:] = True
     seen = np.zeros((n_queries, n_points), bool)
     seen[:, entry] = True
-    squares = (points**2).sum(axis=1)
-    query_squares = (queries**2).sum(axis=1)
     active = np.arange(n_queries)
     while len(active):
         open_at = np.argmin(done[active], axis=1)
@@ -62,17 +62,16 @@ def beam_search(graph: Graph, queries: np.ndarray, beam: int) -> tuple[np.ndarra
         rows, columns = np.nonzero(fresh)
         targets = near[rows, columns]
         seen[active[rows], targets] = True
-        new = np.full(near.shape, np.inf)
-        products = np.einsum("ij,ij->i", points[targets], queries[active[rows]])
-        new[rows, columns] = squares[targets] - 2 * products + query_squares[active[rows]]
-        all_distances = np.concatenate([distances[active], new], axis=1)
-        order = np.argsort(all_distances, axis=1, kind="stable")[:, :beam]
-        distances[active] = np.take_along_axis(all_distances, order, 1)
+        new = np.full(near.shape, -np.inf)
+        new[rows, columns] = np.einsum("ij,ij->i", vectors[targets], queries[active[rows]])
+        all_products = np.concatenate([products[active], new], axis=1)
+        order = np.argsort(-all_products, axis=1, kind="stable")[:, :beam]
+        products[active] = np.take_along_axis(all_products, order, 1)
         found[active] = np.take_along_axis(np.concatenate([found[active], near], axis=1), order, 1)
         expanded = np.concatenate([done[active], ~fresh], axis=1)
         done[active] = np.take_along_axis(expanded, order, 1)
         active = active[~done[active].all(axis=1)]
-    return np.where(np.isinf(distances), -1, found), distances
+    return np.where(np.isneginf(products), -1, found)
 
 
 def robust_prune(points: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree: int, relax: float) -> np.ndarray:
@@ -107,8 +106,8 @@ def robust_prune(points: np.ndarray, of: np.ndarray, candidates: np.ndarray, deg
 
 
 def build_graph(vectors: np.ndarray, degree: int, beam: int, relax: float, seed: int = 3) -> Graph:
-    """Insert the points in random order, growing batches at a time, and link both ways."""
-    points = lengthened(vectors)
+    """Insert the directions in random order, growing batches at a time, and link both ways."""
+    points = directions(vectors)
     n = len(points)
     entry = int(np.argmin(((points - points.mean(axis=0)) ** 2).sum(axis=1)))
     graph = Graph(points, np.full((n, degree), -1), entry)
@@ -118,7 +117,7 @@ def build_graph(vectors: np.ndarray, degree: int, beam: int, relax: float, seed:
     while at < n:
         batch = order[at : at + max(1, min(INSERTED_AT_ONCE, at // 2))]
         at += len(batch)
-        found, _ = beam_search(graph, points[batch], beam)
+        found = beam_search(graph, points[batch], beam)
         # points of one batch don't find each other, so a few of them are proposed as well
         found = np.column_stack([found, batch[np.argsort(_squared(points[batch]), axis=1)[:, 1:9]]])
         edges = robust_prune(points, batch, found, degree, relax)
@@ -175,11 +174,45 @@ def _smallest_ids(embeddings: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") <= n)
 
 
+#: Bands of length: so far apart are the lengths in one, about, and so many there are at most.
+BAND_RATIO, MOST_BANDS = 1.25, 8
+QUERIES_AT_ONCE = 256
+
+
+def shard_size_for(n: int) -> int:
+    """Vectors per shard for n in all: few shards make few searches, and a graph has to fit a task."""
+    return int(np.clip(32 * n**0.5, 8192, 65536))
+
+
+def _sharded(classes: DataFrame, n: int, shard_size: int) -> tuple[DataFrame, int]:
+    """``classes`` with a shard for each vector, and the number of shards.
+
+    Lengths are cut at their quantiles into as many bands as their spread asks for, and a
+    band by a hash of the vector into shards of about the same size.
+    """
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
+    sized = classes.withColumn("length", length)
+    spread = sized.agg(F.percentile_approx("length", [0.01, 0.99], 1000).alias("at")).first()["at"]
+    low, high = max(spread[0], 1e-300), max(min(spread[1], 1e300), 1e-300)
+    n_bands = int(np.clip(np.ceil(np.log(high / low) / np.log(BAND_RATIO)), 1, MOST_BANDS))
+    cuts = [k / n_bands for k in range(1, n_bands)]
+    bounds = sized.agg(F.percentile_approx("length", cuts, 1000).alias("at")).first()["at"] if cuts else []
+    band = sum(((F.col("length") > bound).cast("int") for bound in bounds), F.lit(0))
+    banded = sized.withColumn("band", band).drop("length")
+    counts = {r["band"]: r["n"] for r in banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shard, first = F.lit(None).cast("bigint"), 0
+    for of_band, size in sorted(counts.items()):
+        pieces = -(-size // shard_size)
+        shard = F.when(F.col("band") == of_band, first + F.pmod(F.xxhash64("vector"), F.lit(pieces))).otherwise(shard)
+        first += pieces
+    return banded.withColumn("shard", shard).drop("band"), first
+
+
 def nearest(
     embeddings: DataFrame,
     queries: DataFrame,
     k: int = 20,
-    shard_size: int = 8192,
+    shard_size: int | None = None,
     degree: int = 32,
     build_beam: int = 48,
     beam: int = 100,
@@ -192,25 +225,25 @@ def nearest(
     by the smaller vec_id; a query's own row is no candidate. Rows without vec_id and
     vectors that are missing, empty, zero or hold a missing or non-finite component
     take no part; repeated rows count once. Vectors are compared with those of their
-    length only. Fewer candidates than ``k`` are all returned; no queries give no rows.
+    dimension only. Fewer candidates than ``k`` are all returned; no queries give no rows.
 
     Every vector is indexed, equal ones once with their k + 1 smallest ids (no larger
-    one can be among k answers, as ties go to the smaller id). Shards and blocks of
-    queries have a bounded size in expectation, and each pair of them is one task's work.
+    one can be among k answers, as ties go to the smaller id). Shards have ``shard_size``
+    vectors in expectation, by default as ``shard_size_for`` finds fit.
     """
     spark = embeddings.sparkSession
     classes = _smallest_ids(embeddings, k + 1).groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     classes = materialize(classes, "vector-classes")
     asked = materialize(_usable(queries).dropDuplicates(["vec_id", "vector"]), "queries")
-    # the shards of each vector length; there is one length as a rule
+    # the shards of each dimension; there is one as a rule
     sizes = {r["d"]: r["n"] for r in classes.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
     asked_sizes = {r["d"]: r["n"] for r in asked.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
     answers = None
     for d in sorted(sizes.keys() & asked_sizes.keys()):
-        found = _search(
-            classes.where(F.size("vector") == d), asked.where(F.size("vector") == d),
-            -(-sizes[d] // shard_size), -(-asked_sizes[d] // 4096), k, degree, build_beam, beam, relax,
-        )
+        sharded, n_shards = _sharded(classes.where(F.size("vector") == d), sizes[d], shard_size or shard_size_for(sizes[d]))
+        graphs = index(sharded, n_shards, degree, build_beam, relax)
+        n_blocks = -(-asked_sizes[d] // QUERIES_AT_ONCE)
+        found = search(graphs, n_shards, asked.where(F.size("vector") == d), n_blocks, k, beam)
         answers = found if answers is None else answers.union(found)
     if answers is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -219,18 +252,10 @@ def nearest(
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _search(
-    classes: DataFrame,
-    asked: DataFrame,
-    n_shards: int,
-    n_blocks: int,
-    k: int,
-    degree: int,
-    build_beam: int,
-    beam: int,
-    relax: float,
-) -> DataFrame:
-    def index(shard: pa.Table) -> pa.Table:
+def index(sharded: DataFrame, n_shards: int, degree: int, build_beam: int, relax: float) -> DataFrame:
+    """The graph of each shard, a row each, written to the shared folder."""
+
+    def build(shard: pa.Table) -> pa.Table:
         vectors = _matrix(shard["vector"])
         graph = build_graph(vectors, degree, build_beam, relax)
         return pa.table({
@@ -241,42 +266,50 @@ def _search(
             "ids": pa.array([shard["ids"].to_pylist()], pa.list_(pa.list_(pa.int64()))),
         })
 
+    schema = "shard bigint, vectors binary, edges binary, entry int, ids array<array<bigint>>"
+    # by ranges, as a hash would bring some shards together in a task
+    dealt = sharded.repartitionByRange(n_shards, "shard")
+    return materialize(dealt.groupBy("shard").applyInArrow(build, schema), "graphs")
+
+
+def search(graphs: DataFrame, n_shards: int, asked: DataFrame, n_blocks: int, k: int, beam: int) -> DataFrame:
+    """query_id, vec_id, score: the best ``k`` of each shard for each query.
+
+    Queries travel in blocks to every shard, a graph to one task, which reads the blocks
+    after it one by one.
+    """
+
     def pack(block: pa.Table) -> pa.Table:
         return pa.table({
-            "block": block["block"].slice(0, 1),
             "query_ids": pa.array([block["vec_id"].to_pylist()], pa.list_(pa.int64())),
-            "query_vectors": pa.array([_matrix(block["vector"]).tobytes()], pa.binary()),
+            "vectors": pa.array([_matrix(block["vector"]).tobytes()], pa.binary()),
         })
 
-    def answer(pair: pa.Table) -> pa.Table:
-        ids = pair["ids"][0].as_py()
-        query_ids = np.array(pair["query_ids"][0].as_py())
-        vectors = np.frombuffer(pair["vectors"][0].as_py()).reshape(len(ids), -1)
-        queries = np.frombuffer(pair["query_vectors"][0].as_py()).reshape(len(query_ids), -1)
-        edges = np.frombuffer(pair["edges"][0].as_py(), np.int32).reshape(len(ids), -1)
-        graph = Graph(lengthened(vectors), edges, pair["entry"][0].as_py())
-        out: list[tuple[int, int, float]] = []
-        for start in range(0, len(queries), SEARCHED_AT_ONCE):
-            some = queries[start : start + SEARCHED_AT_ONCE]
-            found, _ = beam_search(graph, np.column_stack([some, np.zeros(len(some))]), max(beam, k + 1))
-            for query_id, query, near in zip(query_ids[start:].tolist(), some, found):
-                near = near[near >= 0]
-                scores = (vectors[near] * query).sum(axis=1)
-                best = [(-s, i) for s, p in zip(scores.tolist(), near.tolist()) for i in ids[p] if i != query_id]
-                out += [(query_id, i, -s) for s, i in sorted(best)[:k]]
-        columns = list(zip(*out)) or [(), (), ()]
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, vectors, ids = None, None, []
         types = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["query_id", "vec_id", "score"])
-
-    sharded = classes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(n_shards)))
-    graphs = materialize(
-        sharded.groupBy("shard").applyInArrow(
-            index, "shard bigint, vectors binary, edges binary, entry int, ids array<array<bigint>>"
-        ),
-        "graphs",
-    )
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {name: batch[name][at].as_py() for name in ("query_ids", "vectors")}
+                if row["query_ids"] is None:
+                    ids, edges = batch["ids"][at].as_py(), np.frombuffer(batch["edges"][at].as_py(), np.int32)
+                    vectors = np.frombuffer(row["vectors"]).reshape(len(ids), -1)
+                    graph = Graph(directions(vectors), edges.reshape(len(ids), -1), batch["entry"][at].as_py())
+                    continue
+                queries = np.frombuffer(row["vectors"]).reshape(len(row["query_ids"]), -1)
+                found = beam_search(graph, queries, max(beam, k + 1), vectors)
+                out: list[tuple[int, int, float]] = []
+                for query_id, query, near in zip(row["query_ids"], queries, found):
+                    near = near[near >= 0]
+                    scores = (vectors[near] * query).sum(axis=1)
+                    best = [(-s, i) for s, p in zip(scores.tolist(), near.tolist()) for i in ids[p] if i != query_id]
+                    out += [(query_id, i, -s) for s, i in sorted(best)[:k]]
+                columns = list(zip(*out)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["query_id", "vec_id", "score"])
+
     blocked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
-    blocks = blocked.groupBy("block").applyInArrow(pack, "block bigint, query_ids array<bigint>, query_vectors binary")
+    blocks = materialize(blocked.groupBy("block").applyInArrow(pack, "query_ids array<bigint>, vectors binary"), "query-blocks")
     shards = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_shards - 1).cast("bigint")))
-    pairs = materialize(blocks, "query-blocks").withColumn("shard", shards).join(graphs, "shard")
-    return pairs.groupBy("shard", "block").applyInArrow(answer, "query_id bigint, vec_id bigint, score double")
+    both = graphs.unionByName(blocks.withColumn("shard", shards), allowMissingColumns=True)
+    dealt = both.repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", F.col("query_ids").isNotNull())
+    return dealt.mapInArrow(answer, "query_id bigint, vec_id bigint, score double")

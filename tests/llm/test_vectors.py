@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from plain import plain_components
 
 from purchase_insights.llm import ann, embedding_dups
@@ -148,6 +149,34 @@ def test_graph_recall():
     graph = ann.build_graph(points, degree=24, beam=40, relax=1.2)
     assert ((graph.edges >= 0).sum(axis=1) <= 24).all() and not (graph.edges == np.arange(2000)[:, None]).any()
     queries = rng.normal(size=(100, 24))
-    found, _ = ann.beam_search(graph, np.column_stack([queries, np.zeros(100)]), 64)
+    found = ann.beam_search(graph, queries, 64, points)
     best = np.argsort(-(queries @ points.T), axis=1)[:, :10]
     assert np.mean([len(set(f) & set(b)) / 10 for f, b in zip(found.tolist(), best.tolist())]) > 0.9
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.1, 0.5])
+def test_recall_of_lengths(spark, spread):
+    """Unit vectors, and directions with log-normal lengths: recall against brute force."""
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(8192, 64))
+    points *= np.exp(rng.normal(size=(8192, 1)) * spread) / np.linalg.norm(points, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(points.tolist())], "vec_id bigint, embedding array<double>")
+    found = ann.nearest(table, table.where("vec_id % 40 = 0"), k=20).collect()
+    products = points[::40] @ points.T
+    products[np.arange(len(products)), np.arange(0, 8192, 40)] = -np.inf
+    best = {40 * q: set(row[:20]) for q, row in enumerate(np.argsort(-products, axis=1).tolist())}
+    assert len(found) == 20 * len(best)
+    assert sum(r.vec_id in best[r.query_id] for r in found) / len(found) >= 0.95
+
+
+def test_each_graph_goes_to_one_task(spark):
+    """However many blocks of queries there are, a graph is read once per shard."""
+    rng = np.random.default_rng(8)
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(rng.normal(size=(900, 8)).tolist())], "vec_id bigint, embedding array<double>")
+    classes = ann._smallest_ids(table, 3).groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    sharded, n_shards = ann._sharded(classes, 900, 100)
+    graphs = ann.index(sharded, n_shards, 16, 24, 1.2)
+    assert graphs.count() == n_shards and sum(len(r.ids) for r in graphs.collect()) == 900
+    found = ann.search(graphs, n_shards, ann._usable(table), 5, 2, 24)
+    assert found.count() == 900 * n_shards * 2
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
