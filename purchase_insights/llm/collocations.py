@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from purchase_insights.llm.sampling import in_batches
+from purchase_insights.llm.sampling import bit_table, in_batches, in_table
 from purchase_insights.sources.scratch import materialize
 
 #: The longest phrase, in words.
@@ -34,8 +34,6 @@ WORDS_AT_ONCE = 2_000_000
 BUDGET = 1 << 20
 #: A pair as common as this in ``WORDS_AT_ONCE`` words is counted; a rarer one is no frequent pair.
 COMMON_PAIR = 32
-#: Bits of the table that tells most rare words apart; a wrong guess only lets a suffix through.
-FILTER_BITS = 1 << 26
 
 _END = b"."
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -171,7 +169,10 @@ def group_of(suffixes: list[np.ndarray], prefixes: Prefixes) -> tuple[np.ndarray
 
 
 class _Frequent(dict):
-    """Numbers from 1 for frequent words; 0 for the end of a piece and for others that the filter knows."""
+    """Numbers from 1 for frequent words; 0 for the end of a piece and for words that the table knows to be rare.
+
+    A wrong guess of the table only lets a suffix through.
+    """
 
     def __init__(self, seed: int, bits: np.ndarray):
         self.seed, self.bits, self.ids = seed, bits, [0]
@@ -179,9 +180,8 @@ class _Frequent(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = word_id(word, self.seed)
-        bit = found % FILTER_BITS
         number = 0
-        if self.bits[bit >> 3] >> (bit & 7) & 1:
+        if in_table(self.bits, found):
             number = len(self.ids)
             self.ids.append(found)
         self[word] = number
@@ -304,18 +304,6 @@ def _words_and_pairs(texts: DataFrame, words_at_once: int, common_pair: int) ->
             return found, seed
 
 
-def _filter(frequent: DataFrame) -> np.ndarray:
-    """Bits of the ids of frequent words, of a fixed size."""
-    bit = F.col("id").bitwiseAND(FILTER_BITS - 1)
-    of_bucket = frequent.groupBy(F.shiftright(bit, 15).alias("bucket")).agg(
-        F.bitmap_construct_agg(bit.bitwiseAND((1 << 15) - 1)).alias("bits")
-    )
-    bits = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
-    for row in of_bucket.toLocalIterator():
-        bits[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
-    return bits.ravel()
-
-
 def _prefixes(words: DataFrame, pairs: DataFrame, budget: int) -> dict[str, Prefixes]:
     """How languages with more than ``budget`` words are dealt out.
 
@@ -350,7 +338,7 @@ def phrase_counts(
     texts = in_batches(texts)
     counted, seed = _words_and_pairs(texts, words_at_once, common_pair)
     words, pairs = counted.where("second IS NULL").drop("second"), counted.where("second IS NOT NULL").drop("word")
-    bits = _filter(words.where(F.col("n") >= least))
+    bits = bit_table(words.where(F.col("n") >= least), "id")
     deal = _dealing(seed, bits, _prefixes(words, pairs, budget), words_at_once)
     columns = ", ".join(f"{name} binary" for name in (*IDS, "n"))
     suffixes = texts.mapInArrow(deal, f"lang string, group int, split boolean, {columns}")

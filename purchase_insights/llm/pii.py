@@ -1,26 +1,28 @@
 """Personal data: patterns, and terms that disclose what the patterns protect.
 
-What the patterns find are the protected entities. How strongly a term of the documents
-with an entity reveals it is estimated from the corpus: the pointwise mutual information of the two,
-as a share of the entity's information content, is 1 for a term that occurs with
-nothing else. Beyond the thresholds such a term is removed or generalised too, wherever
-in the corpus it stands.
+What the patterns find are the protected entities. How strongly a term reveals one is
+estimated from the corpus: the share of the term's texts that hold the entity, as a lower
+confidence bound, so that few texts prove little. It says how little uncertainty the term
+leaves (its logarithm in bits), and does not depend on the size of the corpus. Beyond the
+thresholds a term is removed or generalised too, wherever in the corpus it stands.
+Different texts are counted, not copies.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator, Set
+from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from purchase_insights.llm.sampling import in_batches, unused_name
+from purchase_insights.llm.sampling import bit_table, in_batches, in_table, unused_name
 from purchase_insights.sources.scratch import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -35,8 +37,9 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W_]{3,}")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 COUNTED_AT_ONCE = 100_000
-#: So many of the most common terms and entities are known to the tasks, to leave out early what cannot be disclosing.
-LISTED = 20_000
+KNOWN_TERMS = 300_000
+#: Quantile of the normal distribution for the confidence bound: 95 % on one side.
+Z = 1.645
 
 
 def _luhn(digits: str) -> bool:
@@ -85,8 +88,23 @@ def entities(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
     return sorted(found)
 
 
-def uncovered_terms(text: str, spans: list[tuple[str, int, int]], common: Set[str]) -> dict[str, list[tuple[int, int]]]:
-    """Where each term of a text stands that is not among the common ones, without what overlaps a span."""
+class _Chosen(dict):
+    """Lower-case forms of the terms that a table of bits lets through, None for others; forgets all when it is full."""
+
+    def __init__(self, bits: np.ndarray | None):
+        self.bits = bits
+
+    def __missing__(self, word: str) -> str | None:
+        if len(self) >= KNOWN_TERMS:
+            self.clear()
+        term = word.lower()
+        chosen = self.bits is None or in_table(self.bits, xxhash.xxh64_intdigest(term, 42))
+        found = self[word] = term if chosen else None
+        return found
+
+
+def uncovered_terms(text: str, spans: list[tuple[str, int, int]], chosen: _Chosen) -> dict[str, list[tuple[int, int]]]:
+    """Where each of the chosen terms of a text stands, without what overlaps a span."""
     covered = sorted((start, end) for _, start, end in spans)
     found, k, latest = defaultdict(list), 0, 0
     for match in TERM.finditer(text):
@@ -94,7 +112,7 @@ def uncovered_terms(text: str, spans: list[tuple[str, int, int]], common: Set[st
         while k < len(covered) and covered[k][0] < b:
             latest = max(latest, covered[k][1])
             k += 1
-        if latest <= a and (term := match[0].lower()) not in common:
+        if latest <= a and (term := chosen[match[0]]) is not None:
             found[term].append((a, b))
     return found
 
@@ -110,13 +128,15 @@ def _detect(docs: DataFrame) -> DataFrame:
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = _Chosen(None)
         for batch in batches:
-            spans, named = [], []
+            spans, named, terms = [], [], []
             for value in batch["text"]:
                 text = value.as_py() or ""
                 found = base_spans(text)
                 spans.append(found)
                 named.append(entities(text, found))
+                terms.append(list(uncovered_terms(text, found, every)) if found else [])
             counts = [[sum(s[0] == kind for s in found) for found in spans] for kind in KINDS]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch["doc_id"],
@@ -125,57 +145,98 @@ def _detect(docs: DataFrame) -> DataFrame:
                 "base_sha256": pa.array([hashlib.sha256(_joined(found).encode()).hexdigest() for found in spans]),
                 "base": pa.array([[dict(zip(("kind", "start", "end"), s)) for s in found] for found in spans], pa.list_(span)),
                 "entities": pa.array(named, pa.list_(pa.int64())),
+                "terms": pa.array(terms, pa.list_(pa.string())),
             })
 
     schema = (
         "doc_id bigint, text_hash bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
-        f"base_sha256 string, base array<{SPAN}>, entities array<bigint>"
+        f"base_sha256 string, base array<{SPAN}>, entities array<bigint>, terms array<string>"
     )
     source = in_batches(docs).select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash"))
     return source.mapInArrow(detect, schema)
 
 
-def _document_counts(docs: DataFrame) -> DataFrame:
-    """term, n_docs: in how many documents of the corpus a term occurs."""
+def confidence(n_both: Column, n_term: Column) -> Column:
+    """Lower confidence bound (Wilson's) of a share, from how often it was seen."""
+    n, share, z2 = n_term.cast("double"), n_both / n_term, Z * Z
+    middle = share + z2 / (2 * n)
+    return (middle - Z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
 
-        def counted() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict(
-                {"term": pa.array(counts.keys(), pa.string()), "n_docs": pa.array(counts.values(), pa.int64())}
-            )
-            counts.clear()
-            return out
+def _together(found: DataFrame, min_documents: int, least: float) -> DataFrame:
+    """term, n_entity, n_both: terms and entities that stand in ``min_documents`` texts together, wherever in them.
 
-        for batch in batches:
-            for text in batch["text"]:
-                counts.update({term.lower() for term in set(TERM.findall(text.as_py() or ""))})
-                if len(counts) > COUNTED_AT_ONCE:
-                    yield counted()
-        yield counted()
-
-    partial = in_batches(docs).select("text").mapInArrow(count, "term string, n_docs bigint")
-    return partial.groupBy("term").agg(F.sum("n_docs").alias("n_docs"))
+    Left out are terms that the texts with an entity alone show to stay below the
+    confidence ``least``. Entities of the same texts count as one: the many of a page and its near copies
+    make no pair each.
+    """
+    of_text = found.select("text_hash", F.explode("entities").alias("entity")).distinct()
+    texts = (F.bit_xor(F.xxhash64("text_hash", F.lit(k))).alias(f"texts_{k}") for k in range(2))
+    named = of_text.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), *texts)
+    named = named.where(F.col("n_entity") >= min_documents)
+    group = F.struct("n_entity", "texts_0", "texts_1").alias("group")
+    of_text = materialize(of_text.join(named, "entity").select("text_hash", group).distinct(), "entities")
+    if of_text.isEmpty():
+        return of_text.select(F.lit("").alias("term"), "group.n_entity", F.lit(0).cast("bigint").alias("n_both"))
+    held = found.select("text_hash", F.explode("terms").alias("term"))
+    held = held.join(of_text.select("text_hash").distinct(), "text_hash", "left_semi").distinct()
+    held = materialize(held, "entity-terms")
+    seen = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_seen")).where(F.col("n_seen") >= min_documents)
+    likely = (F.col("n_seen") * least <= F.col("group.n_entity")) & (F.col("n_seen") >= min_documents)
+    pairs = held.join(seen, "term").join(of_text, "text_hash").where(likely)
+    counted = pairs.groupBy("group", "term", "n_seen").agg(F.count(F.lit(1)).alias("n_both"))
+    counted = counted.where((F.col("n_both") >= min_documents) & (confidence(F.col("n_both"), F.col("n_seen")) >= least))
+    return counted.select("term", "group.n_entity", "n_both")
+
+
+def _text_counts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """term, n_term: in how many different texts of the corpus a term of the table stands."""
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = _Chosen(bits)
+        for batch in batches:
+            rows, terms = [], []
+            for row, text in enumerate(batch["text"].to_pylist()):
+                of_text = {term for word in set(TERM.findall(text or "")) if (term := chosen[word]) is not None}
+                rows += [row] * len(of_text)
+                terms += of_text
+            hashes = batch["text_hash"].take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([hashes, pa.array(terms, pa.string())], ["text_hash", "term"])
 
-def _most_common(counts: DataFrame, key: str, count: str) -> dict:
-    """The ``LISTED`` largest counts by key."""
-    return {r[key]: r[count] for r in counts.orderBy(F.desc(count), key).limit(LISTED).collect()}
+    texts = in_batches(docs).select("text", F.xxhash64("text").alias("text_hash"))
+    found = texts.mapInArrow(find, "text_hash bigint, term string").distinct()
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 
-def _occurrences(docs: DataFrame, common: Set[str]) -> DataFrame:
-    """doc_id, text_hash, term, starts, ends: a row for each row of ``docs`` and each of its uncovered terms."""
+def disclosing_terms(
+    docs: DataFrame, found: DataFrame, n_texts: int, generalise_from: float, min_documents: int, least_bits: float
+) -> DataFrame:
+    """term and strength of the terms that disclose an entity, the largest over all entities."""
+    together = materialize(_together(found, min_documents, generalise_from), "terms-with-entities")
+    if together.isEmpty():
+        return together.select("term", F.lit(0.0).alias("strength"))
+    bits = bit_table(together.select(F.xxhash64("term").alias("hash")), "hash")
+    strength = confidence(F.col("n_both"), F.col("n_term"))
+    mutual = F.log2(F.lit(float(n_texts)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    strong = together.join(_text_counts(docs, bits), "term").where(mutual >= least_bits)
+    strongest = strong.groupBy("term").agg(F.max(strength).alias("strength"))
+    return materialize(strongest.where(F.col("strength") >= generalise_from), "disclosing-terms")
+
+
+def _marks(docs: DataFrame, disclosing: DataFrame, remove_from: float) -> DataFrame:
+    """marked_doc, marked_hash, marks: every occurrence of the disclosing terms, the removed ones first."""
+    bits = bit_table(disclosing.select(F.xxhash64("term").alias("hash")), "hash")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = _Chosen(bits)
         for batch in batches:
             rows, terms, starts, ends = [], [], [], []
 
             def listed() -> pa.RecordBatch:
                 taken = pa.array(rows, pa.int64())
                 out = pa.RecordBatch.from_pydict({
-                    "doc_id": batch["doc_id"].take(taken),
-                    "text_hash": batch["text_hash"].take(taken),
+                    "marked_doc": batch["doc_id"].take(taken),
+                    "marked_hash": batch["text_hash"].take(taken),
                     "term": pa.array(terms, pa.string()),
                     "starts": pa.array(starts, pa.list_(pa.int32())),
                     "ends": pa.array(ends, pa.list_(pa.int32())),
@@ -186,7 +247,9 @@ def _occurrences(docs: DataFrame, common: Set[str]) -> DataFrame:
 
             for row, value in enumerate(batch["text"]):
                 text = value.as_py() or ""
-                for term, places in uncovered_terms(text, base_spans(text), common).items():
+                if not any(chosen[word] is not None for word in set(TERM.findall(text))):
+                    continue
+                for term, places in uncovered_terms(text, base_spans(text), chosen).items():
                     rows.append(row)
                     terms.append(term)
                     starts.append([a for a, _ in places])
@@ -196,104 +259,44 @@ def _occurrences(docs: DataFrame, common: Set[str]) -> DataFrame:
             yield listed()
 
     source = in_batches(docs).select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash"))
-    return source.mapInArrow(find, "doc_id bigint, text_hash bigint, term string, starts array<int>, ends array<int>")
-
-
-def _together(docs: DataFrame, named: DataFrame, terms: DataFrame, n_docs: int, generalise_from: float) -> DataFrame:
-    """entity, term, n_both, n_entity: in how many documents both stand, wherever in the text.
-
-    Both stand in n_entity documents at most, so a term in more documents than
-    ``most`` stays below the threshold and is left out early if it is a listed one.
-    """
-
-    def most(n_entity: int) -> float:
-        return n_docs * (n_entity / n_docs) ** generalise_from * (1 + 1e-9)
-
-    common = _most_common(terms, "term", "n_docs")
-    sizes = _most_common(named, "entity", "n_entity")
-    limits = {entity: most(n) for entity, n in sizes.items()}
-    unlisted = min(limits.values()) if len(limits) == LISTED else None  # None: too few documents have it
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[tuple[int, str]] = Counter()
-
-        def counted() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({
-                "entity": pa.array([entity for entity, _ in counts], pa.int64()),
-                "term": pa.array([term for _, term in counts], pa.string()),
-                "n_both": pa.array(counts.values(), pa.int64()),
-            })
-            counts.clear()
-            return out
-
-        for batch in batches:
-            for value in batch["text"]:
-                text = value.as_py() or ""
-                spans = base_spans(text)
-                limited = [(e, limit) for e in entities(text, spans) if (limit := limits.get(e, unlisted)) is not None]
-                if limited:
-                    found = [(term, common.get(term, 0)) for term in uncovered_terms(text, spans, frozenset())]
-                    for entity, limit in limited:
-                        counts.update((entity, term) for term, n in found if n <= limit)
-                        if len(counts) > COUNTED_AT_ONCE:
-                            yield counted()
-        yield counted()
-
-    partial = in_batches(docs).select("text").mapInArrow(find, "entity bigint, term string, n_both bigint")
-    return partial.join(named, "entity").groupBy("entity", "term", "n_entity").agg(F.sum("n_both").alias("n_both"))
-
-
-def _marks(docs: DataFrame, terms: DataFrame, disclosing: DataFrame, remove_from: float) -> DataFrame:
-    """marked_doc, marked_hash, marks: every occurrence of the disclosing terms, the removed ones first."""
-    common = frozenset(_most_common(terms.join(disclosing, "term", "left_anti"), "term", "n_docs"))
-    places = _occurrences(docs, common).join(disclosing, "term")
-    places = places.select("doc_id", "text_hash", "strength", F.explode(F.arrays_zip("starts", "ends")).alias("at"))
+    schema = "marked_doc bigint, marked_hash bigint, term string, starts array<int>, ends array<int>"
+    places = source.mapInArrow(find, schema).join(disclosing, "term")
+    places = places.select("marked_doc", "marked_hash", "strength", F.explode(F.arrays_zip("starts", "ends")).alias("at"))
     later = F.col("strength") < remove_from
     kind = F.when(later, "generalise").otherwise("remove")
     order = F.struct(later.alias("later"), F.col("at.starts").alias("start"), F.col("at.ends").alias("end"), kind.alias("kind"))
-    of_row = places.groupBy(F.col("doc_id").alias("marked_doc"), F.col("text_hash").alias("marked_hash"))
-    of_row = of_row.agg(F.sort_array(F.collect_set(order)).alias("marks"))
+    of_row = places.groupBy("marked_doc", "marked_hash").agg(F.sort_array(F.collect_set(order)).alias("marks"))
     as_spans = F.transform("marks", lambda t: F.struct(t["kind"].alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
     return of_row.select("marked_doc", "marked_hash", as_spans.alias("marks"))
 
 
 def personal_data(
     docs: DataFrame,
-    remove_from: float = 0.9,
-    generalise_from: float = 0.75,
+    remove_from: float = 0.75,
+    generalise_from: float = 0.5,
     min_documents: int = 3,
+    least_bits: float = 2.0,
 ) -> DataFrame:
     """Personal data of each row of ``docs`` (doc_id, text).
 
     Columns: doc_id, text_hash, n_email, n_ip, n_card, n_phone, base_sha256, and spans,
     an array of (kind, start, end) in code points: those of the patterns by kind, then
     terms to ``remove`` and to ``generalise``. A term counts as disclosing if at least
-    ``min_documents`` documents hold it and an entity and its strength (see above), the
-    largest over all entities, reaches a threshold. It is then marked wherever it stands
-    in any document, unless it overlaps a span of the patterns. Statistics are taken over
-    all documents. A missing text is empty and has no spans; repeated rows are repeated;
-    other columns are ignored.
+    ``min_documents`` different texts hold it and an entity, ``least_bits`` of information
+    on the entity come with it (it is not just a common one), and its strength (see
+    above), the largest over all entities, reaches a threshold: 0.5 leaves one bit of
+    uncertainty. It is then marked wherever it stands in any document, unless it overlaps a
+    span of the patterns. Statistics are taken over all texts, equal ones once. A missing
+    text is empty and has no spans; repeated rows are repeated; other columns are ignored.
     """
     found = materialize(_detect(docs), "personal-data")
-    kept = [c for c in found.columns if c not in ("base", "entities")]
+    kept = [c for c in found.columns if c not in ("base", "entities", "terms")]
     without_terms = found.select(*kept, F.col("base").alias("spans"))
-    n_docs = found.count()
-    named = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # what stands in all documents has no information
-    named = named.where((F.col("n_entity") >= min_documents) & (F.col("n_entity") < n_docs))
-    named = materialize(named, "entities")
-    if named.isEmpty():
-        return without_terms
-    of_term = materialize(_document_counts(docs).where(F.col("n_docs") >= min_documents), "term-counts")
-    together = _together(docs, named, of_term, n_docs, generalise_from).where(F.col("n_both") >= min_documents)
-    information = F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
-    mutual = F.log2(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_entity") * F.col("n_docs")))
-    strength = F.when(information > 0, mutual / information)
-    disclosing = together.join(of_term, "term").groupBy("term").agg(F.max(strength).alias("strength"))
-    disclosing = materialize(disclosing.where(F.col("strength") >= generalise_from), "disclosing-terms")
+    n_texts = found.select("text_hash").distinct().count()
+    disclosing = disclosing_terms(docs, found, n_texts, generalise_from, min_documents, least_bits)
     if disclosing.isEmpty():
         return without_terms
-    marks = _marks(docs, of_term, disclosing, remove_from)
+    marks = _marks(docs, disclosing, remove_from)
     same = found["doc_id"].eqNullSafe(marks["marked_doc"]) & (found["text_hash"] == marks["marked_hash"])
     none = F.array().cast(f"array<{SPAN}>")
     return found.join(marks, same, "left").select(*kept, F.concat("base", F.coalesce("marks", none)).alias("spans"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,31 @@ def in_batches(texts: DataFrame) -> DataFrame:
     return texts
 
 
+#: Bits of a ``bit_table``: 8 MB, whatever the table it is made from.
+FILTER_BITS = 1 << 26
+
+
+def bit_table(hashes: DataFrame, column: str) -> np.ndarray:
+    """``FILTER_BITS`` bits, of which those are set that the 64-bit hashes in ``column`` point to.
+
+    Tells most values apart that are not in a table of any size; see ``in_table``.
+    """
+    bit = F.col(column).bitwiseAND(FILTER_BITS - 1)
+    of_bucket = hashes.groupBy(F.shiftright(bit, 15).alias("bucket")).agg(
+        F.bitmap_construct_agg(bit.bitwiseAND((1 << 15) - 1)).alias("bits")
+    )
+    bits = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
+    for row in of_bucket.toLocalIterator():
+        bits[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
+    return bits.ravel()
+
+
+def in_table(bits: np.ndarray, value: int) -> bool:
+    """Whether the bit of a 64-bit hash is set: always for one of the table, seldom for another."""
+    bit = value % FILTER_BITS
+    return bool(bits[bit >> 3] >> (bit & 7) & 1)
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds

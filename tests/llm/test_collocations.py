@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from purchase_insights.llm import collocations
+from purchase_insights.llm import collocations, sampling
 
 DELIMITER = re.compile(r"[.,;:!?\x0A-\x0D]")
 
@@ -127,7 +127,7 @@ def test_groups_stay_within_the_budget(spark):
     words, pairs = counted.where("second IS NULL"), counted.where("second IS NOT NULL")
     prefixes = collocations._prefixes(words, pairs, 2000)
     assert len(prefixes["en"].pairs) >= 1
-    bits = np.full(collocations.FILTER_BITS // 8, 255, np.uint8)
+    bits = np.full(sampling.FILTER_BITS // 8, 255, np.uint8)
     columns = ", ".join(f"{c} binary" for c in (*collocations.IDS, "n"))
     dealt = text.mapInArrow(collocations._dealing(seed, bits, prefixes, 10_000), f"lang string, group int, split boolean, {columns}")
     sizes = dealt.selectExpr("group", "octet_length(n) div 8 AS k").groupBy("group").sum("k").collect()
