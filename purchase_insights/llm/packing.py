@@ -10,6 +10,7 @@ the last remainder, so ``capacity`` 2048 gives at most some 70,000 plan rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -27,6 +28,9 @@ CACHED_WORDS = 500_000
 LONGEST_CACHED = 64
 ENCODED_AT_ONCE = 2000
 DOCUMENTS_AT_ONCE = 200
+#: Bytes of a text with A to Z in lower case and blanks for line breaks; the tokenizer lowers all letters.
+LOWERED = bytes(32 if byte == 10 else byte + 32 if 65 <= byte <= 90 else byte for byte in range(256))
+MARK_AFTER_MARK = re.compile(r"(?:[^\w\s]|_)[,.] ")
 
 
 class Run(NamedTuple):
@@ -86,51 +90,69 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> list[Run]:
 
 
 class _WordIds(dict):
-    """Token ids of a word as little-endian bytes; forgets all words when it is full."""
+    """Token ids of a word as little-endian bytes. Of two generations of words the older goes when the newer is full."""
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer, self.older = Tokenizer.from_file(tokenizer_path), {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, words: set[str]) -> None:
-        """Look up the new words that consist of letters, many in a call.
+        """Look up the new words, many in a call.
 
-        Such a word is one token sequence that ends with a token that ends words; a
-        call whose words don't come out one by one so is left to single look-ups.
+        Words of letters are one token sequence each that ends with a token that ends
+        words, so they are encoded as a text; others, and those of a text whose words don't
+        come out one by one so, are encoded as texts of their own.
         """
-        stems = {word.rstrip(".,") for word in words if word not in self}
-        words = {stem.lower() if stem.isascii() else stem for stem in stems if stem.isalpha()}
-        new = [word for word in words if word not in self and len(word) <= LONGEST_CACHED]
-        if len(self) + len(new) > CACHED_WORDS:
-            self.clear()
-        for start in range(0, len(new), ENCODED_AT_ONCE):
-            some = new[start : start + ENCODED_AT_ONCE]
+        older = self.older
+        new = [w for w in words if w not in self and w not in older and len(w) <= LONGEST_CACHED]
+        plain = [w for w in new if w.isalpha()]
+        others = [w for w in new if not w.isalpha()]
+        for start in range(0, len(plain), ENCODED_AT_ONCE):
+            some = plain[start : start + ENCODED_AT_ONCE]
             ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
             ids = np.array(ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
                 content, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self._make_room()
                 self.update((word, content[bounds[i] : bounds[i + 1]]) for i, word in enumerate(some))
+            else:
+                others += some
+        for start in range(0, len(others), ENCODED_AT_ONCE):
+            some = others[start : start + ENCODED_AT_ONCE]
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self._make_room()
+            self.update((word, np.array(e.ids, "<u4").tobytes()) for word, e in zip(some, encoded))
+
+    def _make_room(self) -> None:
+        if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, word: str) -> bytes:
-        stem = word[:-1]
-        if word[-1:] in (".", ",") and stem[-1:].isalpha():  # a mark after a letter is a token of its own
-            ids = self[stem] + self[word[-1]]
-        elif word.isalpha() and word.isascii() and not word.islower():
-            ids = self[word.lower()]
-        else:
+        ids = self.older.get(word)
+        if ids is None:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= LONGEST_CACHED:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
+            self._make_room()
             self[word] = ids
         return ids
 
 
+#: The words that a worker process knows, by tokenizer: kept from task to task.
+_known: dict[str, _WordIds] = {}
+
+
+def _word_ids(tokenizer_path: str) -> _WordIds:
+    if tokenizer_path not in _known:
+        _known[tokenizer_path] = _WordIds(tokenizer_path)
+    return _known[tokenizer_path]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
     """The pieces of each document: doc_id, piece, start, length, ids_crc32 (and ids).
 
@@ -144,7 +166,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, kee
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known = _WordIds(tokenizer_path)
+        known = _word_ids(tokenizer_path)
         for batch in batches:
             out: dict[str, list] = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
             for row, words in enumerate(_words(batch, known)):
@@ -173,11 +195,24 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, kee
     )
 
 
+def _split(text: str) -> list[str]:
+    """What is encoded by itself: what stands between blanks and line breaks, letters in lower case.
+
+    A comma or stop that ends a word is apart too, unless another mark stands before one
+    anywhere: marks that follow each other belong together.
+    """
+    if "<|" in text:  # perhaps a special token, in the case it is written in
+        return text.replace("\n", " ").split(" ")
+    text = text.encode().translate(LOWERED).decode() + " "
+    if not MARK_AFTER_MARK.search(text):
+        text = text.replace(", ", " , ").replace(". ", " . ")
+    return text.split(" ")
+
+
 def _words(batch: pa.RecordBatch, known: _WordIds) -> Iterator[list[str]]:
-    """What stands between blanks and line breaks in each text; the words are made known first."""
+    """What each text is split to; the words are made known first."""
     for start in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
-        texts = batch["text"].slice(start, DOCUMENTS_AT_ONCE).to_pylist()
-        split = [(text or "").replace("\n", " ").split(" ") for text in texts]
+        split = [_split(text or "") for text in batch["text"].slice(start, DOCUMENTS_AT_ONCE).to_pylist()]
         known.learn(set().union(*split))
         yield from split
 
