@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
 The turns of a conversation are collected as structs and sorted, adjacent turns of
-one role become one block, and the blocks are concatenated::
+one role are merged to a block, whose texts are aggregated, and the blocks are concatenated::
 
     <|im_start|>user\\n first text <|im_sep|> next text of the same role <|im_end|>\\n
 
@@ -39,7 +39,8 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     with ``loss`` hold the texts of ``loss_role``, without marks between them.
 
     A conversation is one output value and is put together in one task; nothing
-    else is gathered.
+    else is gathered. Its blocks are slices between the turns whose role is new, so the
+    time is in proportion to its length.
     """
     role = F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("&nl;"))
     turn = F.struct(
@@ -49,28 +50,31 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         role.alias("header"),
     )
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    positions = F.sequence(F.lit(0), F.size("turns") - 1)
+    new_role = F.filter(positions, lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]))
+    cut = grouped.select("conv_id", "turns", new_role.alias("starts"))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("turns")))
+    merged = F.zip_with("starts", ends, lambda start, end: F.slice("turns", start + 1, end - start))
+    blocks = cut.select("conv_id", merged.alias("blocks"))
 
-    def piece(item: Column, index: Column) -> Column:
-        opening = F.concat(F.lit(START), item["header"], F.lit("\n"))
-        same_role = item["role"] == F.get("turns", index - 1)["role"]
-        mark = (
-            F.when(index == 0, opening)
-            .when(same_role, F.lit(SEPARATOR))
-            .otherwise(F.concat(F.lit(f"{END}\n"), opening))
-        )
-        return F.struct(mark.alias("mark"), escape(item["text"]).alias("text"), (item["role"] == loss_role).alias("loss"))
+    def text_of(block: Column) -> Column:
+        texts = F.array_join(F.transform(block, lambda turn: escape(turn["text"])), SEPARATOR)
+        return F.concat(F.lit(START), F.get(block, F.lit(0))["header"], F.lit("\n"), texts, F.lit(f"{END}\n"))
+
+    def runs_of(block: Column, number: Column) -> Column:
+        opening = F.when(number == 0, 0).otherwise(len(END) + 1) + len(START) + 1
+
+        def runs(turn: Column, place: Column) -> Column:
+            mark = F.when(place > 0, len(SEPARATOR)).otherwise(opening + F.char_length(turn["header"]))
+            return F.array(_run(mark, F.lit(False)), _run(F.char_length(escape(turn["text"])), turn["role"] == loss_role))
+
+        return F.flatten(F.transform(block, runs))
 
-    pieces = grouped.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    runs = F.transform(
-        "pieces",
-        lambda p: F.array(_run(F.char_length(p["mark"]), F.lit(False)), _run(F.char_length(p["text"]), p["loss"])),
-    )
     closing = F.array(_run(F.lit(len(END) + 1), F.lit(False)))
-    texts = F.array_join(F.transform("pieces", lambda p: F.concat(p["mark"], p["text"])), "")
-    return pieces.select(
+    return blocks.select(
         "conv_id",
-        F.concat(texts, F.lit(f"{END}\n")).alias("formatted"),
-        F.concat(F.flatten(runs), closing).alias("loss_runs"),
+        F.array_join(F.transform("blocks", text_of), "").alias("formatted"),
+        F.concat(F.flatten(F.transform("blocks", runs_of)), closing).alias("loss_runs"),
     )
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,15 @@ def test_escape_is_reversible(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(chat_format.escape(F.col("t")).alias("e"))
     row = row.select("e", chat_format.unescape(F.col("e")).alias("u")).first()
     assert row.u == text and "<|" not in row.e
+
+
+def test_blocks_are_merged_in_linear_time(spark):
+    """Adjacent turns of a role share a block, also in a conversation of many turns."""
+    roles = ["user", "user", "assistant", "assistant", "assistant", "system"]
+    rows = [(1, t, roles[t % 6], f"t{t}") for t in range(30_000)]
+    turns = spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA)
+    start = time.perf_counter()
+    row = chat_format.format_conversations(turns).first()
+    assert time.perf_counter() - start < 20
+    assert row.formatted.count(chat_format.START) == 15_000 and row.formatted.count(chat_format.SEPARATOR) == 15_000
+    assert row.formatted.startswith("<|im_start|>user\nt0<|im_sep|>t1<|im_end|>\n<|im_start|>assistant\nt2<|im_sep|>t3<|im_sep|>t4<|im_end|>\n")
