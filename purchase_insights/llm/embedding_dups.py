@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 from purchase_insights.llm.components import connected_components
 from purchase_insights.sources.scratch import materialize
 
-LARGE_BUCKET = 2000
+LARGE_BUCKET = 8192
 ROWS_AT_ONCE = 512
+FILTERS_AT_ONCE = 1024
+PAIRS_AT_ONCE = 20_000
+#: From so many candidates per vector on, common filters are looked up for all pairs at once.
+DENSE = 16
 #: The share of pairs at the threshold that are to have a common filter, and on how many it is measured.
 RECALL = 0.99
 PLANTED = 4000
@@ -143,9 +147,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _earlier(rows: np.ndarray, filters: np.ndarray) -> pa.Array:
+    """For each (row, filter), sorted by both: the smaller filters of its row, as bytes of int32."""
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    n_earlier = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    starts = np.arange(len(rows)) - n_earlier
+    bounds = np.concatenate([[0], np.cumsum(n_earlier)])
+    places = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - starts, n_earlier)
+    values = np.ascontiguousarray(filters[places].astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(values)])
+
+
 def _filtered(vectors: DataFrame, code: Code, with_vectors: bool) -> DataFrame:
-    """label, filter (and vec_id, embedding): a row per filter that a vector passes."""
-    columns = ["label", "filter", "vec_id", "embedding"] if with_vectors else ["label", "filter"]
+    """label, filter (and vec_id, copies, embedding, earlier): a row per filter that a vector passes.
+
+    ``earlier`` are the smaller filters that the vector passes: two vectors belong
+    together in the bucket of their smallest common filter.
+    """
+    columns = ["label", "filter", "vec_id", "copies", "embedding", "earlier"] if with_vectors else ["label", "filter"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,11 +172,16 @@ def _filtered(vectors: DataFrame, code: Code, with_vectors: bool) -> DataFrame:
                 some = batch.slice(start, ROWS_AT_ONCE)
                 x = _matrix(some["embedding"])
                 rows, filters = passed_filters(x / np.linalg.norm(x, axis=1, keepdims=True), code)
-                rows = pa.array(rows)
-                yield pa.RecordBatch.from_pydict({c: pa.array(filters) if c == "filter" else some[c].take(rows) for c in columns})
-
-    chosen = vectors.select("label", "vec_id", "embedding")
-    types = {"label": "bigint", "filter": "bigint", "vec_id": "bigint", "embedding": dict(vectors.dtypes)["embedding"]}
+                order = np.lexsort((filters, rows))
+                rows, filters = rows[order], filters[order]
+                taken = pa.array(rows)
+                made = {"filter": pa.array(filters)}
+                if with_vectors:
+                    made["earlier"] = _earlier(rows, filters)
+                yield pa.RecordBatch.from_pydict({c: made[c] if c in made else some[c].take(taken) for c in columns})
+
+    chosen = vectors.select("label", "vec_id", "copies", "embedding")
+    types = {name: "bigint" for name in columns} | {"embedding": dict(vectors.dtypes)["embedding"], "earlier": "binary"}
     return chosen.mapInArrow(apply, ", ".join(f"{c} {types[c]}" for c in columns))
 
 
@@ -167,51 +191,124 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
 
 
-def _links_between(
-    ids: np.ndarray, labels: np.ndarray, x: np.ndarray, side: np.ndarray, threshold: float
-) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (smaller id, larger id) of a bucket, or between its two chunks, within the threshold.
-
-    Candidates come from a matrix product, with a margin for its rounding; the
-    decision is ``cosines``.
+class Bucket(NamedTuple):
+    """Vectors of a bucket, or of two of its chunks (``side`` 0 and 1)."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    copies: np.ndarray
+    vectors: np.ndarray
+    side: np.ndarray
+    earlier: list[np.ndarray]
+
+
+class _Shared:
+    """Which vectors of a bucket have a smaller filter in common too, and so belong together elsewhere."""
+
+    def __init__(self, earlier: list[np.ndarray]):
+        self.n = len(earlier)
+        rows = np.repeat(np.arange(self.n), [len(x) for x in earlier])
+        _, number, count = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
+        several = count[number] > 1
+        number = (np.cumsum(count > 1) - 1)[number]
+        self.rows, self.filters = rows[several], number[several]
+        self.n_filters = int((count > 1).sum())
+        self.listed: np.ndarray | None = None
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For all pairs of a row of ``a`` and one of ``b``, by products of their incidence with the filters."""
+        common = np.zeros((len(a), len(b)), bool)
+        for low in range(0, self.n_filters, FILTERS_AT_ONCE):
+            some = (self.filters >= low) & (self.filters < low + FILTERS_AT_ONCE)
+            has = np.zeros((self.n, min(FILTERS_AT_ONCE, self.n_filters - low)), np.float32)
+            has[self.rows[some], self.filters[some] - low] = 1
+            common |= has[a] @ has[b].T > 0
+        return common
+
+    def of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each row of ``a`` with that of ``b``: sorted together, a common filter stands twice."""
+        if self.listed is None:
+            n_of_row = np.bincount(self.rows, minlength=self.n)
+            place = np.arange(len(self.rows)) - np.repeat(np.cumsum(n_of_row) - n_of_row, n_of_row)
+            self.listed = np.full((self.n, n_of_row.max(initial=0)), -1, np.int64)
+            self.listed[self.rows, place] = self.filters
+        right = self.listed[b]
+        both = np.sort(np.concatenate([self.listed[a], np.where(right < 0, -2, right)], axis=1), axis=1)
+        return ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).any(axis=1)
+
+
+def links_within(bucket: Bucket, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """How many rows each vector is linked with, and links (positions) that connect all that links connect.
+
+    Only pairs without a smaller filter in common count. Candidates come from a matrix
+    product, with a margin for its rounding; the decision is ``cosines``.
     """
+    ids, labels, copies, x, side, earlier = bucket
+    n = len(ids)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     two = side.any()
-    a_of, b_of = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(x)), np.arange(len(x)))
-    found_a, found_b = [], []
+    a_of, b_of = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(n), np.arange(n))
+    counts, root, forest = np.zeros(n, np.int64), np.arange(n), []
+    shared: _Shared | None = None
     for start in range(0, len(a_of), ROWS_AT_ONCE):
         rows = a_of[start : start + ROWS_AT_ONCE]
-        i, j = np.nonzero(unit[rows] @ unit[b_of].T >= threshold - 1e-9)
+        near = unit[rows] @ unit[b_of].T >= threshold - 1e-9
+        near &= (labels[rows][:, None] == labels[b_of]) & (ids[rows][:, None] != ids[b_of])  # a bucket is known by a hash
+        if not two:
+            near &= rows[:, None] < b_of
+        if not near.any():
+            continue
+        shared = shared or _Shared(earlier)
+        dense = near.sum() > DENSE * len(rows)
+        if dense:
+            near &= ~shared.between(rows, b_of)
+        i, j = np.nonzero(near)
         i, j = rows[i], b_of[j]
-        keep = (ids[i] < ids[j]) if not two else (ids[i] != ids[j])
-        keep &= labels[i] == labels[j]  # a bucket is known by a hash
-        i, j = i[keep], j[keep]
-        for at in range(0, len(i), 20_000):
-            p, q = i[at : at + 20_000], j[at : at + 20_000]
+        for at in range(0, len(i), PAIRS_AT_ONCE):
+            p, q = i[at : at + PAIRS_AT_ONCE], j[at : at + PAIRS_AT_ONCE]
+            if not dense:
+                apart = ~shared.of_pairs(p, q)
+                p, q = p[apart], q[apart]
             linked = cosines(x[p], x[q]) >= threshold
-            found_a.append(ids[p[linked]])
-            found_b.append(ids[q[linked]])
-    if not found_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    return np.minimum(a, b), np.maximum(a, b)
+            p, q = p[linked], q[linked]
+            counts += np.bincount(p, copies[q], n).astype(np.int64) + np.bincount(q, copies[p], n).astype(np.int64)
+            joins = root[p] != root[q]
+            for a, b in zip(p[joins].tolist(), q[joins].tolist()):
+                if root[a] != root[b]:
+                    forest.append((a, b))
+                    root[root == root[b]] = root[a]
+    return counts, forest
 
 
 def _bucket_links(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Links a < b from rows sorted by bucket; one bucket at a time is held."""
+    """From rows sorted by bucket, of which one at a time is held: a, b, n.
+
+    A vector ``a`` that has links in a bucket has a row with their number n (b is NULL),
+    and what is linked there is connected by rows with b (n is NULL), fewer than vectors.
+    """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, kept = None, []
 
         def links() -> Iterator[pa.RecordBatch]:
-            if sum(len(part) for part in kept) > 1:
-                whole = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
-                sides = whole["side"].to_numpy()
-                ids, labels = whole["vec_id"].to_numpy(), whole["label"].to_numpy()
-                a, b = _links_between(ids, labels, _matrix(whole["embedding"]), sides, threshold)
-                for start in range(0, len(a), 100_000):
-                    part = slice(start, start + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part])], ["a", "b"])
+            if sum(len(part) for part in kept) < 2:
+                return
+            whole = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+            ids, labels, copies, side = (whole[name].to_numpy() for name in ("vec_id", "label", "copies", "side"))
+            earlier = [np.frombuffer(value.as_py(), np.int32) for value in whole["earlier"]]
+            counts, forest = links_within(Bucket(ids, labels, copies, _matrix(whole["embedding"]), side, earlier), threshold)
+            counted = np.flatnonzero(counts)
+            if len(counted) == 0:
+                return
+            a, b = np.array(forest, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([ids[counted], ids[a]])),
+                    pa.concat_arrays([pa.nulls(len(counted), pa.int64()), pa.array(ids[b])]),
+                    pa.concat_arrays([pa.array(counts[counted]), pa.nulls(len(a), pa.int64())]),
+                ],
+                ["a", "b", "n"],
+            )
 
         for batch in batches:
             buckets = batch["bucket"].to_numpy()
@@ -225,7 +322,7 @@ def _bucket_links(buckets: DataFrame, threshold: float) -> DataFrame:
                 kept.append(batch.slice(start, end - start))
         yield from links()
 
-    return buckets.mapInArrow(link, "a bigint, b bigint")
+    return buckets.mapInArrow(link, "a bigint, b bigint, n bigint")
 
 
 def words_for(n: int) -> int:
@@ -234,24 +331,25 @@ def words_for(n: int) -> int:
 
 
 def near_links(vectors: DataFrame, threshold: float, filters_per_vector: float | None = None) -> DataFrame:
-    """Links a < b of cosine ``threshold`` or more between different vectors of one label.
+    """Links of cosine ``threshold`` or more between different vectors of one label, as ``_bucket_links`` gives them.
 
-    ``vectors`` has label, vec_id and embedding (an array of numbers, of one length, none
-    zero) and each vector once. The number of directions follows the number of vectors,
+    ``vectors`` has label, vec_id, copies and embedding (an array of numbers, of one length,
+    none zero) and each vector once. No pairs leave a bucket, however many links it has. The number of directions follows the number of vectors,
     so that a bucket's expected size grows only as the filters per vector that the recall
     takes. Buckets with more than ``LARGE_BUCKET`` rows are cut into chunks that are
     compared two at a time.
     """
     first = vectors.select(F.size("embedding").alias("n")).first()
     if first is None:
-        return vectors.sparkSession.createDataFrame([], "a bigint, b bigint")
+        return vectors.sparkSession.createDataFrame([], "a bigint, b bigint, n bigint")
     n = vectors.count()
     code = make_code(first["n"], words_for(n), filters_per_vector, threshold=threshold)
     sizes = _filtered(vectors, code, False).groupBy("label", "filter").agg(F.count(F.lit(1)).alias("n"))
     large = materialize(sizes.where(F.col("n") > LARGE_BUCKET), "large-buckets")
     rows = _filtered(vectors, code, True)
+    carried = ["label", "vec_id", "copies", "embedding", "earlier"]
     if large.isEmpty():
-        dealt = rows.select(F.struct("label", "filter").alias("bucket"), F.lit(0).alias("side"), "label", "vec_id", "embedding")
+        dealt = rows.select(F.struct("label", "filter").alias("bucket"), F.lit(0).alias("side"), *carried)
     else:
         # chunk k of a bucket of c chunks meets each of the others once, and itself alone
         chunks = large.select("label", "filter", F.ceil(F.col("n") / LARGE_BUCKET).alias("chunks"))
@@ -261,13 +359,12 @@ def near_links(vectors: DataFrame, threshold: float, filters_per_vector: float |
         dealt = sized.select(
             F.struct("label", "filter", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("bucket"),
             (F.col("chunk") > F.col("other")).cast("int").alias("side"),
-            "label",
-            "vec_id",
-            "embedding",
+            *carried,
         )
     dealt = dealt.withColumn("bucket", F.xxhash64("bucket"))
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "vec_id")
-    return _bucket_links(dealt, threshold).distinct()
+    # counts of a vector from several buckets are added up before they are dealt out
+    return _bucket_links(dealt, threshold).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, filters_per_vector: float | None = None) -> DataFrame:
@@ -286,7 +383,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, filters_per_
     """
     kind = "float" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "double"
     numbers = F.transform("embedding", lambda x: x.cast(kind) + F.lit(0).cast(kind))  # no negative zeros
-    rows = embeddings.select(F.col("vec_id").cast("bigint"), F.col("label").cast("bigint"), numbers.alias("embedding"))
+    label = F.col("label").cast("bigint")
+    if dict(embeddings.dtypes)["label"] not in ("tinyint", "smallint", "int", "bigint"):
+        label = F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label").cast("string")))
+    rows = embeddings.select(F.col("vec_id").cast("bigint"), label.alias("label"), numbers.alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     nonzero = F.exists("embedding", lambda x: x != 0)
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & nonzero, F.lit(False))
@@ -299,13 +399,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, filters_per_
         links = near_links(classes.where(F.size("embedding") == length), threshold, filters_per_vector)
         found = links if found is None else found.unionByName(links)
     if found is None:
-        found = embeddings.sparkSession.createDataFrame([], "a bigint, b bigint")
+        found = embeddings.sparkSession.createDataFrame([], "a bigint, b bigint, n bigint")
     found = materialize(found, "vector-links")
-    components = materialize(connected_components(found), "vector-components")
-
-    both = found.union(found.select("b", "a")).toDF("vec_id", "other")
-    copies = classes.select(F.col("vec_id").alias("other"), "copies")
-    linked = both.join(copies, "other").groupBy("vec_id").agg(F.sum("copies").alias("linked"))
+    components = materialize(connected_components(found.where("b IS NOT NULL").select("a", "b")), "vector-components")
+    linked = found.where("b IS NULL").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("linked"))
     tied = components.withColumnRenamed("node", "vec_id")
     of_class = classes.join(linked, "vec_id", "left").join(tied, "vec_id", "left")
     of_class = of_class.select(

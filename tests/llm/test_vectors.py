@@ -39,7 +39,7 @@ def usable(row):
 
 
 def test_near_duplicates(spark, monkeypatch):
-    for large in (2000, 20):  # also with buckets cut into chunks
+    for large in (8192, 20):  # also with buckets cut into chunks
         monkeypatch.setattr(embedding_dups, "LARGE_BUCKET", large)
         rows = vectors()
         # so many filters that no link is missed
@@ -180,3 +180,44 @@ def test_each_graph_goes_to_one_task(spark):
     found = ann.search(graphs, n_shards, ann._usable(table), 5, 2, 24)
     assert found.count() == 900 * n_shards * 2
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_of_a_large_group_leave_the_buckets_as_counts(spark):
+    """Near copies of one vector: all are linked with all, and what the buckets hand on grows with the rows only."""
+    rng = np.random.default_rng(9)
+    centre, handed = rng.normal(size=16), []
+    for n in (1250, 5000):
+        rows = [(k, (centre + rng.normal(size=16) * 0.02).tolist(), 1, 1) for k in range(n)]
+        table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label bigint, copies bigint")
+        found = embedding_dups.near_links(table, 0.93).collect()
+        handed.append(len(found) / n)
+        counts, forest = np.zeros(n, int), []
+        for r in found:
+            if r.b is None:
+                counts[r.a] += r.n
+            else:
+                forest.append((r.a, r.b))
+        assert (counts == n - 1).mean() > 0.99 and counts.max() == n - 1
+        assert set(plain_components(range(n), forest).values()) == {0}
+    assert handed[1] < 1.2 * handed[0] + 1
+
+
+def test_a_pair_belongs_to_its_smallest_common_filter():
+    rng = np.random.default_rng(10)
+    lists = [np.unique(rng.integers(0, 60, rng.integers(0, 12))).astype(np.int32) for _ in range(80)]
+    shared = embedding_dups._Shared(lists)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(80), np.arange(80), indexing="ij"))
+    want = [bool(set(lists[i]) & set(lists[j])) for i, j in zip(a, b)]
+    differ = a != b
+    assert (shared.of_pairs(a, b)[differ] == np.array(want)[differ]).all()
+    assert (shared.between(np.arange(80), np.arange(80)).ravel()[differ] == np.array(want)[differ]).all()
+    rows = np.repeat(np.arange(80), [len(x) for x in lists])
+    earlier = embedding_dups._earlier(rows, np.concatenate(lists).astype(np.int64))
+    assert [np.frombuffer(e.as_py(), np.int32).tolist() for e in earlier] == [x[:k].tolist() for x in lists for k in range(len(x))]
+
+
+def test_labels_of_any_type(spark):
+    rows = [(k, [1.0, 2.0, 3.0, 4.0 + k / 100], label) for k, label in enumerate(["a", "a", "b", None, "a "])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")
+    found = embedding_dups.near_duplicates(table, filters_per_vector=300).orderBy("vec_id").collect()
+    assert [(r.n_links, r.component_id) for r in found] == [(1, 0), (1, 0), (0, 2), (0, 3), (0, 4)]
