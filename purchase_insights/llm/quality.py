@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from purchase_insights.llm.sampling import sample_ids, unused_name
+from purchase_insights.llm.sampling import sample_ids, unused_name, with_texts
 
 #: A rule: conditions (statistic, above, threshold), all of which hold.
 Rule = tuple[tuple[str, bool, float], ...]
@@ -54,12 +54,12 @@ def statistics(text: Column) -> dict[str, Column]:
 def train(docs: DataFrame, labels: DataFrame, n_rows: int = 20_000, trees: int = 40, depth: int = 3) -> Model:
     """Fit on at most ``n_rows`` rows of ``docs`` labelled in ``labels`` (doc_id, quality 0 or 1).
 
-    The sample is picked by a hash of doc_id. Without labelled rows, or with one kind
+    The sample is picked by a hash of doc_id; a repeated one counts once. Without labelled rows, or with one kind
     only, the model has no rules and the score is the labels' share of 1 (0.5 if none).
     """
-    picked = F.broadcast(sample_ids(labels.where("quality IS NOT NULL").select("doc_id", "quality"), n_rows))
+    picked = sample_ids(labels.where("quality IS NOT NULL").select("doc_id", "quality"), n_rows)
     columns = statistics(F.col("text"))
-    sample = docs.select("doc_id", "text").join(picked, "doc_id")
+    sample = with_texts(picked, docs)
     measured = sample.select("doc_id", "quality", *(column.alias(name) for name, column in columns.items()))
     rows = measured.toArrow().sort_by("doc_id")  # the same model however rows are split
     y = rows["quality"].to_numpy().astype(float)

@@ -16,6 +16,8 @@ def in_batches(texts: DataFrame) -> DataFrame:
     """``texts``, whose session hands at most ``BATCH_ROWS`` rows at a time to Python from now on.
 
     Spark's own 10,000 whole texts would fill a worker's memory; a smaller setting stays.
+    The session keeps the setting, as it is read when a result is computed, which is
+    after the operator has returned; no result depends on it.
     """
     conf = texts.sparkSession.conf
     now = int(conf.get(_BATCH_SETTING, "0"))
@@ -50,7 +52,7 @@ def in_table(bits: np.ndarray, value: int) -> bool:
 
 
 def fold(doc_id: str, folds: int) -> Column:
-    """crc32 of the id as text, modulo ``folds``."""
+    """crc32 of the id as text, modulo ``folds``; NULL without an id: such a row is in no fold, and never learnt from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 
 
@@ -62,6 +64,18 @@ def sample_ids(ids: DataFrame, size: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
 
 
+def with_texts(picked: DataFrame, docs: DataFrame) -> DataFrame:
+    """``picked`` (a bounded table with doc_id) and the text of each doc_id in ``docs``.
+
+    Of a repeated doc_id one row counts, that of the smallest hash of its text: the result
+    has no more rows than ``picked``, however often an id occurs.
+    """
+    ids = F.broadcast(picked.select("doc_id").distinct())
+    rows = docs.select("doc_id", "text").join(ids, "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.join(F.broadcast(picked), "doc_id")
+
+
 def unused_name(name: str, df: DataFrame) -> str:
     """``name``, with underscores added until no column of ``df`` begins with it."""
     taken = [column.lower() for column in df.columns]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purchase_insights.llm.sampling import in_batches, sample_ids
+from purchase_insights.llm.sampling import in_batches, sample_ids, with_texts
 
 WORD = re.compile(r"[^\W\d_]+")
 BINS = 1 << 21
@@ -80,15 +80,14 @@ def train(
     """Fit on at most ``n_toxic`` toxic and ``n_unlabelled`` other documents of ``docs``.
 
     ``labels`` has doc_id and toxic, 0 or 1. Only ``toxic`` = 1 is used as a label;
-    the prior is the share of toxic rows in ``labels``. Unlabelled documents are a
+    the prior is the share of toxic rows in ``labels``, kept between 0.001 and 0.5. Unlabelled documents are a
     sample of all of ``docs``, whose labels, if any, are not looked at. None without a
-    toxic document. The samples are picked by a hash of doc_id and are bounded.
+    toxic document. The samples are picked by a hash of doc_id; a repeated one counts once.
     """
     prior = labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     toxic = sample_ids(labels.where("toxic = 1").select("doc_id"), n_toxic).withColumn("toxic", F.lit(1))
     unlabelled = sample_ids(docs.select("doc_id"), n_unlabelled).withColumn("toxic", F.lit(0))
-    picked = F.broadcast(toxic.union(unlabelled))  # n_toxic + n_unlabelled ids at most
-    rows = _bins_of_documents(docs.select("doc_id", "text").join(picked, "doc_id")).toArrow()
+    rows = _bins_of_documents(with_texts(toxic.union(unlabelled), docs)).toArrow()  # n_toxic + n_unlabelled at most
     rows = rows.sort_by([("toxic", "ascending"), ("doc_id", "ascending")])  # the same model however rows are split
     is_toxic = rows["toxic"].to_numpy() == 1
     if not is_toxic.any() or is_toxic.all():
@@ -123,6 +122,23 @@ def _fit(
     return Model(dict(zip(features.tolist(), weights.tolist())), float(np.mean([b for _, b in fitted])))
 
 
+def estimated_risk(
+    z: np.ndarray, share: np.ndarray, is_toxic: np.ndarray, prior: float
+) -> tuple[float, float, np.ndarray]:
+    """The risk of calling toxic text clean, that of the reverse (corrected), and how to change the outputs ``z``.
+
+    The last is the slope of their sum or, where the corrected part is negative, of
+    that part with its sign changed. ``share`` is the weight of each document in its kind.
+    """
+    called = 1 / (1 + np.exp(-z))
+    risk_other = np.logaddexp(0, z) * share  # of calling a document toxic
+    corrected = risk_other[~is_toxic].sum() - prior * risk_other[is_toxic].sum()
+    missed = prior * (np.logaddexp(0, -z) * share)[is_toxic].sum()
+    slope_clean = np.where(is_toxic, -prior, 1.0) * called * share
+    slope_toxic = np.where(is_toxic, prior * (called - 1), 0.0) * share
+    return missed, corrected, slope_toxic + slope_clean if corrected >= 0 else -slope_clean
+
+
 def _descend(rows, columns, is_toxic, n_features, prior, steps, rng, rate=0.1, decay=1e-3):
     """One classifier on a bootstrap of the documents: logistic loss, Adam."""
     copies = np.zeros(len(is_toxic))
@@ -134,12 +150,7 @@ def _descend(rows, columns, is_toxic, n_features, prior, steps, rng, rate=0.1, d
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         z = theta[-1] + np.bincount(rows, theta[columns], minlength=len(is_toxic))
-        called = 1 / (1 + np.exp(-z))
-        risk_other = np.logaddexp(0, z) * share  # of calling a document clean
-        corrected = risk_other[~is_toxic].sum() - prior * risk_other[is_toxic].sum()
-        slope_clean = np.where(is_toxic, -prior, 1.0) * called * share
-        slope_toxic = np.where(is_toxic, prior * (called - 1), 0.0) * share
-        slope = slope_toxic + slope_clean if corrected >= 0 else -slope_clean
+        _, _, slope = estimated_risk(z, share, is_toxic, prior)
         gradient = np.append(np.bincount(columns, slope[rows], minlength=n_features), slope.sum())
         gradient[:-1] += decay * theta[:-1]
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2

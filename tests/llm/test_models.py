@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from purchase_insights.llm import quality, toxicity
-from purchase_insights.llm.sampling import fold, sample_ids
+from purchase_insights.llm.sampling import fold, sample_ids, with_texts
 
 SCHEMA = "doc_id long, text string, toxic string, score string, stat_n_chars int, spans int"
 
@@ -58,6 +62,61 @@ def test_toxicity(spark, corpus):
     assert toxicity.score(odd.limit(0), model).count() == 0
 
 
+def test_risk_and_its_slope():
+    """The estimate against its definition, document by document, and the slope against finite differences."""
+    rng = np.random.default_rng(4)
+    signs = set()
+    for _ in range(40):
+        n = int(rng.integers(4, 12))
+        is_toxic = np.arange(n) < rng.integers(1, n)
+        share = np.where(is_toxic, 1 / is_toxic.sum(), 1 / (~is_toxic).sum())
+        z, prior = rng.normal(size=n) * 3, rng.uniform(0.05, 0.5)
+
+        def parts(z):
+            def loss(x, label):
+                return math.log1p(math.exp(-x if label else x))
+
+            toxic = [x for x, t in zip(z, is_toxic) if t]
+            other = [x for x, t in zip(z, is_toxic) if not t]
+            missed = prior * sum(loss(x, 1) for x in toxic) / len(toxic)
+            return missed, sum(loss(x, 0) for x in other) / len(other) - prior * sum(loss(x, 0) for x in toxic) / len(toxic)
+
+        missed, corrected, slope = toxicity.estimated_risk(z, share, is_toxic, prior)
+        assert (missed, corrected) == pytest.approx(parts(z))
+        signs.add(corrected >= 0)
+        for i in range(n):
+            step = np.eye(n)[i] * 1e-6
+            high, low = parts(z + step), parts(z - step)
+            change = (high[1] - low[1]) / 2e-6
+            assert slope[i] == pytest.approx(change + (high[0] - low[0]) / 2e-6 if corrected >= 0 else -change, abs=1e-6)
+    assert signs == {True, False}
+
+
+def test_scores_are_those_of_the_weights(spark, corpus):
+    docs, labels = corpus
+    model = toxicity.train(docs, labels, steps=40)
+    texts = {r.doc_id: r.text for r in docs.where("doc_id < 60").collect()}
+    for row in toxicity.score(docs.where("doc_id < 60"), model).collect():
+        words = set(re.findall(r"[^\W\d_]+", texts[row.doc_id].lower()))
+        names = {name for w in words for name in (f"={w}", *(w[:n] for n in (3, 4, 5) if len(w) >= n))}
+        bins = {zlib.crc32(name.encode()) % toxicity.BINS for name in names}
+        z = model.bias + sum(model.weights.get(b, 0.0) for b in bins)
+        assert row.score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_hot_ids_count_once(spark, corpus):
+    """An id that holds most of the rows does not reach the driver as often, and does not outweigh the others."""
+    docs, labels = corpus
+    chosen = sample_ids(labels.where("toxic = 1").select("doc_id"), 1).first()["doc_id"]
+    again = docs.where(F.col("doc_id") == chosen).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("copy")
+    more = docs.union(again)
+    picked = sample_ids(labels.select("doc_id"), 5000)
+    assert with_texts(picked, more).count() == picked.count()
+    before, after = (toxicity.train(d, labels, steps=20) for d in (docs, more))
+    assert before.weights.keys() == after.weights.keys() and before.bias == pytest.approx(after.bias)
+    assert quality.train(more, labels) == quality.train(docs, labels)
+
+
 def test_toxicity_is_repeatable(corpus):
     docs, labels = corpus
     models = [toxicity.train(d, labels, steps=40) for d in (docs, docs.repartition(7))]
@@ -91,6 +150,37 @@ def test_quality(spark, corpus):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_compiled_rules(corpus):
+    """The scores of the Spark columns are those of the rules in numpy on the same rows."""
+    docs, labels = corpus
+    model = quality.train(docs, labels)
+    columns = quality.statistics(F.col("text"))
+    rows = docs.select("doc_id", *(c.alias(n) for n, c in columns.items())).collect()
+    scores = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert model.rules and rows
+    for row in rows:
+        z = model.bias
+        for rule, weight in model.rules:
+            z += weight * all((row[name] > at) == above for name, above, at in rule)
+        assert scores[row.doc_id] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_lasso_is_a_minimum():
+    """No small step along any weight lowers the penalised loss."""
+    rng = np.random.default_rng(3)
+    holds, y = (rng.random((300, 6)) < 0.4).astype(float), (rng.random(300) < 0.5).astype(float)
+    y[holds[:, 0] > 0] = 1
+    weights, bias = quality._lasso(holds, y, penalty=0.01)
+
+    def loss(theta):
+        z = holds @ theta[:-1] + theta[-1]
+        return np.mean(np.logaddexp(0, z) - y * z) + 0.01 * np.abs(theta[:-1]).sum()
+
+    theta = np.append(weights, bias)
+    steps = [k * np.eye(7)[i] for i in range(7) for k in (0.02, -0.02)]
+    assert all(loss(theta + step) >= loss(theta) - 1e-6 for step in steps) and 0 < (weights != 0).sum() < 6
+
+
 def test_quality_without_both_kinds(spark, corpus):
     docs, labels = corpus
     assert quality.train(docs, labels.limit(0)).rules == []
@@ -110,7 +200,5 @@ def test_samples_and_folds(spark):
     ids = spark.createDataFrame([(k % 50, k) for k in range(100)] + [(None, 1)], "doc_id long, value int")
     picked = [sample_ids(d, 20).collect() for d in (ids, ids.repartition(6))]
     assert picked[0] == picked[1] and len({r.doc_id for r in picked[0]}) == 20
-    import zlib
-
     rows = spark.range(20).select(F.col("id").alias("doc_id")).select("doc_id", fold("doc_id", 5).alias("f")).collect()
     assert [r.f for r in rows] == [zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows]
