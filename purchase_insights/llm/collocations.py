@@ -32,6 +32,8 @@ LONGEST = 4
 WORDS_AT_ONCE = 2_000_000
 #: Suffixes that a group is to have, about.
 BUDGET = 1 << 20
+#: Beyond so many tasks they get several groups each, one after the other.
+MOST_TASKS = 50_000
 #: A pair as common as this in ``WORDS_AT_ONCE`` words is counted; a rarer one is no frequent pair.
 COMMON_PAIR = 32
 
@@ -339,11 +341,15 @@ def phrase_counts(
     counted, seed = _words_and_pairs(texts, words_at_once, common_pair)
     words, pairs = counted.where("second IS NULL").drop("second"), counted.where("second IS NOT NULL").drop("word")
     bits = bit_table(words.where(F.col("n") >= least), "id")
-    deal = _dealing(seed, bits, _prefixes(words, pairs, budget), words_at_once)
+    prefixes = _prefixes(words, pairs, budget)
+    deal = _dealing(seed, bits, prefixes, words_at_once)
     columns = ", ".join(f"{name} binary" for name in (*IDS, "n"))
     suffixes = texts.mapInArrow(deal, f"lang string, group int, split boolean, {columns}")
     ids = ", ".join(f"{name} bigint" for name in IDS)
-    nodes = suffixes.groupBy("lang", "group").applyInArrow(_subtrees(least), f"lang string, {ids}, f bigint, part boolean")
+    # as many tasks as there are groups, so that their size does not grow with the corpus
+    n_tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(p.groups for p in prefixes.values()))
+    dealt = suffixes.repartition(min(n_tasks, MOST_TASKS), "lang", "group")
+    nodes = dealt.groupBy("lang", "group").applyInArrow(_subtrees(least), f"lang string, {ids}, f bigint, part boolean")
     nodes = materialize(nodes, "phrase-nodes")
     parts = nodes.where("part").groupBy("lang", *IDS).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return words, nodes.where("NOT part").drop("part").unionByName(parts)
@@ -429,5 +435,6 @@ def collocations(
     spelled = spelled.groupBy("lang", *IDS).agg(F.array_join(F.transform(in_order, lambda x: x["word"]), " ").alias("phrase"))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     last = Window.partitionBy("lang").orderBy(*order, "phrase")
-    ranked = best.join(spelled, ["lang", *IDS]).join(totals, "lang").withColumn("rank", F.row_number().over(last).cast("bigint"))
-    return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = best.join(spelled, ["lang", *IDS]).withColumn("place", F.row_number().over(last)).where(F.col("place") <= top)
+    rank = F.col("place").cast("bigint").alias("rank")
+    return ranked.join(totals, "lang").select("lang", rank, "phrase", "a", "l", "r", "n", "score")
