@@ -383,5 +383,7 @@ def expected() -> dict[str, str]:
         **{f"book_{name}": sql for name, sql in {
             **purchases, "executive_summary": _summary(), "discount_insight": _insight(), "recommendations": _recommendations(),
         }.items()},
+        **{f"grown_{name}": purchases[name] for name in ("overall", "category", "rating")},
+        "grown_executive_summary": _summary(),
         "loaded_purchases": _CLEAN.replace("customer_id, age,", f"customer_id, {_WHOLE_AGES}", 1),
     }

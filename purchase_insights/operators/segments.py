@@ -14,6 +14,7 @@ from purchase_insights.functions.measures import (
     rating_aggregates,
     share_percent,
 )
+from purchase_insights.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -68,8 +69,15 @@ def finish_report(groups: DataFrame, segment: Segment) -> DataFrame:
 
 
 def segment_report(purchases: DataFrame, segment: Segment) -> DataFrame:
-    """Aggregate the purchases by the segment's keys and finish the report."""
+    """Aggregate the purchases by the segment's keys and finish the report.
+
+    Groups whose total is needed too are written, so that the purchases are aggregated
+    once and the total adds up the groups.
+    """
     aggregates = base_aggregates(purchases)
     if "average_rating" in segment.measures:
         aggregates += rating_aggregates()
-    return finish_report(purchases.groupBy(*segment.keys).agg(*aggregates), segment)
+    groups = purchases.groupBy(*segment.keys).agg(*aggregates)
+    if "revenue_percentage" in segment.measures:
+        groups = materialize(groups.select(*segment.keys, "n_rows", "n_priced", "revenue"), "groups-and-total")
+    return finish_report(groups, segment)

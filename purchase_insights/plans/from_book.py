@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from purchase_insights.functions.measures import RATING, merged_aggregates
-from purchase_insights.operators.median import median_of_counts
-from purchase_insights.operators.report_book import BOOK_SEGMENTS, KEY_COLUMNS, report_groups
+from purchase_insights.functions.measures import merged_aggregates
+from purchase_insights.operators.rating import with_imputed_ratings
+from purchase_insights.operators.report_book import BOOK_SEGMENTS, KEY_COLUMNS
 from purchase_insights.operators.segments import Segment, finish_report
 from purchase_insights.plans.charts import CHARTS
 from purchase_insights.plans.reports import REPORT_NAMES, SEGMENTS, finish_overall
-from purchase_insights.sources.scratch import materialize
 
 _BOOK_SEGMENT = {keys: name for segments in BOOK_SEGMENTS.values() for name, keys in segments.items()}
 
@@ -24,29 +23,13 @@ def _key(name: str, column: str) -> Column:
     return F.col(column).cast(kind).alias(name)
 
 
-def _with_imputed_ratings(products: DataFrame, book: DataFrame) -> DataFrame:
-    """Count each missing rating of a product as its category's median."""
-    counts = book.where("segment = 'rating' AND n_rated > 0").select(
-        F.col("key_1").alias("category"), F.col("key_2").cast("double").alias("rating"), "n_rated"
-    )
-    medians = median_of_counts(counts, "category", "rating", "n_rated")
-    missing = F.when(F.col("median").isNotNull(), F.col("n_rows") - F.col("n_rated")).otherwise(0)
-    return (
-        products.join(medians, "category", "left")
-        .withColumn("_missing", missing)
-        .withColumn("_imputed", F.coalesce(F.col("median").cast(RATING) * F.col("_missing"), F.lit(0)))
-        .withColumn("n_rated", F.col("n_rated") + F.col("_missing"))
-        .withColumn("rating_total", F.coalesce("rating_total", F.lit(0)) + F.col("_imputed"))
-    )
-
-
 def _segment_from_book(book: DataFrame, segment: Segment) -> DataFrame:
     keys = [_key(name, column) for name, column in zip(segment.keys, KEY_COLUMNS, strict=False)]
     rated = ["n_rated", "rating_total"] if "average_rating" in segment.measures else []
     groups = book.where(F.col("segment") == _BOOK_SEGMENT[segment.keys]).select(
         *keys, "n_rows", "n_priced", "revenue", *rated
     )
-    return finish_report(_with_imputed_ratings(groups, book) if rated else groups, segment)
+    return finish_report(with_imputed_ratings(groups, book) if rated else groups, segment)
 
 
 def report_from_book(book: DataFrame, name: str) -> DataFrame:
@@ -54,22 +37,12 @@ def report_from_book(book: DataFrame, name: str) -> DataFrame:
     if name != "overall":
         return _segment_from_book(book, SEGMENTS[name])
     # A global aggregate, so that an empty book still gives its one row.
-    totals = book.where("segment IN ('overall', 'customers')").agg(
-        *merged_aggregates(), F.sum("n_customers").alias("n_customers")
-    )
+    measures = ("n_rows", "n_priced", "revenue", "lowest", "highest")
+    whole = (F.when(F.col("segment") == "overall", F.col(name)).alias(name) for name in measures)
+    totals = book.select(*whole, "n_customers").agg(*merged_aggregates(), F.sum("n_customers").alias("n_customers"))
     return finish_overall(totals.fillna(0, ["n_rows", "n_customers"]))
 
 
-def rating_report(purchases: DataFrame) -> DataFrame:
-    """The report ``rating`` from purchases whose ratings are not imputed yet.
-
-    One pass: the purchases are counted by product and rating, and the medians
-    and the imputation need only those counts.
-    """
-    counts = materialize(report_groups(purchases, ("product", "rating")), "rating-counts")
-    return report_from_book(counts, "rating")
-
-
 def reports_from_book(book: DataFrame) -> dict[str, DataFrame]:
     return {name: report_from_book(book, name) for name in REPORT_NAMES}
 

@@ -41,14 +41,18 @@ def build_reports(purchases: DataFrame) -> dict[str, DataFrame]:
     to the shared folder, and every result is read from there.
     """
     purchases = conform(require_columns(purchases, *PURCHASE_COLUMNS))
-    book = materialize(report_book(purchases), "report-book")
+    return results_of_book(materialize(report_book(purchases), "report-book"))
+
+
+def results_of_book(book: DataFrame) -> dict[str, DataFrame]:
+    """All results by name from a stored book."""
     return {
         **reports_from_book(book),
         **charts_from_book(book),
         "executive_summary": summary_from_book(book),
         "discount_insight": insight_from_report(report_from_book(book, "discount")),
         "recommendations": recommendations_from_book(book),
-        "limitations": limitations(purchases.sparkSession),
+        "limitations": limitations(book.sparkSession),
     }
 
 

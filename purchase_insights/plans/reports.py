@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from purchase_insights.functions.columns import loyalty_segment
 from purchase_insights.functions.measures import average_purchase, base_aggregates
-from purchase_insights.operators.segments import Segment, segment_report
+from purchase_insights.operators.rating import rated_products
+from purchase_insights.operators.report_book import sketch_customers
+from purchase_insights.operators.segments import Segment, finish_report, segment_report
 from purchase_insights.schema import conform, require_columns
 
 TOP_N = 10
@@ -65,10 +67,18 @@ def finish_overall(totals: DataFrame) -> DataFrame:
     )
 
 
-def overall(purchases: DataFrame) -> DataFrame:
-    """One row of totals; for no purchases, NULL amounts and zero counts."""
-    distinct = F.count_distinct("customer_id").alias("n_customers")
-    return finish_overall(purchases.agg(*base_aggregates(purchases), distinct))
+def overall(purchases: DataFrame, approximate_customers: bool = False) -> DataFrame:
+    """One row of totals; for no purchases, NULL amounts and zero counts.
+
+    ``approximate_customers`` estimates the number of customers by a sketch of a fixed
+    size (standard error 0.8 %), where a group per customer would be too many.
+    """
+    if not approximate_customers:
+        distinct = F.count_distinct("customer_id").alias("n_customers")
+        return finish_overall(purchases.agg(*base_aggregates(purchases), distinct))
+    estimate = sketch_customers(purchases).select(F.coalesce(F.hll_sketch_estimate("customer_sketch"), F.lit(0)))
+    totals = purchases.agg(*base_aggregates(purchases))
+    return finish_overall(totals.withColumn("n_customers", estimate.scalar()))
 
 
 def with_loyalty(purchases: DataFrame) -> DataFrame:
@@ -78,14 +88,20 @@ def with_loyalty(purchases: DataFrame) -> DataFrame:
 def report(purchases: DataFrame, name: str, **changes) -> DataFrame:
     """One of the reports by name, computed on its own.
 
-    ``changes`` replace fields of its ``Segment``, e.g. ``limit`` or ``min_rows``.
+    ``changes`` replace fields of its ``Segment``, e.g. ``limit`` or ``min_rows``, or are
+    the arguments of ``overall``. The
+    report ``rating`` takes purchases whose ratings are imputed or not, with the same
+    result; without saves a pass over the rows.
     """
     if name == "overall":
-        return overall(conform(purchases))
+        return overall(conform(purchases), **changes)
     segment = replace(SEGMENTS[name], **changes)
     if "customer_segment" in segment.keys:
         purchases = with_loyalty(purchases)
-    return segment_report(conform(require_columns(purchases, *segment.keys, "purchase_amount")), segment)
+    purchases = conform(require_columns(purchases, *segment.keys, "purchase_amount"))
+    if "average_rating" in segment.measures:
+        return finish_report(rated_products(require_columns(purchases, "review_rating")), segment)
+    return segment_report(purchases, segment)
 
 
 REPORT_NAMES: tuple[str, ...] = ("overall", *SEGMENTS)

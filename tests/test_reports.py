@@ -10,7 +10,7 @@ from purchase_insights.functions.measures import exact_sum
 from purchase_insights.operators.cleaning import impute_rating
 from purchase_insights.operators.report_book import report_book, report_groups
 from purchase_insights.plans.charts import CHARTS, chart_data
-from purchase_insights.plans.from_book import charts_from_book, rating_report, report_from_book, reports_from_book
+from purchase_insights.plans.from_book import charts_from_book, report_from_book, reports_from_book
 from purchase_insights.plans.pipeline import build_reports, write_reports
 from purchase_insights.plans.reports import REPORT_NAMES, SEGMENTS, report
 from purchase_insights.schema import PURCHASE_COLUMNS
@@ -151,7 +151,7 @@ def test_book_reads_the_purchases_once(spark, tmp_path):
 
 def test_rating_report_needs_no_imputed_rows(spark):
     raw = mixed(spark)
-    assert rows(rating_report(raw)) == rows(report(impute_rating(raw), "rating"))
+    assert rows(report(raw, "rating")) == rows(report(impute_rating(raw), "rating"))
 
 
 def test_only_the_needed_keys_are_grouped(spark):
