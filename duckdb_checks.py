@@ -6,6 +6,7 @@ an exact decimal sum over a count, in both engines.
 
 from __future__ import annotations
 
+# Titles, insights and recommendations that the results must have.
 SECTION_TITLES = (
     "OVERALL BUSINESS PERFORMANCE",
     "PRODUCT AND CATEGORY PERFORMANCE",
@@ -357,6 +358,52 @@ _LINE_BYTES = " + ".join(
 _CLEAN = f"WITH {PURCHASES} SELECT {_CLEAN_COLUMNS} FROM purchases"
 
 
+_TEXT_COLUMNS = (
+    "customer_id", "age", "gender", "item_purchased", "category", "purchase_amount", "location", "season",
+    "review_rating", "subscription_status", "shipping_type", "discount_applied", "promo_code_used",
+    "previous_purchases", "frequency_of_purchases",
+)
+_TITLES = {"purchase_amount": "Purchase Amount (USD)"}
+
+
+def _inferred_types() -> str:
+    """The narrowest type of all texts of a column, by regular expressions and casts of their own."""
+    counts = "CASE WHEN previous_purchases = 10 THEN '1e1' WHEN previous_purchases % 2 = 0 THEN previous_purchases || '.0' ELSE CAST(previous_purchases AS VARCHAR) END"
+    texts = ", ".join(
+        f"{counts if c == 'previous_purchases' else f'CAST({c} AS VARCHAR)'} AS {c}" for c in _TEXT_COLUMNS
+    )
+    kinds = "\nUNION ALL ".join(
+        f"""SELECT '{_TITLES.get(c, c.replace("_", " ").title())}' AS name,
+        CASE WHEN COUNT({c}) = 0 THEN 'string' WHEN bool_and(regexp_full_match({c}, '[+-]?[0-9]+')) THEN 'bigint'
+             WHEN COUNT(TRY_CAST({c} AS DOUBLE)) = COUNT({c}) THEN 'double'
+             WHEN bool_and(lower({c}) IN ('true', 'false')) THEN 'boolean' ELSE 'string' END AS type,
+        COUNT({c}) AS n_values FROM texts"""
+        for c in _TEXT_COLUMNS
+    )
+    return f"WITH {RAW}, texts AS (SELECT {texts} FROM raw)\n{kinds}"
+
+
+# Records of the faulty file, and what is wrong with them.
+_FAULTS = {
+    "previous_purchases = 7": "'customer_id: c' || customer_id || ' does not fit bigint'",
+    "customer_id % 11 = 0": "'purchase_amount: ' || purchase_amount || '5 does not fit decimal(12,2)'",
+    "customer_id % 13 = 0": "'previous_purchases: ' || previous_purchases || ' times does not fit int'",
+}
+
+
+def _checked_load() -> str:
+    """The purchases of the records without a fault; medians are of their ratings alone."""
+    right = " AND ".join(f"NOT ({fault})" for fault in _FAULTS)
+    accepted = RAW.replace("raw AS (", "records AS (", 1) + f",\nraw AS (SELECT * FROM records WHERE {right})"
+    columns = _CLEAN_COLUMNS.replace("customer_id, age,", f"customer_id, {_WHOLE_AGES}", 1)
+    return f"WITH {PURCHASES.replace(RAW, accepted, 1)} SELECT {columns} FROM purchases"
+
+
+def _refused_rows() -> str:
+    problems = ", ".join(f"CASE WHEN {fault} THEN {text} END" for fault, text in _FAULTS.items())
+    return f"WITH {RAW} SELECT CONCAT_WS('; ', {problems}) AS problems FROM raw WHERE {' OR '.join(_FAULTS)}"
+
+
 def expected() -> dict[str, str]:
     """DuckDB SQL by query name."""
     purchases = {name: f"WITH {PURCHASES}\n{sql}" for name, sql in {**REPORTS, **CHARTS}.items()}
@@ -385,5 +432,8 @@ def expected() -> dict[str, str]:
         }.items()},
         **{f"grown_{name}": purchases[name] for name in ("overall", "category", "rating")},
         "grown_executive_summary": _summary(),
+        "inferred_types": _inferred_types(),
+        "checked_load": _checked_load(),
+        "refused_rows": _refused_rows(),
         "loaded_purchases": _CLEAN.replace("customer_id, age,", f"customer_id, {_WHOLE_AGES}", 1),
     }

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from purchase_insights.operators.cleaning import clean_purchases, normalize_headers
@@ -12,7 +13,7 @@ from purchase_insights.operators.report_book import report_book, report_groups
 from purchase_insights.plans.from_book import CHART_SEGMENTS, charts_from_book, report_from_book, reports_from_book
 from purchase_insights.plans.summary import insight_from_report, limitations, recommendations_from_book, summary_from_book
 from purchase_insights.schema import PURCHASE_COLUMNS, conform, require_columns
-from purchase_insights.sources.csv_files import read_purchases_csv
+from purchase_insights.sources.csv_files import PROBLEMS, RECORD, read_checked_csv, read_purchases_csv
 from purchase_insights.sources.scratch import materialize, remove_scratch, scratch_path
 
 
@@ -34,6 +35,35 @@ def load_purchases(
     return spark.read.schema(clean.schema).parquet(target)
 
 
+@dataclass(frozen=True)
+class LoadCounts:
+    accepted: int
+    refused: int
+
+
+def load_checked(
+    spark: SparkSession, csv_path: str | list[str], target: str, refused: str, mode: str = "error", **csv_options
+) -> LoadCounts:
+    """Clean CSV purchases into ``target``; records that don't fit go to ``refused`` instead of ending the load.
+
+    ``refused`` gets a row per such record: problems (an array of texts) and record, its
+    text. Every record is in one of the two, and is parsed once. ``mode`` is what to do
+    if either folder exists.
+    """
+    checked = read_checked_csv(spark, csv_path, **csv_options).transform(normalize_headers)
+    good = F.size(PROBLEMS) == 0
+    counts = Observation("load")
+    observed = checked.observe(counts, F.count_if(good).alias("accepted"), F.count_if(~good).alias("refused"))
+    copy = scratch_path(spark, "raw-purchases")
+    observed.write.parquet(copy)
+    stored = spark.read.schema(checked.schema).parquet(copy)
+    bad = stored.where(~good).select(F.col(PROBLEMS).alias("problems"), F.col(RECORD).alias("record"))
+    bad.write.mode(mode).parquet(refused)
+    clean_purchases(stored.where(good).drop(PROBLEMS, RECORD)).write.mode(mode).parquet(target)
+    remove_scratch(spark, copy)
+    return LoadCounts(counts.get["accepted"], counts.get["refused"])
+
+
 def build_reports(purchases: DataFrame) -> dict[str, DataFrame]:
     """All reports, chart datasets, summary, insight and recommendations by name.
 

@@ -53,26 +53,41 @@ PURCHASE_COLUMNS: tuple[str, ...] = (
 WIDE = T.DecimalType(38, 18)
 
 
-def exact_cast(value: Column, source: T.DataType, kind: T.DataType, name: str) -> Column:
-    """``value`` as ``kind``; an error that names the column where that would change it.
+def checked_cast(value: Column, source: T.DataType, kind: T.DataType, name: str) -> tuple[Column, Column]:
+    """``value`` as ``kind``, and a text that names the column where that would change the value (else NULL).
 
     Texts may write whole numbers as ``34.0`` or ``1e3``. Binary numbers count as the
     decimal that they print as.
     """
-    if source == kind:
-        return value
     text = isinstance(source, T.StringType)
-    if isinstance(kind, T.StringType) or isinstance(kind, (T.DoubleType, T.FloatType)):
-        return value.cast(kind)
-    if not isinstance(kind, (T.DecimalType, T.IntegralType)):
-        return value.cast(kind)
-    number = F.trim(value).cast(WIDE) if text else value
-    cast = number.cast(kind)
-    changed = cast.cast(source) != value if not text else (cast.cast(WIDE) != number) | (
-        cast.cast("double") != value.cast("double")
-    )
+    if source == kind or isinstance(kind, T.StringType):
+        return value.cast(kind), F.lit(None).cast("string")
+    exact = isinstance(kind, (T.DecimalType, T.IntegralType))
+    if not exact:
+        cast = value.try_cast(kind)
+        right = cast.isNotNull()
+    elif text:
+        number = F.trim(value).try_cast(WIDE)
+        cast = number.try_cast(kind)
+        # plain numbers need no detour through wide decimals
+        digits, scale = (kind.precision - kind.scale, kind.scale) if isinstance(kind, T.DecimalType) else (4, 0)
+        plain = value.rlike(f"^[0-9]{{1,{digits}}}(\\.[0-9]{{1,{scale}}})?$" if scale else f"^[0-9]{{1,{digits}}}$") if digits else F.lit(False)
+        same = (cast.cast(WIDE) == number) & (cast.cast("double") == value.try_cast("double"))
+        right = plain | F.coalesce(same, F.lit(False))
+        cast = F.when(plain, value.try_cast(kind)).otherwise(cast)
+    else:
+        cast = value.try_cast(kind)
+        right = F.coalesce(cast.try_cast(source) == value, F.lit(False))
     message = F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(f" does not fit {kind.simpleString()}"))
-    return F.when(changed, F.raise_error(message).cast(kind)).otherwise(cast)
+    return F.when(right, cast), F.when(value.isNotNull() & ~right, message)
+
+
+def exact_cast(value: Column, source: T.DataType, kind: T.DataType, name: str) -> Column:
+    """``value`` as ``kind``; an error that names the column where that would change it (see ``checked_cast``)."""
+    if source == kind or not isinstance(kind, (T.DecimalType, T.IntegralType)):
+        return value.cast(kind)  # Spark's own error tells the value
+    cast, problem = checked_cast(value, source, kind, name)
+    return F.when(problem.isNotNull(), F.raise_error(problem).cast(kind)).otherwise(cast)
 
 
 def conform(df: DataFrame, types: Mapping[str, T.DataType] | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from purchase_insights.operators.cleaning import clean_purchases
+from purchase_insights.plans.pipeline import load_checked
+from purchase_insights.sources import csv_files
 from purchase_insights.sources.csv_files import export_csv, read_export, read_purchases_csv
 
 SCHEMA = "id bigint, text string, amount decimal(12,2), rating double"
@@ -197,3 +199,61 @@ def test_files_must_share_their_header(spark, tmp_path):
     write(tmp_path / "part1.csv", "Category,Age\nb,30\n")
     with pytest.raises(Exception, match="CSV header does not conform|HEADER"):
         read_purchases_csv(spark, str(tmp_path)).collect()
+
+
+def write_text(tmp_path, text, name="purchases.csv"):
+    path = tmp_path / name
+    path.write_text(text, encoding="utf-8")
+    return str(path)
+
+
+def test_inferred_types(spark, tmp_path):
+    """Each column gets the narrowest type of all its values, over several files; known ones keep theirs."""
+    header = "Customer Id,whole,number,mixed,truth,flag,big,none,odd name`\n"
+    write_text(tmp_path, header + "1,7,1.5,1,True,yes,99999999999999999999,NA,+3\n2,-8,2e3,x,FALSE,no,1,,-0\n", "a.csv")
+    write_text(tmp_path, header + "3,NA,inf,2.5,NA,true,2,null,12\n", "b.csv")
+    text = spark.read.csv(str(tmp_path), header=True)
+    kinds = {r["name"]: (r["type"], r["n_values"]) for r in csv_files.column_kinds(text, text.columns).collect()}
+    assert kinds == {
+        "Customer Id": ("bigint", 3), "whole": ("bigint", 2), "number": ("double", 3), "mixed": ("string", 3),
+        "truth": ("boolean", 2), "flag": ("string", 3), "big": ("string", 3), "none": ("string", 0), "odd name`": ("bigint", 3),
+    }
+    read = csv_files.read_purchases_csv(spark, str(tmp_path), infer_others=True)
+    assert dict(read.dtypes) == {name: "bigint" if name == "Customer Id" else kind for name, (kind, _) in kinds.items()}
+    rows = sorted(map(tuple, read.select("whole", "number", "truth", "mixed").collect()), key=repr)
+    assert rows == [(-8, 2000.0, False, "x"), (7, 1.5, True, "1"), (None, float("inf"), None, "2.5")]
+    assert dict(csv_files.read_purchases_csv(spark, str(tmp_path)).dtypes)["whole"] == "string"
+
+
+def test_checked_load_loses_no_record(spark, tmp_path):
+    text = (
+        "Customer ID,Age,Category,Review Rating,Purchase Amount (USD),Previous Purchases,Frequency of Purchases,Promo Code Used\n"
+        "1,20,a,4.0,10.50,3,Weekly,Yes\n"
+        "2,20,a,NA,10.555,3,Weekly,Yes\n"
+        "x,old,a,1.0,1e30,3.5,Weekly,Yes\n"
+        "3,20,a,2.0\n"
+        '4,20,"a, b",,7,1e1,Weekly,Yes\n'
+        "5,20,a,2.0,1,1,Weekly,Yes,more\n"
+    )
+    path, target, refused = write_text(tmp_path, text), str(tmp_path / "target"), str(tmp_path / "refused")
+    counts = load_checked(spark, path, target, refused)
+    assert (counts.accepted, counts.refused) == (2, 4)
+    accepted = spark.read.parquet(target)
+    assert sorted((r.customer_id, r.category, r.review_rating, r.previous_purchases) for r in accepted.collect()) == [
+        (1, "a", 4.0, 3), (4, "a, b", None, 10),
+    ]
+    found = {r.record: r.problems for r in spark.read.parquet(refused).collect()}
+    assert found["2,20,a,NA,10.555,3,Weekly,Yes"] == ["purchase_amount_(usd): 10.555 does not fit decimal(12,2)"] or found[
+        "2,20,a,NA,10.555,3,Weekly,Yes"
+    ] == ["Purchase Amount (USD): 10.555 does not fit decimal(12,2)"]
+    assert [p.split(":")[0] for p in found["x,old,a,1.0,1e30,3.5,Weekly,Yes"]] == [
+        "Customer ID", "Age", "Purchase Amount (USD)", "Previous Purchases",
+    ]
+    assert found["3,20,a,2.0"] == found["5,20,a,2.0,1,1,Weekly,Yes,more"] == ["record: not 8 fields"]
+    assert accepted.count() + len(found) == text.count("\n") - 1
+
+
+def test_a_number_beyond_all_types_names_its_column(spark, tmp_path):
+    path = write_text(tmp_path, "customer_id,purchase_amount\n1,1e30\n")
+    with pytest.raises(Exception, match="purchase_amount: 1e30 does not fit"):
+        csv_files.read_purchases_csv(spark, path).collect()
