@@ -4,8 +4,8 @@ Toxic documents go, then those of low quality; one document of each group of nea
 duplicates stays; personal data and terms that disclose it are replaced; what is left
 is packed. Each stage reads the Parquet table that the one before it wrote. The models
 of the first two stages are trained on the documents that they get, outside the held-out
-folds. SQL cannot express the stages; ``tests/llm/test_pipeline.py`` checks the rows of
-``run`` against a plain version.
+folds. SQL cannot express the stages; ``tests/llm/test_pipeline.py`` checks what they keep
+against the labels of the held-out folds, and the rows of ``run`` against a plain version.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from purchase_insights.llm import packing, pii, quality, simhash, toxicity
 from purchase_insights.llm.queries import quality_model, table, toxicity_model
-from purchase_insights.sources.scratch import materialize
+from purchase_insights.sources.scratch import remove_scratch, scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages on the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """The result of all stages on the documents of ``sf_dir``.
+
+    Each stage's table lies in the shared folder; it goes when the next one is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        result, path = stage(spark, docs, sf_dir), scratch_path(spark, f"stage-{name}")
+        result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
+        if before:
+            remove_scratch(spark, before)
+        before = path
     return docs
