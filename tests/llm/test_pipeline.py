@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from pathlib import Path
 
@@ -9,10 +10,13 @@ import public_tokenizers
 import pytest
 from plain import plain_components
 from pyspark.sql import functions as F
+from test_pii import plain_spans
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from purchase_insights.llm import pii, queries, quality, simhash, toxicity
+from purchase_insights.llm import queries, quality, simhash, toxicity
+from purchase_insights.sources import scratch
+from purchase_insights.sources.scratch import materialize
 
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(TABLES).exists(), reason="no test tables")
@@ -23,7 +27,7 @@ def stages(spark):
     docs = queries.table(spark, TABLES, "documents")
     tables = [docs]
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.materialize(stage(spark, docs, TABLES), name)
+        docs = materialize(stage(spark, docs, TABLES), name)
         tables.append(docs)
     return tables
 
@@ -47,6 +51,28 @@ def test_filters_do_what_their_scores_say(spark, stages):
     assert texts(stages[2]) == {i: t for i, t in texts(stages[1]).items() if i in {r.doc_id for r in scored if r.predicted}}
 
 
+@pytest.mark.parametrize("stage, label, kept, fold, held", [(0, "toxic", 0, 5, 0), (1, "quality", 1, 3, 1)])
+def test_filters_against_held_out_labels(spark, stage, label, kept, fold, held):
+    """What the filters keep of labelled documents that no model has seen, without their scores."""
+    tables = "/root/testdata/sf0.01"
+    docs = queries.table(spark, tables, "documents")
+    after = {r.doc_id for r in corpus_pipeline.STAGES[stage][1](spark, docs, tables).select("doc_id").collect()}
+    labels = {r.doc_id: r[label] for r in queries.table(spark, tables, "labels").collect() if r[label] is not None}
+    unseen = [r.doc_id for r in docs.select("doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % fold == held]
+    judged = [(i in after, labels[i] == kept) for i in unseen if i in labels]
+    assert len(judged) > 60 and len(set(right for _, right in judged)) == 2
+    assert sum(found == right for found, right in judged) / len(judged) > 0.95
+    good = [found for found, right in judged if right]
+    assert sum(good) / len(good) > 0.97  # documents to keep are kept
+
+
+def test_stage_tables_are_removed(spark):
+    before = list(scratch._issued)
+    packed = corpus_pipeline.run(spark, TABLES)
+    stages = [path for path in scratch._issued if path not in before and "/stage-" in path]
+    assert len(stages) == 1 and packed.count() > 0
+
+
 def test_one_of_each_group_stays(stages):
     before = texts(stages[2])
     prints = {i: simhash.fingerprint(t or "") for i, t in before.items()}
@@ -59,9 +85,9 @@ def test_personal_data_is_gone(stages):
     before, after = texts(stages[3]), texts(stages[4])
     assert before.keys() == after.keys()
     for i, text in before.items():
-        if pii.base_spans(text or ""):
-            assert after[i] != text
-            assert not any(text[a:b] in after[i] for _, a, b in pii.base_spans(text))
+        if plain_spans(text or ""):
+            assert after[i] != text and not plain_spans(after[i])
+            assert not any(text[a:b] in after[i] for _, a, b in plain_spans(text))
         else:
             assert after[i] == text
     wrong = stages[4].where((F.char_length("text") != F.col("n_chars")) & F.col("text").contains("["))
@@ -90,6 +116,6 @@ def test_stages_take_odd_rows(spark, stages):
     columns = docs.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         assert stage(spark, docs.limit(0), TABLES).count() == 0
-        docs = corpus_pipeline.materialize(stage(spark, docs, TABLES), name)
+        docs = materialize(stage(spark, docs, TABLES), name)
         if k < 4:
             assert docs.columns == columns and docs.count() > 100
