@@ -417,6 +417,11 @@ def expected() -> dict[str, str]:
         "age_bins": f"WITH {PURCHASES} SELECT customer_id, age, age_group FROM purchases",
         "frequency_days": f"WITH {PURCHASES} SELECT customer_id, frequency_of_purchases, purchase_frequency_days"
         " FROM purchases",
+        "frequency_table": f"WITH {PURCHASES} SELECT customer_id, frequency_of_purchases, purchase_frequency_days"
+        " FROM purchases",
+        "age_groups_in_order": f"WITH {PURCHASES} SELECT age_group, {_REVENUE}, CAST(CASE age_group"
+        " WHEN 'Young Adult' THEN 0 WHEN 'Adult' THEN 1 WHEN 'Middle-aged' THEN 2 WHEN 'Senior' THEN 3 END AS INTEGER)"
+        " AS age_rank FROM purchases GROUP BY age_group",
         "clean_purchases": _CLEAN,
         **purchases,
         "report_groups": _book(),

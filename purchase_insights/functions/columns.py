@@ -48,6 +48,14 @@ def age_group(age: Column) -> Column:
     return band
 
 
+def age_rank(band: Column) -> Column:
+    """Place of an age band among the bands, from 0; NULL for other texts."""
+    rank = F.when(band == AGE_LABELS[0], 0)
+    for place, label in enumerate(AGE_LABELS[1:], 1):
+        rank = rank.when(band == label, place)
+    return rank
+
+
 def frequency_days(frequency: Column) -> Column:
     """Days between purchases for a frequency label; NULL for other labels."""
     pairs = ", ".join(f"{literal(label)}, {days}" for label, days in FREQUENCY_DAYS.items())

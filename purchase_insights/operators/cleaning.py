@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from purchase_insights.functions.columns import age_group, frequency_days
+from purchase_insights.operators.lookup import look_up
 from purchase_insights.operators.median import grouped_median
 from purchase_insights.schema import require_columns
 
@@ -62,8 +63,11 @@ def add_age_group(df: DataFrame) -> DataFrame:
     return require_columns(df, "age").withColumn("age_group", age_group(F.col("age")))
 
 
-def add_frequency_days(df: DataFrame) -> DataFrame:
+def add_frequency_days(df: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """``purchase_frequency_days`` from the fixed labels, or from a table with frequency_of_purchases and that column."""
     require_columns(df, "frequency_of_purchases")
+    if dictionary is not None:
+        return look_up(df, dictionary, "frequency_of_purchases", "purchase_frequency_days", "frequency_of_purchases")
     return df.withColumn("purchase_frequency_days", frequency_days(F.col("frequency_of_purchases")))
 
 

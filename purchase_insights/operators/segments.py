@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from purchase_insights.functions.columns import age_rank
 from purchase_insights.functions.measures import (
     average_purchase,
     average_rating,
@@ -22,7 +23,7 @@ class Segment:
     """A report: purchases grouped by ``keys``.
 
     ``measures`` are the outputs after the keys, in order. ``order_by`` names
-    the measure to sort on (None: unordered). ``min_rows`` keeps groups of at
+    the measure to sort on, or ``age_band`` for the order of the bands (None: unordered). ``min_rows`` keeps groups of at
     least that many purchases, ``limit`` the first rows of the sorted report.
     """
 
@@ -49,7 +50,10 @@ def _measure(name: str) -> Column:
 
 
 def _rank(name: str, ascending: bool) -> Column:
-    """Order of a measure; missing values count as the largest."""
+    """Order of a measure or of age bands; missing values count as the largest."""
+    if name == "age_band":
+        band = age_rank(F.col("age_group"))
+        return band.asc_nulls_last() if ascending else band.desc_nulls_first()
     value = F.col("revenue") if name == "total_revenue" else _measure(name)
     return value.asc_nulls_last() if ascending else value.desc_nulls_first()
 

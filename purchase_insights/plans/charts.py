@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 
 from purchase_insights.operators.segments import Segment, segment_report
@@ -18,6 +20,10 @@ CHARTS: dict[str, Segment] = {
 }
 
 
-def chart_data(purchases: DataFrame, name: str) -> DataFrame:
-    """The dataset of one chart, computed on its own."""
-    return segment_report(conform(purchases), CHARTS[name])
+def chart_data(purchases: DataFrame, name: str, **changes) -> DataFrame:
+    """The dataset of one chart, computed on its own.
+
+    ``changes`` replace fields of its ``Segment``: ``order_by="age_band", ascending=True``
+    puts revenue by age group in the order of the bands.
+    """
+    return segment_report(conform(purchases), replace(CHARTS[name], **changes))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -183,13 +184,34 @@ def _written_files(spark: SparkSession, path: str) -> tuple[int, int]:
     return tuple(files.agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first())
 
 
-def export_csv(df: DataFrame, path: str, mode: str = "error") -> ExportStats:
+@contextmanager
+def _partition_size(spark: SparkSession, size: int | None) -> Iterator[None]:
+    """While it lasts, rebalanced partitions have about so many bytes."""
+    settings = {} if size is None else {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(size),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(min(size, 1 << 20)),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def export_csv(df: DataFrame, path: str, mode: str = "error", file_bytes: int | None = None) -> ExportStats:
     """Write ``df`` as a folder of CSV files for a BI tool.
 
     Each file has a header and starts with a UTF-8 byte order mark; missing
     values are empty fields, binary numbers are written in the shortest form that
-    gives the same number. There is a file per partition of ``df``; the statistics
-    are of this write alone.
+    gives the same number. There is a file per partition of ``df``, in its order. With
+    ``file_bytes`` rows are dealt anew, in any order, so that the data of a file take about
+    so many bytes in Spark's own format: small partitions are merged, large ones split.
+    The statistics are of this write alone.
     """
     before = _written_files(df.sparkSession, path) if mode == "append" else (0, 0)
     binary = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
@@ -198,16 +220,17 @@ def export_csv(df: DataFrame, path: str, mode: str = "error") -> ExportStats:
     written = Observation("export")
     first, *others = df.columns
     out = df.toDF(BOM + first, *others).observe(written, F.count(F.lit(1)).alias("rows"))
-    out.write.mode(mode).csv(
-        path,
-        header=True,
-        escape='"',
-        nullValue="",
-        emptyValue="",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-        encoding="UTF-8",
-    )
+    with _partition_size(df.sparkSession, file_bytes):
+        (out.hint("rebalance") if file_bytes else out).write.mode(mode).csv(
+            path,
+            header=True,
+            escape='"',
+            nullValue="",
+            emptyValue="",
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+            encoding="UTF-8",
+        )
     files, size = _written_files(df.sparkSession, path)
     return ExportStats(written.get["rows"], columns, files=files - before[0], size_bytes=size - before[1])
 

@@ -1,0 +1,67 @@
+"""Look-ups in a table, files of a sensible size, age bands in order."""
+
+from __future__ import annotations
+
+import pytest
+from fixtures import purchases
+from pyspark.sql import functions as F
+
+from purchase_insights.operators.cleaning import add_frequency_days
+from purchase_insights.operators.lookup import look_up
+from purchase_insights.plans.charts import chart_data
+from purchase_insights.plans.reports import report
+from purchase_insights.sources.csv_files import export_csv
+
+
+def frame(spark, keys):
+    return spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "label string, id int")
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_look_up(spark, limit):
+    """Broadcast and salted merge join give the same rows; other keys and NULL find nothing."""
+    df = frame(spark, ["a"] * 300 + ["b", "c", None, "A", ""] * 2)
+    dictionary = spark.createDataFrame([("a", 1), ("b", None), ("z", 9), (None, 5), (None, 6)], "word string, days int")
+    found = look_up(df, dictionary, "word", "days", "label", broadcast_limit=limit)
+    assert found.columns == ["label", "id", "days"]
+    assert sorted(found.collect(), key=lambda r: r.id) == [
+        (r.label, r.id, 1 if r.label == "a" else None) for r in sorted(df.collect(), key=lambda r: r.id)
+    ]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == bool(limit) and ("SortMergeJoin" in plan) == (not limit)
+
+
+def test_a_repeated_key_is_an_error(spark):
+    dictionary = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "word string, days int")
+    with pytest.raises(ValueError, match="2 rows for 'a'"):
+        look_up(frame(spark, ["a"]), dictionary, "word", "days", "label")
+    empty = look_up(frame(spark, ["a"]), dictionary.limit(0), "word", "days", "label")
+    assert [tuple(r) for r in empty.collect()] == [("a", 0, None)]
+
+
+def test_frequency_days_of_a_table(spark):
+    df = purchases(spark, *({"frequency_of_purchases": f} for f in ("Weekly", "Daily", None)))
+    dictionary = spark.createDataFrame([("Daily", 1)], "frequency_of_purchases string, purchase_frequency_days int")
+    found = add_frequency_days(df, dictionary)
+    assert sorted(map(str, (r.purchase_frequency_days for r in found.collect()))) == ["1", "None", "None"]
+    assert set(found.columns) == set(df.columns)
+
+
+def test_files_follow_bytes_not_partitions(spark, tmp_path):
+    small = spark.range(2000).repartition(40)
+    assert export_csv(small, str(tmp_path / "as-is")).files == 40
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    merged = export_csv(small, str(tmp_path / "merged"), file_bytes=1 << 20)
+    assert (merged.files, merged.rows) == (1, 2000)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+    large = spark.range(400_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1)
+    split = export_csv(large, str(tmp_path / "split"), file_bytes=4 << 20)
+    assert 4 <= split.files <= 16 and split.rows == 400_000
+
+
+def test_age_bands_in_order(spark):
+    bands = ["Senior", None, "Adult", "Young Adult", "Middle-aged"]
+    df = purchases(spark, *({"age_group": b, "purchase_amount": f"{i}.00"} for i, b in enumerate(bands, 1)))
+    want = ["Young Adult", "Adult", "Middle-aged", "Senior", None]
+    assert [r.age_group for r in chart_data(df, "chart_revenue_by_age_group", order_by="age_band", ascending=True).collect()] == want
+    assert [r.age_group for r in report(df, "age_group", order_by="age_band").collect()] == want[::-1]
