@@ -61,3 +61,31 @@ def test_export(loaded, tmp_path, capsys):
     with pytest.raises(Exception, match="already exists"):
         main(["export", loaded, str(tmp_path / "out")])
     main(["export", loaded, str(tmp_path / "out"), "--overwrite"])
+
+
+def test_growing_book(spark, loaded, tmp_path, capsys):
+    """Adding a load twice changes nothing; the reports are those of the purchases."""
+    book = str(tmp_path / "book")
+    for _ in range(2):
+        main(["add", loaded, book, "--load-id", "first"])
+    main(["reports", f"book:{book}", str(tmp_path / "grown")])
+    main(["reports", loaded, str(tmp_path / "built")])
+    for name in ("overall", "category", "loyalty"):
+        grown, built = (spark.read.parquet(str(tmp_path / kind / name)).collect() for kind in ("grown", "built"))
+        assert sorted(map(repr, grown)) == sorted(map(repr, built)) and grown
+    assert "STRONG SALES SEASONS" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["add", loaded, book])
+
+
+def test_load_with_refused_records(spark, tmp_path, capsys):
+    right = "1,18,Male,Item,Category,1.50,State,Fall,4,Yes,Express,No,No,3,Weekly\n"
+    (tmp_path / "raw.csv").write_text(HEADER + right + right.replace("1.50", "1.505"))
+    main(["load", str(tmp_path / "raw.csv"), str(tmp_path / "target"), "--refused", str(tmp_path / "refused")])
+    assert capsys.readouterr().out == "1 rows loaded, 1 refused\n"
+    assert spark.read.parquet(str(tmp_path / "target")).count() == 1
+
+
+def test_export_of_a_size(loaded, tmp_path, capsys):
+    main(["export", loaded, str(tmp_path / "out"), "--file-bytes", "1000000"])
+    assert "16 columns, 1 file(s)" in capsys.readouterr().out
