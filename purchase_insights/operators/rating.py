@@ -10,6 +10,9 @@ from purchase_insights.operators.median import median_of_counts
 from purchase_insights.operators.report_book import report_groups
 from purchase_insights.sources.scratch import materialize
 
+# Two of these add up to RATING without losing decimals.
+ADDEND = "decimal(37,18)"
+
 
 def with_imputed_ratings(products: DataFrame, book: DataFrame) -> DataFrame:
     """Count each missing rating of a product as its category's median.
@@ -22,12 +25,16 @@ def with_imputed_ratings(products: DataFrame, book: DataFrame) -> DataFrame:
     )
     medians = median_of_counts(counts, "category", "rating", "n_rated")
     missing = F.when(F.col("median").isNotNull(), F.col("n_rows") - F.col("n_rated")).otherwise(0)
+    # a median below ten keeps its 18 decimals, as the types of the factors leave them room
+    below_ten = F.col("median").try_cast("decimal(19,18)") * F.col("_missing").cast("decimal(18,0)")
+    others = F.col("median").cast(RATING) * F.col("_missing")
+    imputed = F.coalesce(below_ten.cast(ADDEND), others.cast(ADDEND))
+    total = F.coalesce(F.col("rating_total").cast(ADDEND), F.lit(0).cast(ADDEND)) + imputed
     return (
         products.join(medians, "category", "left")
         .withColumn("_missing", missing)
-        .withColumn("_imputed", F.coalesce(F.col("median").cast(RATING) * F.col("_missing"), F.lit(0)))
         .withColumn("n_rated", F.col("n_rated") + F.col("_missing"))
-        .withColumn("rating_total", F.coalesce("rating_total", F.lit(0)) + F.col("_imputed"))
+        .withColumn("rating_total", F.when(F.col("_missing") == 0, F.col("rating_total")).otherwise(total.cast(RATING)))
     )
 
 
