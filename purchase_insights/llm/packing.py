@@ -30,7 +30,8 @@ ENCODED_AT_ONCE = 2000
 DOCUMENTS_AT_ONCE = 200
 #: Bytes of a text with A to Z in lower case and blanks for line breaks; the tokenizer lowers all letters.
 LOWERED = bytes(32 if byte == 10 else byte + 32 if 65 <= byte <= 90 else byte for byte in range(256))
-MARK_AFTER_MARK = re.compile(r"(?:[^\w\s]|_)[,.] ")
+#: A mark before a comma or stop that ends a word. A dotted capital I ends with one when it is lowered.
+MARK_AFTER_MARK = re.compile(r"(?:[^\w\s]|[_\u0130])[,.] ")
 
 
 class Run(NamedTuple):

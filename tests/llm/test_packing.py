@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -104,3 +105,16 @@ def test_words_are_forgotten_without_effect(monkeypatch):
         known.learn(set(text.split(" ")))
         ids = b"".join(map(known.__getitem__, text.split(" ")))
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_texts_are_split_without_effect():
+    """Random texts of marks, special tokens, blanks and letters that change when they are lowered."""
+    rng = random.Random(3)
+    letters = "aBcÉß. ,!?-_'\n\t 1٣\xa0İΣ\u0301K…日"
+    words = ["<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "don't", "'S ", "a,b. c", "x., y", "_., ", "K. ", "İ, "]
+    texts = ["".join(rng.choice(words if rng.random() < 0.15 else letters) for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    known, tokenizer = packing._word_ids(PATH), Tokenizer.from_file(PATH)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    for text, words in zip(texts, packing._words(batch, known)):
+        ids = b"".join(map(known.__getitem__, words))
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
