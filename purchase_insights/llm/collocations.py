@@ -29,7 +29,7 @@ from purchase_insights.sources.scratch import materialize
 #: The longest phrase, in words.
 LONGEST = 4
 #: Words of a task's part of the corpus that are sorted at once.
-WORDS_AT_ONCE = 2_000_000
+WORDS_AT_ONCE = 1_000_000
 #: Suffixes that a group is to have, about.
 BUDGET = 1 << 20
 #: Beyond so many tasks they get several groups each, one after the other.
