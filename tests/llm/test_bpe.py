@@ -71,3 +71,55 @@ def test_documents(spark, library):
     want = [(i, library.encode(t or "", add_special_tokens=False).ids, t or "") for i, t, *_ in [*rows, rows[-1]]]
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
     assert bpe.encode_documents(spark.createDataFrame([], schema), PATH).count() == 0
+
+
+def test_texts_together(library, monkeypatch):
+    """Many at once, words that come again after a generation has gone, and words too long to be kept."""
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 300)
+    monkeypatch.setattr(bpe, "IDS_AT_ONCE", 1000)
+    encoder, rng = bpe.Encoder(PATH), random.Random(6)
+    words = ["".join(rng.choices("etaonihéß日\U0001f600'9.,\n", k=rng.randint(1, 12))) for _ in range(1500)]
+    words += ["x" * 100, "the" * 40 + ",", "é" * 50, "<|endoftext|>", "", "don't.", "a.b,", "A,", ","]
+    for _ in range(6):
+        texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(60)] + TEXTS
+        ids = [np.frombuffer(x, np.int32) for x in encoder.encode_all(texts)]
+        assert [x.tolist() for x in ids] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        offsets = np.cumsum([0, *map(len, ids)])
+        assert encoder.decode_all(np.concatenate(ids), offsets) == texts
+        kept = {**encoder.of_word.known, **encoder.of_chunk.known}
+        assert max(map(len, kept)) <= bpe.LONGEST_CACHED
+    assert encoder.of_chunk.older
+
+
+def test_together_like_alone(encoder):
+    """Words that take their steps together get the ids that they get one by one."""
+    rng, vocabulary = random.Random(7), encoder.vocabulary
+    words = ["".join(rng.choices(" ethanoirdé日\t", k=rng.randint(1, 90))) for _ in range(3000)] + [""]
+    assert vocabulary.encode_words(words) == [vocabulary._encode_alone(word) for word in words]
+    texts = [vocabulary.bytes_of[token].decode("utf-8", "ignore") for token in rng.sample(sorted(vocabulary.parts), 1500)]
+    found = vocabulary.encode_words(texts)
+    want = [_merge(vocabulary, text) for text in texts]
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in found] == want
+
+
+def test_known_from_task_to_task(spark):
+    """A worker reads the vocabulary and learns words once, not in each of its tasks."""
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(64)], "doc_id long, text string").repartition(16)
+    bpe._encoders.clear()
+    batches = docs.toArrow().to_batches()
+
+    class Docs:
+        """Takes the place of Spark, so that the tasks run in this process."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):
+            return [[*function(iter([batch]))] for batch in batches for _ in range(2)]
+
+    loaded = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe, "in_batches", lambda docs: docs)
+        patch.setattr(bpe, "Vocabulary", lambda path, real=bpe.Vocabulary: loaded.append(path) or real(path))
+        tasks = bpe.encode_documents(Docs(), PATH)
+    assert len(tasks) >= 2 and len(loaded) == 1
